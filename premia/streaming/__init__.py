@@ -1,0 +1,5 @@
+"""Empty on purpose: every operator of this engine is a batch job over tables.
+
+The one append-only rule (decisions never change once written) is a batch
+operator, ``premia.operators.reconcile.append_ledger``.
+"""
