@@ -92,22 +92,33 @@ def _polynomial(x: Column, coefficients: tuple[float, ...]) -> Column:
     return value
 
 
-def normal_cdf(x: str | Column) -> Column:
-    """Standard normal distribution function as one codegen expression."""
+def with_normal_cdf(df: DataFrame, x: str | Column, below: str, above: str | None = None):
+    """Add ``below`` = P(Z <= x) and, if named, ``above`` = P(Z > x).
 
-    x = col(x)
-    a = F.abs(x)
-    e = F.exp(a * a * -0.5)
-    near = e * _polynomial(a, TAIL_TOP) / _polynomial(a, TAIL_BOTTOM)
+    Built in stages of columns: each step is computed once per row and the generated
+    code stays small, where one nested expression would repeat its parts many times.
+    """
+
+    a, e = F.col("_cdf_a"), F.col("_cdf_e")
     chain = a + 0.65
     for step in (4.0, 3.0, 2.0, 1.0):
         chain = a + F.lit(step) / chain
     tail = (
-        F.when(a < TAIL_SWITCH, near)
+        F.when(a < TAIL_SWITCH, e * _polynomial(a, TAIL_TOP) / _polynomial(a, TAIL_BOTTOM))
         .when(a <= TAIL_LIMIT, e / (chain * TAIL_ROOT))
         .when(a.isNotNull(), F.lit(0.0))
     )
-    return F.when(x > 0.0, 1.0 - tail).otherwise(tail)
+    t = F.col("_cdf_t")
+    right = F.col("_cdf_x") > 0.0
+    staged = (
+        df.withColumn("_cdf_x", col(x))
+        .withColumns({"_cdf_a": F.abs("_cdf_x"), "_cdf_e": F.exp(F.pow("_cdf_x", 2) * -0.5)})
+        .withColumn("_cdf_t", tail)
+        .withColumn(below, F.when(right, 1.0 - t).otherwise(t))
+    )
+    if above is not None:
+        staged = staged.withColumn(above, F.when(right, t).otherwise(1.0 - t))
+    return staged.drop("_cdf_x", "_cdf_a", "_cdf_e", "_cdf_t")
 
 
 def normal_pdf(x: str | Column) -> Column:
@@ -178,26 +189,42 @@ OUTER_BOTTOM = (
 OUTER_SHARE = 0.02425
 
 
-def normal_quantile(p: str | Column) -> Column:
-    """Inverse of ``normal_cdf`` on (0, 1), NULL outside; one Halley step for full precision."""
+def with_normal_quantile(df: DataFrame, p: str | Column, name: str) -> DataFrame:
+    """Add the inverse normal distribution function on (0, 1), NULL outside it.
+
+    A rational start and one Halley step with the accurate distribution function.
+    """
 
-    p = col(p)
-    small = F.least(p, 1.0 - p)
-    q = F.sqrt(F.ln(small) * -2.0)
+    q, c, p_ = F.col("_nq_q"), F.col("_nq_c"), F.col("_nq_p")
+    start, error = F.col("_nq_start"), F.col("_nq_error")
     outer = _polynomial(q, OUTER_TOP) / _polynomial(q, OUTER_BOTTOM)
-    c = p - 0.5
-    centre = _polynomial(c * c, CENTRE_TOP) * c / _polynomial(c * c, CENTRE_BOTTOM)
-    start = F.when(small >= OUTER_SHARE, centre).otherwise(F.when(p < 0.5, outer).otherwise(-outer))
-    error = (normal_cdf(start) - p) * math.sqrt(2.0 * math.pi) * F.exp(start * start * 0.5)
-    return F.when((p > 0.0) & (p < 1.0), start - error / (start * error * 0.5 + 1.0))
+    square = F.col("_nq_c2")
+    centre = _polynomial(square, CENTRE_TOP) * c / _polynomial(square, CENTRE_BOTTOM)
+    staged = (
+        df.withColumn("_nq_p", F.when((col(p) > 0.0) & (col(p) < 1.0), col(p)))
+        .withColumn("_nq_c", p_ - 0.5)
+        .withColumns({"_nq_c2": c * c, "_nq_q": F.sqrt(F.ln(0.5 - F.abs(c)) * -2.0)})
+        .withColumn(
+            "_nq_start",
+            F.when(F.abs(c) <= 0.5 - OUTER_SHARE, centre).otherwise(-F.signum(c) * outer),
+        )
+    )
+    staged = with_normal_cdf(staged, start, "_nq_cdf").withColumn(
+        "_nq_error",
+        (F.col("_nq_cdf") - p_) * math.sqrt(2.0 * math.pi) * F.exp(start * start * 0.5),
+    )
+    return staged.withColumn(name, start - error / (start * error * 0.5 + 1.0)).drop(
+        "_nq_p", "_nq_c", "_nq_c2", "_nq_q", "_nq_start", "_nq_cdf", "_nq_error"
+    )
 
 
-def expected_maximum_of(trials: str | Column) -> Column:
+def with_expected_maximum(df: DataFrame, trials: str, name: str) -> DataFrame:
     """Column form of ``expected_maximum``; NULL below one trial."""
 
-    trials = col(trials).cast("double")
-    share = F.try_divide(F.lit(1.0), trials)
-    value = normal_quantile(1.0 - share) * (1.0 - EULER_GAMMA) + normal_quantile(
-        1.0 - share / math.e
-    ) * EULER_GAMMA
-    return F.when(trials == 1.0, F.lit(0.0)).when(trials > 1.0, value)
+    share = F.try_divide(F.lit(1.0), F.col(trials).cast("double"))
+    staged = with_normal_quantile(df, 1.0 - share, "_em_a")
+    staged = with_normal_quantile(staged, 1.0 - share / math.e, "_em_b")
+    value = F.col("_em_a") * (1.0 - EULER_GAMMA) + F.col("_em_b") * EULER_GAMMA
+    return staged.withColumn(
+        name, F.when(F.col(trials) == 1, F.lit(0.0)).when(F.col(trials) > 1, value)
+    ).drop("_em_a", "_em_b")

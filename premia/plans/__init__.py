@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("returns", "metrics")
+MODULES = ("returns", "metrics", "inference")
 
 
 def catalog():
