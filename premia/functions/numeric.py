@@ -92,6 +92,17 @@ def _polynomial(x: Column, coefficients: tuple[float, ...]) -> Column:
     return value
 
 
+def materialized(df: DataFrame, *columns: Column) -> DataFrame:
+    """Add columns that later filters and projections refer to instead of repeating.
+
+    A filter on a plain column is rewritten below the projection with the whole
+    expression in its place, which multiplies long formulas; an inlined one-row array is
+    a stage boundary for that rewrite and still runs inside generated code.
+    """
+
+    return df.select("*", F.inline(F.array(F.struct(*columns))))
+
+
 def with_normal_cdf(df: DataFrame, x: str | Column, below: str, above: str | None = None):
     """Add ``below`` = P(Z <= x) and, if named, ``above`` = P(Z > x).
 
@@ -110,15 +121,15 @@ def with_normal_cdf(df: DataFrame, x: str | Column, below: str, above: str | Non
     )
     t = F.col("_cdf_t")
     right = F.col("_cdf_x") > 0.0
+    sides = [F.when(right, 1.0 - t).otherwise(t).alias(below)]
+    if above is not None:
+        sides.append(F.when(right, t).otherwise(1.0 - t).alias(above))
     staged = (
         df.withColumn("_cdf_x", col(x))
         .withColumns({"_cdf_a": F.abs("_cdf_x"), "_cdf_e": F.exp(F.pow("_cdf_x", 2) * -0.5)})
         .withColumn("_cdf_t", tail)
-        .withColumn(below, F.when(right, 1.0 - t).otherwise(t))
     )
-    if above is not None:
-        staged = staged.withColumn(above, F.when(right, t).otherwise(1.0 - t))
-    return staged.drop("_cdf_x", "_cdf_a", "_cdf_e", "_cdf_t")
+    return materialized(staged, *sides).drop("_cdf_x", "_cdf_a", "_cdf_e", "_cdf_t")
 
 
 def normal_pdf(x: str | Column) -> Column:
