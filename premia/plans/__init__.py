@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("returns", "metrics", "inference", "chain")
+MODULES = ("returns", "metrics", "inference", "chain", "covariance")
 
 
 def catalog():
