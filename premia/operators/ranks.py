@@ -184,3 +184,28 @@ def fractional_tail_mean(
 
 
 
+
+
+def full_rank(
+    df: DataFrame, keys: Sequence[str], value: str, tie: Sequence[str], name: str = "rank"
+) -> DataFrame:
+    """1-based rank of every row by descending value, ordered cell by cell per group."""
+
+    cell = -_log_cell(F.col(value))
+    inside = Window.partitionBy(*keys, "_cell").orderBy(F.col(value).desc(), *tie)
+    before = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    rows = (
+        keyed(df, keys)
+        .where(F.col(value).isNotNull())
+        .withColumn("_cell", cell)
+        .withColumn("_rn", F.row_number().over(inside))
+    )
+    offsets = (
+        rows.groupBy(*keys, "_cell")
+        .agg(F.count("*").alias("_n"))
+        .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        .select(*keys, "_cell", "_before")
+    )
+    return rows.join(offsets, [*keys, "_cell"]).select(
+        *df.columns, (F.col("_before") + F.col("_rn")).alias(name)
+    )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("returns", "metrics", "inference", "chain", "covariance")
+MODULES = ("returns", "metrics", "inference", "chain", "covariance", "audit")
 
 
 def catalog():
