@@ -14,13 +14,13 @@ from premia.session import written
 
 # Generous enough that some of the test books pass.
 LIMITS = policy.Limits(
-    gross_nav=0.48, net_nav_abs=0.30, short_nav_abs=0.20, per_contract_abs=0.004,
-    delta_abs=3.0, vix_vega_abs=0.5, beta_spy_abs=3.2, stress_loss_abs=0.30,
-    underlying_gross=0.05, vix_future_gross=0.03,
+    gross_nav=0.47, net_nav_abs=0.20, short_nav_abs=0.15, per_contract_abs=0.005,
+    delta_abs=0.35, vix_vega_abs=0.14, beta_spy_abs=0.36, stress_loss_abs=0.012,
+    underlying_gross=0.045, vix_future_gross=0.03,
 )
 POLICY = policy.Policy(
-    annual_volatility_ceiling=0.25, cvar_alpha=0.95, cvar_loss_nav=0.02, stress_loss_nav=0.28,
-    short_margin_nav=0.10, collateral_nav=0.55,
+    annual_volatility_ceiling=0.024, cvar_alpha=0.95, cvar_loss_nav=0.0155, stress_loss_nav=0.010,
+    short_margin_nav=0.098, collateral_nav=0.41,
 )
 NAV = 2e7
 STRESS_SQL = ", ".join(
@@ -35,7 +35,7 @@ VIEWS.add(
 )
 VIEWS.add(
     "audit_universe",
-    f"""SELECT u.*, least({LIMITS.per_contract_abs}::DOUBLE, u.liquidity_cap * 0.05e0) AS effective_cap,
+    f"""SELECT u.*, least({LIMITS.per_contract_abs}::DOUBLE, u.liquidity_cap * 0.15e0) AS effective_cap,
               {', '.join('w.stress_' + n for n in SHOCKS)}, m.expected_return
        FROM universe u JOIN stress_wide w ON w.contract_id = u.contract_id JOIN means m ON m.contract_id = u.contract_id""",
     "universe", "stress_wide", "means",
@@ -54,20 +54,20 @@ def contracts(t):
             for name in SHOCKS
         ])
     )
-    caps = load(t, "fx_chain").select("contract_id", (F.col("liquidity_cap") * 0.05).alias("cap"))
+    caps = load(t, "fx_chain").select("contract_id", (F.col("liquidity_cap") * 0.15).alias("cap"))
     table = policy.effective_cap(base, caps, LIMITS).join(shocked, "contract_id")
     return written(table, "contracts")
 
 
 def legs(t):
-    return load(t, "fx_books")
+    return load(t, "fx_clean_books")
 
 
 VIEWS.add(
     "legs",
     """SELECT b.book_id, b.weight, u.*, greatest(b.weight, 0.0e0) AS w_long, greatest(-b.weight, 0.0e0) AS w_short
-       FROM fx_books b JOIN audit_universe u ON u.contract_id = b.contract_id""",
-    "fx_books", "audit_universe",
+       FROM fx_clean_books b JOIN audit_universe u ON u.contract_id = b.contract_id""",
+    "fx_clean_books", "audit_universe",
 )
 
 
@@ -201,7 +201,7 @@ def predictable_cost(t):
     "margin_collateral",
     oracle(
         "legs",
-        """SELECT *, greatest(margin - 0.10e0, 0) AS margin_breach, greatest(collateral - 0.55e0, 0) AS collateral_breach FROM (
+        """SELECT *, greatest(margin - 0.098e0, 0) AS margin_breach, greatest(collateral - 0.41e0, 0) AS collateral_breach FROM (
              SELECT book_id, sum(short_margin * w_short) AS margin, sum(w_long) + sum(short_margin * w_short) AS collateral
              FROM legs GROUP BY 1) s""",
         "book_id", "margin collateral margin_breach collateral_breach",
@@ -235,7 +235,7 @@ def assignment_breach(t):
         """SELECT book_id, name, exposure, bound, greatest(abs(exposure) - bound, 0) AS breach FROM (
              SELECT book_id, unnest(['delta', 'vix_vega', 'beta_spy']) AS name,
                     unnest([sum(delta_nav * weight), sum(vix_vega_nav * weight), sum(beta_spy_nav * weight)]) AS exposure,
-                    unnest([3.0e0, 0.5e0, 3.2e0]) AS bound FROM legs GROUP BY 1) s""",
+                    unnest([0.35e0, 0.14e0, 0.36e0]) AS bound FROM legs GROUP BY 1) s""",
         "book_id name", "exposure bound breach",
     ),
 )
@@ -257,7 +257,7 @@ WORST = "least(" + ", ".join(f"sum(stress_{n} * weight)" for n in SHOCKS) + ")"
     "stress_loss",
     oracle(
         "legs",
-        f"SELECT *, greatest(-0.28e0 - worst_stress, 0) AS breach FROM (SELECT book_id, {WORST} AS worst_stress FROM legs GROUP BY 1) s",
+        f"SELECT *, greatest(-0.010e0 - worst_stress, 0) AS breach FROM (SELECT book_id, {WORST} AS worst_stress FROM legs GROUP BY 1) s",
         "book_id", "worst_stress breach",
     ),
 )
@@ -282,7 +282,7 @@ VIEWS.add(
 )
 VIEWS.add(
     "book_underlying",
-    """SELECT book_id, max(greatest(g - CASE WHEN underlying = 'VX_FRONT' THEN 0.03e0 ELSE 0.05e0 END, 0)) AS underlying
+    """SELECT book_id, max(greatest(g - CASE WHEN underlying = 'VX_FRONT' THEN 0.03e0 ELSE 0.045e0 END, 0)) AS underlying
        FROM (SELECT book_id, underlying, sum(abs(weight)) AS g FROM legs GROUP BY 1, 2) s GROUP BY 1""",
     "legs",
 )
@@ -292,8 +292,8 @@ VIEWS.add(
     "constraint_violation",
     oracle(
         "book_sums book_underlying",
-        """SELECT s.book_id, greatest(gross - 0.48e0, cap_excess, abs(net) - 0.30e0, short - 0.20e0, u.underlying, -0.30e0 - worst_stress,
-                  abs(delta_exposure) - 3.0e0, abs(vix_vega_exposure) - 0.5e0, abs(beta_spy_exposure) - 3.2e0, 0) AS max_violation
+        """SELECT s.book_id, greatest(gross - 0.47e0, cap_excess, abs(net) - 0.20e0, short - 0.15e0, u.underlying, -0.012e0 - worst_stress,
+                  abs(delta_exposure) - 0.35e0, abs(vix_vega_exposure) - 0.14e0, abs(beta_spy_exposure) - 0.36e0, 0) AS max_violation
            FROM book_sums s JOIN book_underlying u ON u.book_id = s.book_id""",
         "book_id", "max_violation",
     ),
@@ -368,7 +368,7 @@ def scenario_prepare(t):
 
 @query(
     "scenario_cvar",
-    oracle("book_cvar", "SELECT *, greatest(cvar - 0.02e0, 0) AS breach FROM book_cvar", "book_id", "cvar breach"),
+    oracle("book_cvar", "SELECT *, greatest(cvar - 0.0155e0, 0) AS breach FROM book_cvar", "book_id", "cvar breach"),
 )
 def scenario_cvar(t):
     from premia.functions.numeric import breach
@@ -412,7 +412,7 @@ def tail_rank(t):
     return full_rank(rows, ["config", "strategy"], "loss", ["return_date"])
 
 
-def volatility_function(t, table):
+def volatility_function(t, table, owner=None):
     """Books of contracts -> volatility under the shrunk label covariance of their era."""
 
     rows = joint(t)
@@ -421,7 +421,8 @@ def volatility_function(t, table):
     names = table.select("contract_id", F.col("underlying").alias("_label"))
 
     def volatility_of(books):
-        era = F.when(F.col("book_id") % 2 == 0, "early").otherwise("late")
+        home = F.col("book_id") if owner is None else owner
+        era = F.when(home % 2 == 0, "early").otherwise("late")
         by_label = (
             books.join(names, "contract_id")
             .groupBy(era.alias("universe_id"), "book_id", F.col("_label").alias("contract_id"))
@@ -477,13 +478,13 @@ SELECT *, greatest(breach_gross, breach_caps, breach_net, breach_short, breach_u
   greatest(breach_gross, breach_caps, breach_net, breach_short, breach_underlying, breach_exposure, breach_stress, breach_margin,
     breach_collateral, breach_assignment, breach_cvar, breach_annual_volatility) <= 1e-5 AS feasible
 FROM (SELECT *, greatest(exposure_delta, exposure_vix_vega, exposure_beta_spy) AS breach_exposure FROM (
-  SELECT s.*, greatest(gross - 0.48e0, 0) AS breach_gross, greatest(cap_excess, 0) AS breach_caps, greatest(abs(net) - 0.30e0, 0) AS breach_net,
-    greatest(short - 0.20e0, 0) AS breach_short, u.underlying AS breach_underlying,
-    greatest(abs(delta_exposure) - 3.0e0, 0) AS exposure_delta, greatest(abs(vix_vega_exposure) - 0.5e0, 0) AS exposure_vix_vega,
-    greatest(abs(beta_spy_exposure) - 3.2e0, 0) AS exposure_beta_spy, greatest(-0.28e0 - worst_stress, 0) AS breach_stress,
-    greatest(margin - 0.10e0, 0) AS breach_margin, greatest(long + margin - 0.55e0, 0) AS breach_collateral,
-    assignment AS breach_assignment, greatest(c.cvar - 0.02e0, 0) AS breach_cvar,
-    greatest(v.volatility * sqrt(12.0e0) - 0.25e0, 0) AS breach_annual_volatility, c.cvar, v.volatility
+  SELECT s.*, greatest(gross - 0.47e0, 0) AS breach_gross, greatest(cap_excess, 0) AS breach_caps, greatest(abs(net) - 0.20e0, 0) AS breach_net,
+    greatest(short - 0.15e0, 0) AS breach_short, u.underlying AS breach_underlying,
+    greatest(abs(delta_exposure) - 0.35e0, 0) AS exposure_delta, greatest(abs(vix_vega_exposure) - 0.14e0, 0) AS exposure_vix_vega,
+    greatest(abs(beta_spy_exposure) - 0.36e0, 0) AS exposure_beta_spy, greatest(-0.010e0 - worst_stress, 0) AS breach_stress,
+    greatest(margin - 0.098e0, 0) AS breach_margin, greatest(long + margin - 0.41e0, 0) AS breach_collateral,
+    assignment AS breach_assignment, greatest(c.cvar - 0.0155e0, 0) AS breach_cvar,
+    greatest(v.volatility * sqrt(12.0e0) - 0.024e0, 0) AS breach_annual_volatility, c.cvar, v.volatility
   FROM {sums} s JOIN {underlying} u ON u.book_id = s.book_id JOIN {cvar} c ON c.book_id = s.book_id
   JOIN {vols} v ON v.book_id = s.book_id) a) b"""
 
