@@ -1,9 +1,11 @@
-"""Exact order statistics without sorting a whole group in one task.
-
-Values are first counted (ties collapse map-side), then located by two histogram
-levels: a logarithmic cell that is a pure function of the value, and equal-width
-cells between the exact ends of the chosen logarithmic cell. Only the distinct values
-of the chosen fine cell are ordered. State per group is bounded by the number of cells.
+"""Exact order statistics without sorting a large group in one task.
+
+Values are first counted (ties collapse map-side) and the counts are written once to the
+shared folder. If no group has more distinct values than ``DIRECT_LIMIT``, each group is
+ordered directly. Otherwise values are located by two histogram levels: a logarithmic
+cell that is a pure function of the value, and equal-width cells between the exact ends
+of the chosen logarithmic cell. Only the distinct values of the chosen fine cell are
+ordered. State per group is bounded by the number of cells.
 """
 
 from __future__ import annotations
@@ -15,10 +17,12 @@ from pyspark.sql import functions as F
 
 from premia.functions.numeric import finite
 from premia.operators.paths import keyed
+from premia.session import written
 
 CELLS_PER_E = 64
 CELL_OFFSET = 100_000
 FINE_CELLS = 4096
+DIRECT_LIMIT = 1_000_000
 
 
 def _log_cell(value: Column) -> Column:
@@ -41,6 +45,7 @@ def rank_lookup(
     value: str | Column,
     ranks: Mapping[str, Callable[[Column], Column]],
     weight: str | None = None,
+    direct_limit: int = DIRECT_LIMIT,
 ) -> DataFrame:
     """Per group and named ascending 0-based rank: the value there and what lies below.
 
@@ -56,10 +61,35 @@ def rank_lookup(
         .where(F.col("_v").isNotNull() & (F.col("_w") > 0))
         .groupBy(*keys, "_v")
         .agg(F.sum("_w").alias("_c"))
-        .withColumn("_t", F.col("_v") * F.col("_c"))
-        .withColumn("_cell", _log_cell(F.col("_v")))
+    )
+    counted = written(counted, "counted").withColumn("_t", F.col("_v") * F.col("_c"))
+    largest = (
+        counted.groupBy(*keys).agg(F.count("*").alias("_d")).agg(F.max("_d").alias("_d")).first()["_d"]
     )
     whole = Window.partitionBy(*keys)
+    if (largest or 0) <= direct_limit:
+        wants = {
+            name: rank(F.col("size")).cast("bigint").between(F.col("_n1"), F.col("_n1") + F.col("_c") - 1)
+            for name, rank in ranks.items()
+        }
+        here = F.struct(
+            F.col("_v").alias("value"),
+            F.col("_n1").alias("below"),
+            F.col("_s1").alias("below_sum"),
+            F.col("_c").alias("at"),
+        )
+        return (
+            _running(counted, keys, "_v", "1")
+            .withColumn("size", F.sum("_c").over(whole))
+            .withColumn("sum", F.sum("_t").over(whole))
+            .groupBy(*keys)
+            .agg(
+                F.max("size").alias("size"),
+                F.max("sum").alias("sum"),
+                *[F.max(F.when(hit, here)).alias(name) for name, hit in wants.items()],
+            )
+        )
+    counted = counted.withColumn("_cell", _log_cell(F.col("_v")))
     coarse = counted.groupBy(*keys, "_cell").agg(
         F.sum("_c").alias("_c"),
         F.sum("_t").alias("_t"),
@@ -130,6 +160,7 @@ def exact_quantiles(
     probabilities: Mapping[str, float],
     weight: str | None = None,
     tail_means: bool = False,
+    direct_limit: int = DIRECT_LIMIT,
 ) -> DataFrame:
     """Linearly interpolated exact quantiles, one column per name, plus ``size``.
 
@@ -140,7 +171,7 @@ def exact_quantiles(
     for name, p in probabilities.items():
         ranks[f"_lo_{name}"] = lambda n, p=p: F.floor((n - 1) * F.lit(p))
         ranks[f"_hi_{name}"] = lambda n, p=p: F.ceil((n - 1) * F.lit(p))
-    looked = rank_lookup(df, keys, value, ranks, weight)
+    looked = rank_lookup(df, keys, value, ranks, weight, direct_limit)
     columns = []
     for name, p in probabilities.items():
         low, high = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
@@ -162,6 +193,7 @@ def fractional_tail_mean(
     alpha: float,
     weight: str | None = None,
     name: str = "cvar",
+    direct_limit: int = DIRECT_LIMIT,
 ) -> DataFrame:
     """Mean of the worst (1 - alpha) share of losses, the last one counted in part."""
 
@@ -172,9 +204,10 @@ def fractional_tail_mean(
         exact = n.cast("double") * F.lit(1.0 - alpha)
         return F.when(F.abs(exact - F.rint(exact)) <= 1e-12, F.rint(exact)).otherwise(exact)
 
-    looked = rank_lookup(
-        df, keys, loss, {"_edge": lambda n: n - F.greatest(F.ceil(mass(n)), F.lit(1))}, weight
-    )
+    def edge_rank(n: Column) -> Column:
+        return n - F.greatest(F.ceil(mass(n)), F.lit(1))
+
+    looked = rank_lookup(df, keys, loss, {"_edge": edge_rank}, weight, direct_limit)
     edge, m = F.col("_edge"), mass(F.col("size"))
     above = F.col("size") - edge["below"] - edge["at"]
     above_sum = F.col("sum") - edge["below_sum"] - edge["value"] * edge["at"]
