@@ -242,3 +242,26 @@ def full_rank(
     return rows.join(offsets, [*keys, "_cell"]).select(
         *df.columns, (F.col("_before") + F.col("_rn")).alias(name)
     )
+
+
+def average_rank(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
+    """1-based ascending rank with ties sharing their average; NULL values get NULL."""
+
+    inside = Window.partitionBy(*keys, "_cell").orderBy(value)
+    same = Window.partitionBy(*keys, "_cell", value)
+    before = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    cell = F.when(F.col(value).isNotNull(), _log_cell(F.col(value)))
+    rows = df.withColumn("_cell", F.coalesce(cell, F.lit(10 * CELL_OFFSET)))
+    offsets = (
+        rows.groupBy(*keys, "_cell")
+        .agg(F.count("*").alias("_n"))
+        .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        .select(*keys, "_cell", "_before")
+    )
+    place = F.col("_before") + F.col("_first") + (F.col("_ties") - 1) / 2.0
+    return (
+        rows.withColumn("_first", F.rank().over(inside))
+        .withColumn("_ties", F.count("*").over(same))
+        .join(offsets, [*keys, "_cell"])
+        .select(*df.columns, F.when(F.col(value).isNotNull(), place).alias(name))
+    )

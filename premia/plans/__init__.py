@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("returns", "metrics", "inference", "chain", "covariance", "audit", "selection", "quotes")
+MODULES = ("returns", "metrics", "inference", "chain", "covariance", "audit", "selection", "quotes", "validation")
 
 
 def catalog():
