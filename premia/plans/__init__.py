@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("returns", "metrics", "inference", "chain", "covariance", "audit", "selection", "quotes", "validation")
+MODULES = (
+    "returns", "metrics", "inference", "chain", "covariance", "audit", "selection", "quotes",
+    "validation", "reconcile",
+)
 
 
 def catalog():
