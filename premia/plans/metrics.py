@@ -247,7 +247,7 @@ def merge_on_key(t):
 @query(
     "coerce_numeric",
     """SELECT role, count(*) AS rows, count(TRY_CAST(word AS DOUBLE)) AS numbers,
-              round(avg(TRY_CAST(word AS DOUBLE)), 6) + 0.0e0 AS mean_number
+              round(avg(TRY_CAST(word AS DOUBLE)) + 1e-11::DOUBLE, 6) + 0.0e0 AS mean_number
        FROM (SELECT event_type AS role, CASE WHEN event_id % 3 = 0 THEN 'n/a'
                     ELSE CAST(event_id % 1000 AS VARCHAR) || '.5' END AS word FROM events) GROUP BY 1""",
 )
@@ -270,7 +270,7 @@ def coerce_numeric(t):
 @query(
     "finite_filter",
     """SELECT event_type, count(x) AS finite_rows, count(*) - count(x) AS dropped_rows,
-              round(avg(x), 6) + 0.0e0 AS mean_value
+              round(avg(x) + 1e-11::DOUBLE, 6) + 0.0e0 AS mean_value
        FROM (SELECT event_type, CASE WHEN event_id % 7 = 0 OR event_id % 11 = 0 THEN NULL
                     ELSE value END AS x FROM events) GROUP BY 1""",
 )

@@ -70,8 +70,8 @@ def next_executable_quote(t):
 
 VIEWS.add(
     "quote_days",
-    """SELECT symbol, CAST(quote_ts AS DATE) AS day, avg((ask - bid) / ((ask + bid) / 2)) AS day_spread,
-              max((ask - bid) / ((ask + bid) / 2)) AS day_worst_spread, sum(volume) AS day_volume_sum,
+    """SELECT symbol, CAST(quote_ts AS DATE) AS day, avg((ask - bid) / nullif((ask + bid) / 2, 0)) AS day_spread,
+              max((ask - bid) / nullif((ask + bid) / 2, 0)) AS day_worst_spread, sum(volume) AS day_volume_sum,
               max(volume) AS day_volume_max, max(open_interest) AS day_open_interest FROM fx_quotes GROUP BY 1, 2""",
     "fx_quotes",
 )
@@ -133,7 +133,7 @@ def spread_quantiles(t):
     oracle(
         "entry_rows",
         f"""SELECT arm, {REGIME} AS regime, count(err) AS size, {PCTS.format('err')} FROM (
-              SELECT *, abs(mark / ((bid + ask) / 2) - 1) AS err FROM entry_rows WHERE bid IS NOT NULL) s GROUP BY 1, 2""",
+              SELECT *, abs(mark / nullif((bid + ask) / 2, 0) - 1) AS err FROM entry_rows WHERE bid + ask > 0) s GROUP BY 1, 2""",
         "arm regime", "p25 p50 p75 p90", "size",
     ),
 )
@@ -250,8 +250,8 @@ VIEWS.add(
               count(*) FILTER (WHERE es IS NULL) AS missing_quotes FROM (
          SELECT c.arm, CAST(c.trade_ts AS DATE) AS day, c.weight, abs(c.weight) AS w, (c.trade_id % 11 - 5) / 20.0e0 AS ret, 0.02e0 AS ms,
                 0.001e0 * (1 + c.trade_id % 3) AS oc,
-                CASE WHEN c.entry_covered THEN (c.ask - c.bid) / ((c.ask + c.bid) / 2) END AS es,
-                CASE WHEN c.exit_covered THEN (c.exit_ask - c.exit_bid) / ((c.exit_ask + c.exit_bid) / 2) END AS xs,
+                CASE WHEN c.entry_covered THEN (c.ask - c.bid) / nullif((c.ask + c.bid) / 2, 0) END AS es,
+                CASE WHEN c.exit_covered THEN (c.exit_ask - c.exit_bid) / nullif((c.exit_ask + c.exit_bid) / 2, 0) END AS xs,
                 d.day_worst_spread AS ws
          FROM covered_legs c LEFT JOIN quote_days d ON d.symbol = c.symbol AND d.day = CAST(c.trade_ts AS DATE)) s GROUP BY 1, 2""",
     "covered_legs", "quote_days",

@@ -18,7 +18,7 @@ GROUP = ["config", "strategy"]
 
 @query(
     "scan_parquet",
-    """SELECT l_returnflag, count(*) AS rows, round(sum(l_quantity), 3) + 0.0e0 AS quantity FROM lineitem
+    """SELECT l_returnflag, count(*) AS rows, round(sum(l_quantity) + 1e-11::DOUBLE, 3) + 0.0e0 AS quantity FROM lineitem
        WHERE l_shipdate >= TIMESTAMP '1997-01-01' AND l_shipdate < TIMESTAMP '1998-01-01' GROUP BY 1""",
     quantity=3,
 )
@@ -111,7 +111,7 @@ DOCUMENT = T.StructType(
 
 @query(
     "scan_json",
-    "SELECT user_id AS symbol, event_type, count(*) AS n, round(sum(value), 6) + 0.0e0 AS total FROM events GROUP BY 1, 2",
+    "SELECT user_id AS symbol, event_type, count(*) AS n, round(sum(value) + 1e-11::DOUBLE, 6) + 0.0e0 AS total FROM events GROUP BY 1, 2",
 )
 def scan_json(t):
     per_type = t.events.groupBy(F.col("user_id").alias("symbol"), "event_type").agg(

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from premia.functions.numeric import tidy
+from premia.functions.numeric import NUDGE, tidy
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -96,7 +96,7 @@ def shaped(inner: str, keep: str = "", real: str = "", whole: str = "", digits:
     parts = [*keep.split()]
     parts += [f"CAST({name} AS BIGINT) AS {name}" for name in whole.split()]
     parts += [
-        f"round(CAST({name} AS DOUBLE), {digits}) + 0.0e0 AS {name}" for name in real.split()
+        f"round(CAST({name} AS DOUBLE) + {NUDGE!r}::DOUBLE, {digits}) + 0.0e0 AS {name}" for name in real.split()
     ]
     return f"SELECT {', '.join(parts)} FROM ({inner}) AS shaped"
 
