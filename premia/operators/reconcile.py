@@ -47,7 +47,10 @@ def producer_of(path: Column) -> Column:
 
 
 def read_files(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
-    """Files below a folder as (path relative to it, content)."""
+    """Files below a folder as (path relative to it, content).
+
+    The scan skips empty files, so those are added from the scan's own file listing.
+    """
 
     root = folder.rstrip("/") + "/"
     files = (
@@ -56,7 +59,11 @@ def read_files(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
         .option("pathGlobFilter", glob)
         .load(folder)
     )
-    return files.select(F.substring_index("path", root, -1).alias("path"), "content")
+    relative = F.substring_index("path", root, -1).alias("path")
+    filled = files.select(relative, "content")
+    listed = spark.createDataFrame([(name,) for name in files.inputFiles()], "path string").select(relative)
+    empty = listed.join(filled.select("path"), "path", "left_anti")
+    return filled.unionByName(empty.withColumn("content", F.lit("").cast("binary")))
 
 
 def file_manifest(files: DataFrame) -> DataFrame:
