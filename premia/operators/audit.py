@@ -127,15 +127,11 @@ def scenario_losses(sums: DataFrame, scenarios: DataFrame, costs: DataFrame) ->
     touched = sums.join(costs, "book_id").select(
         "book_id", (F.col("cost") - F.col("scenario_return")).alias("loss"), F.lit(1).alias("copies")
     )
-    count = scenario_count(scenarios)
-    untouched = (
-        costs.join(per_book, "book_id", "left")
-        .join(F.broadcast(count))  # one row
-        .select(
-            "book_id",
-            F.col("cost").alias("loss"),
-            (F.col("scenario_count") - F.coalesce("_have", F.lit(0))).cast("int").alias("copies"),
-        )
+    count = scenario_count(scenarios).scalar()
+    untouched = costs.join(per_book, "book_id", "left").select(
+        "book_id",
+        F.col("cost").alias("loss"),
+        (count - F.coalesce("_have", F.lit(0))).cast("int").alias("copies"),
     )
     return touched.unionByName(untouched).where("copies > 0")
 

@@ -19,6 +19,7 @@ from premia.functions.numeric import (
     with_normal_cdf,
 )
 from premia.operators.paths import check_scale, keyed, path_statistics
+from premia.session import written
 
 Keys = Sequence[str]
 
@@ -191,12 +192,8 @@ def bootstrap_panel(
         raise ValueError("block_size must be positive")
     if replicates < 1:
         raise ValueError("replicates must be positive")
-    placed = positions(
-        df.select(*keys, order, finite(ret).alias("_r")).where(F.col("_r").isNotNull()),
-        keys,
-        order,
-        block,
-    )
+    clean = df.select(*keys, order, finite(ret).alias("_r")).where(F.col("_r").isNotNull())
+    placed = written(positions(clean, keys, order, block), "placed")
     part = F.expr(f"pos div {int(block_size)}")
     draws = (
         placed.select(*keys, "pos", "path_n")

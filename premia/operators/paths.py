@@ -308,11 +308,11 @@ def path_sizes(df: DataFrame, keys: Keys, date: str = "return_date") -> DataFram
     sizes = per_date.groupBy(*keys).agg(
         F.sum("_rows").alias("rows"), F.count(date).alias("dates"), F.max("_rows").alias("_most")
     )
-    spine = per_date.select(date).distinct().agg(F.count(date).alias("_spine"))
-    return sizes.join(F.broadcast(spine)).select(
+    spine = per_date.select(date).distinct().agg(F.count(date)).scalar()
+    return sizes.select(
         *keys,
         "rows",
         "dates",
-        (F.col("dates") == F.col("_spine")).alias("complete"),
+        (F.col("dates") == spine).alias("complete"),
         (F.col("_most") > 1).alias("has_duplicates"),
     )

@@ -11,8 +11,10 @@ from premia.functions.numeric import finite, flag
 from premia.operators.ranks import exact_quantiles
 
 
-def day_block(time: Column) -> Column:
-    return F.date_trunc("day", time)
+def minute_block(time: Column) -> Column:
+    """Default scan block: short enough for a hot key, few enough to order per key."""
+
+    return F.date_trunc("minute", time)
 
 
 def asof_join(
@@ -24,7 +26,7 @@ def asof_join(
     columns: Sequence[str],
     tie: str,
     forward: bool = False,
-    block: Callable[[Column], Column] = day_block,
+    block: Callable[[Column], Column] = minute_block,
 ) -> DataFrame:
     """Each left row with the nearest right row at or before it (or at or after it).
 

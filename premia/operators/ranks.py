@@ -219,49 +219,75 @@ def fractional_tail_mean(
 
 
 
+def _offsets(counts: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """Rows before each counted value of a group (``_n`` per row), cell by cell.
+
+    ``counts`` has one row per distinct value (and sub-order) with its ``_cell``.
+    """
+
+    inside = (
+        Window.partitionBy(*keys, "_cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    )
+    across = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = (
+        counts.groupBy(*keys, "_cell")
+        .agg(F.sum("_n").alias("_cell_n"))
+        .withColumn("_above", F.coalesce(F.sum("_cell_n").over(across), F.lit(0)))
+        .select(*keys, "_cell", "_above")
+    )
+    within = F.coalesce(F.sum("_n").over(inside), F.lit(0))
+    return counts.withColumn("_within", within).join(cells, [*keys, "_cell"]).withColumn(
+        "_before", F.col("_above") + F.col("_within")
+    ).drop("_above", "_within")
+
+
 def full_rank(
-    df: DataFrame, keys: Sequence[str], value: str, tie: Sequence[str], name: str = "rank"
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    tie: Sequence[str],
+    name: str = "rank",
+    tie_block: Column | None = None,
 ) -> DataFrame:
-    """1-based rank of every row by descending value, ordered cell by cell per group."""
+    """1-based rank of every row by descending value, ties in the order of ``tie``.
 
-    cell = -_log_cell(F.col(value))
-    inside = Window.partitionBy(*keys, "_cell").orderBy(F.col(value).desc(), *tie)
-    before = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    Distinct values are ordered cell by cell. Rows of one value are ordered in parts:
+    ``tie_block`` must not decrease along ``tie`` (for example the year of a date), so that
+    even a value shared by very many rows is never ordered in one task.
+    """
+
+    part = F.lit(0) if tie_block is None else tie_block
     rows = (
         keyed(df, keys)
         .where(F.col(value).isNotNull())
-        .withColumn("_cell", cell)
-        .withColumn("_rn", F.row_number().over(inside))
+        .withColumn("_cell", -_log_cell(F.col(value)))
+        .withColumn("_part", part)
     )
-    offsets = (
-        rows.groupBy(*keys, "_cell")
-        .agg(F.count("*").alias("_n"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .select(*keys, "_cell", "_before")
-    )
-    return rows.join(offsets, [*keys, "_cell"]).select(
-        *df.columns, (F.col("_before") + F.col("_rn")).alias(name)
+    place = [*keys, "_cell", value, "_part"]
+    counts = rows.groupBy(*place).agg(F.count("*").alias("_n"))
+    offsets = _offsets(counts, keys, [F.col(value).desc(), F.col("_part")]).drop("_n")
+    inside = Window.partitionBy(*place).orderBy(*tie)
+    return (
+        rows.withColumn("_rn", F.row_number().over(inside))
+        .join(offsets, place)
+        .select(*df.columns, (F.col("_before") + F.col("_rn")).alias(name))
     )
 
 
 def average_rank(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
-    """1-based ascending rank with ties sharing their average; NULL values get NULL."""
-
-    inside = Window.partitionBy(*keys, "_cell").orderBy(value)
-    same = Window.partitionBy(*keys, "_cell", value)
-    before = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    cell = F.when(F.col(value).isNotNull(), _log_cell(F.col(value)))
-    rows = df.withColumn("_cell", F.coalesce(cell, F.lit(10 * CELL_OFFSET)))
-    offsets = (
-        rows.groupBy(*keys, "_cell")
+    """1-based ascending rank with ties sharing their average; NULL values get NULL.
+
+    Ranks are computed on distinct values and joined back, so ties cost nothing.
+    """
+
+    counts = (
+        keyed(df, [*keys, value])
+        .groupBy(*keys, value)
         .agg(F.count("*").alias("_n"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .select(*keys, "_cell", "_before")
+        .withColumn("_cell", _log_cell(F.col(value)))
     )
-    place = F.col("_before") + F.col("_first") + (F.col("_ties") - 1) / 2.0
-    return (
-        rows.withColumn("_first", F.rank().over(inside))
-        .withColumn("_ties", F.count("*").over(same))
-        .join(offsets, [*keys, "_cell"])
-        .select(*df.columns, F.when(F.col(value).isNotNull(), place).alias(name))
+    ranked = _offsets(counts, keys, [F.col(value)])
+    place = F.col("_before") + (F.col("_n") + 1) / 2.0
+    return df.join(ranked.select(*keys, value, place.alias(name)), [*keys, value], "left").select(
+        *df.columns, name
     )

@@ -356,11 +356,10 @@ def scenario_prepare(t):
     return (
         table.select("contract_id")
         .join(observed, "contract_id", "left")
-        .join(F.broadcast(audit.scenario_count(prepared)))
         .select(
             "contract_id",
             F.coalesce("_n", F.lit(0)).alias("observed"),
-            "scenario_count",
+            audit.scenario_count(prepared).scalar().alias("scenario_count"),
             F.col("_n").isNull().alias("without_data"),
         )
     )
@@ -409,7 +408,9 @@ def tail_rank(t):
     rows = load(t, "fx_returns").select(
         "config", "strategy", "return_date", (-F.col("net_return")).alias("loss")
     )
-    return full_rank(rows, ["config", "strategy"], "loss", ["return_date"])
+    return full_rank(
+        rows, ["config", "strategy"], "loss", ["return_date"], tie_block=F.year("return_date")
+    )
 
 
 def volatility_function(t, table, owner=None):
