@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from premia.llm import bpe, decontaminate, quality, simhash, substrings
+from premia.llm import bpe, decontaminate, kneser_ney, languages, quality, shards, simhash, substrings, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -104,3 +104,66 @@ def op10(spark, folder):
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query("op2_kd_sharding")
+def op2(spark, folder):
+    placed = shards.kd_shards(table(spark, folder, "documents"), shards=40)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+RULES = """
+('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'),
+('com', '/de/', 'block')
+"""
+
+OP4_SQL = rf"""
+WITH rules(rh, rp, verdict) AS (VALUES {RULES}),
+p AS (SELECT row_number() OVER () AS k, page_id,
+             coalesce({LOWER.format("regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1)")}, '') AS host,
+             coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path
+      FROM pages),
+best AS (SELECT k, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(verdict, length(rh || rp)) AS verdict
+         FROM p JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY k)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN best USING (k)
+"""
+
+
+@query("op4_url_filters", OP4_SQL)
+def op4(spark, folder):
+    rules = spark.sql(f"SELECT * FROM VALUES {RULES} AS rules(host, path, verdict)")
+    return urls.filter_urls(table(spark, folder, "pages"), rules)
+
+
+BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((CAST('0x' || substr(h, {5 * i + 1}, 5) AS INTEGER) >> {shift}) & 31) + 1), 1)"
+    for i in range(8)
+    for shift in (15, 10, 5, 0)
+)
+OP5_SQL = f"""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h, coalesce(html, '') AS x FROM pages),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY x) AS chief FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, {BASE32} AS payload_digest,
+       CASE WHEN page_id IS DISTINCT FROM chief THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM chief THEN chief END AS refers_to
+FROM g
+"""
+
+
+@query("op5_warc", OP5_SQL)
+def op5(spark, folder):
+    captures = warc.archive(table(spark, folder, "pages"))
+    return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op6_kneser_ney")
+def op6(spark, folder):
+    scored = kneser_ney.score_documents(table(spark, folder, "documents"))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op9_language_id")
+def op9(spark, folder):
+    return languages.identify(table(spark, folder, "documents"))
