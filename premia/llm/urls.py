@@ -41,7 +41,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> D
     """page_id, host, path, rule (host and path of the winning rule, or NULL) and verdict of every page.
 
     ``rules`` has host, path and verdict ('allow' or 'block'). A rule fits its host and all subdomains if the url's path
-    starts with its path; the longest rule (characters of host and path) wins, and pages that no rule fits get
+    starts with its path; the longest rule (characters of host and path; of equal ones that with the longer host) wins, and pages that no rule fits get
     ``default``. Of rules with the same host and path a block wins. Rules with a NULL are ignored; without rules every page
     gets the default. A NULL url, or one without ://, has an empty host and path. Repeated rows are judged alike and all
     returned. Other columns are dropped.
