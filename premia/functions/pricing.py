@@ -22,7 +22,8 @@ def pricing_reject() -> Column:
         .when(F.col("strike") <= 0.0, "strike_not_positive")
         .when(F.col("maturity") < 0.0, "maturity_negative")
         .when(~F.coalesce(F.col("kind").isin("call", "put"), F.lit(False)), "kind_unknown")
-        .when((F.col("maturity") > 0.0) & (F.col("volatility") <= 0.0), "volatility_not_positive")
+        .when(F.col("volatility") < 0.0, "volatility_negative")
+        .when((F.col("maturity") > 0.0) & (F.col("volatility") == 0.0), "volatility_not_positive")
     )
 
 

@@ -3,6 +3,7 @@
 Books are (book_id, contract_id, weight); contracts carry marks, exposures, costs, caps
 and wide ``stress_scenario_*`` columns. Everything is a grouped sum with map-side
 combine, so a book holding a third of all rows costs no more than its share.
+A book with a missing or unusable input has a ``problem``; it is never feasible and has no numbers.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from premia.functions.numeric import breach, finite, negative, positive, total
+from premia.functions.numeric import INFINITY, breach, finite, negative, number, positive, total
 from premia.operators.policy import FEASIBLE, Limits, Policy, underlying_limit, whole_contracts
 from premia.operators.ranks import fractional_tail_mean
 
@@ -38,8 +39,31 @@ def leg_cost() -> Column:
     return F.col("long_cost") * long_leg() + F.col("short_cost") * short_leg()
 
 
+def leg_problem(rows: DataFrame, limits: Limits) -> Column:
+    """Why a leg cannot be audited, NULL if all of its inputs are there."""
+
+    def unusable(*names: str, low: float | None = None) -> Column:
+        bad = F.lit(False)
+        for name in names:
+            value = finite(name)
+            bad = bad | (value.isNull() if low is None else ~F.coalesce(value >= low, F.lit(False)))
+        return bad
+
+    stress = [name for name in rows.columns if name.startswith(STRESS)]
+    known = F.col("scenario_problem") if "scenario_problem" in rows.columns else F.lit(None).cast("string")
+    return (
+        F.when(unusable("weight"), "weight_not_finite")
+        .when(unusable("effective_cap", low=0.0), "cap_missing")
+        .when(unusable("long_cost", "short_cost", "short_margin", low=0.0), "cost_missing")
+        .when(F.col("short_allowed").isNull(), "permission_missing")
+        .when(unusable(*[f"{name}_nav" for name in limits.exposures()]), "exposure_missing")
+        .when(unusable(*stress), "stress_missing")
+        .otherwise(known)
+    )
+
+
 def book_sums(rows: DataFrame, limits: Limits) -> DataFrame:
-    """All per-book sums of the audit in one aggregation."""
+    """All per-book sums of the audit in one aggregation, and the first ``leg_problem`` by name."""
 
     w = F.col("weight")
     stress = [name for name in rows.columns if name.startswith(STRESS)]
@@ -57,6 +81,8 @@ def book_sums(rows: DataFrame, limits: Limits) -> DataFrame:
         F.max(F.abs(w) - F.col("effective_cap")).alias("cap_excess"),
         F.sum(F.col("short_margin") * short_leg()).alias("margin"),
         F.sum(leg_cost()).alias("cost"),
+        F.min(leg_problem(rows, limits)).alias("leg_problem"),
+        F.coalesce(F.max(short_leg()), F.lit(0.0)).alias("max_short"),
         F.coalesce(F.max(F.when(~F.col("short_allowed"), short_leg())), F.lit(0.0)).alias(
             "assignment"
         ),
@@ -96,10 +122,15 @@ def scenario_sums(rows: DataFrame, scenarios: DataFrame) -> DataFrame:
 
 
 def scenario_prepare(scenarios: DataFrame, contracts: DataFrame) -> DataFrame:
-    """Finite scenario cells of the universe; a cell that is not finite counts as missing."""
+    """Scenario cells of the universe: missing cells (NULL, NaN) drop out, infinite ones lose their
+    value and name a ``problem`` instead."""
 
-    return scenarios.where(finite("ret").isNotNull()).join(
-        contracts.select("contract_id"), "contract_id", "left_semi"
+    value = number("ret")
+    return (
+        scenarios.where(value.isNotNull())
+        .withColumn("problem", F.when(F.abs(value) == INFINITY, "scenario_not_finite"))
+        .withColumn("ret", finite("ret"))
+        .join(contracts.select("contract_id"), "contract_id", "left_semi")
     )
 
 
@@ -110,10 +141,17 @@ def scenario_count(prepared: DataFrame) -> DataFrame:
 
 
 def scenario_problems(prepared: DataFrame, contracts: DataFrame) -> DataFrame:
-    """Contracts without any observation."""
+    """Every contract with its ``scenario_problem``: no observation at all, an infinite one, or NULL."""
 
-    return contracts.select("contract_id").join(
-        prepared.select("contract_id").distinct(), "contract_id", "left_anti"
+    if "problem" not in prepared.columns:
+        prepared = scenario_prepare(prepared, contracts)
+    seen = prepared.groupBy("contract_id").agg(
+        F.count("*").alias("_cells"), F.max("problem").alias("_problem")
+    )
+    return (
+        contracts.join(seen, "contract_id", "left")
+        .withColumn("scenario_problem", F.when(F.col("_cells").isNull(), "scenario_missing").otherwise(F.col("_problem")))
+        .drop("_cells", "_problem")
     )
 
 
@@ -173,10 +211,12 @@ def with_breaches(table: DataFrame, limits: Limits, policy: Policy) -> DataFrame
             F.col("volatility") * policy.periods_per_year**0.5, lit(policy.annual_volatility_ceiling)
         ),
     }
-    audited = table.withColumns(breaches)
+    # A number that a missing input has shaped is not reported.
+    sound = F.col("problem").isNull()
+    audited = table.withColumns({name: F.when(sound, value) for name, value in breaches.items()})
     return audited.withColumn(
-        "max_violation", F.greatest(*[F.col(name) for name in breaches])
-    ).withColumn("feasible", F.col("max_violation") <= FEASIBLE)
+        "max_violation", F.when(sound, F.greatest(*[F.col(name) for name in breaches]))
+    ).withColumn("feasible", F.coalesce(F.col("max_violation") <= FEASIBLE, F.lit(False)))
 
 
 def portfolio_audit(
@@ -187,17 +227,15 @@ def portfolio_audit(
     limits: Limits,
     policy: Policy,
 ) -> DataFrame:
-    """Every breach of every book.
+    """Every breach of every book, or the ``problem`` that keeps it from being audited.
 
     ``scenarios`` are prepared cells of the whole universe; ``volatility_of`` maps books
-    to (book_id, volatility per period).
+    to (book_id, volatility per period). Problems: a leg's own (see ``leg_problem``), a contract without
+    usable scenario cells, fewer than two scenarios, no volatility, no tail loss.
     """
 
-    rows = book_rows(books, contracts)
+    rows = book_rows(books, scenario_problems(scenarios, contracts))
     sums = book_sums(rows, limits)
-    if limits.long_only:
-        shorts = rows.groupBy("book_id").agg(F.max(short_leg()).alias("max_short"))
-        sums = sums.join(shorts, "book_id")
     table = (
         sums.join(underlying_breach(rows, limits), "book_id", "left")
         .join(
@@ -207,13 +245,23 @@ def portfolio_audit(
         )
         .join(volatility_of(books).select("book_id", "volatility"), "book_id", "left")
     )
-    return with_breaches(table, limits, policy)
+    few = scenario_count(scenarios).scalar() < 2
+    problem = F.coalesce(
+        F.col("leg_problem"),
+        F.when(few, "too_few_scenarios"),
+        F.when(~F.coalesce(finite("volatility") >= 0.0, F.lit(False)), "volatility_missing"),
+        F.when(finite("cvar").isNull(), "tail_loss_missing"),
+    )
+    return with_breaches(table.withColumn("problem", problem).drop("leg_problem"), limits, policy)
 
 
 def constraint_violation(
     rows: DataFrame, limits: Limits, stress_limit: float | None = None
 ) -> DataFrame:
-    """Largest breach of the optimizer's own limits (no policy terms) per book."""
+    """Largest breach of the optimizer's own limits (no policy terms) per book.
+
+    NULL for a book with a ``problem``; a short leg breaches ``long_only`` by its size.
+    """
 
     sums = book_sums(rows, limits).join(underlying_breach(rows, limits), "book_id", "left")
     lit = lambda value: F.lit(value).cast("double")
@@ -225,13 +273,17 @@ def constraint_violation(
         breach(F.abs("net"), lit(limits.net_nav_abs)),
         breach("short", lit(limits.short_nav_abs)),
         F.coalesce("underlying", lit(0.0)),
+        F.col("max_short") if limits.long_only else lit(0.0),
         breach(-F.col("worst_stress"), lit(floor)),
         *[
             breach(F.abs(F.col(f"{name}_exposure")), lit(bound))
             for name, bound in limits.exposures().items()
         ],
     ]
-    return sums.select("book_id", F.greatest(*parts).alias("max_violation"))
+    sound = F.col("leg_problem").isNull()
+    return sums.select(
+        "book_id", F.when(sound, F.greatest(*parts)).alias("max_violation"), F.col("leg_problem").alias("problem")
+    )
 
 
 def integer_or_cash(
@@ -255,7 +307,9 @@ def integer_or_cash(
     audited = portfolio_audit(realized, contracts, scenarios, volatility_of, limits, policy)
     verdict = audited.withColumn("abstained", ~F.col("feasible")).withColumn(
         "reason",
-        F.when(F.col("feasible"), "direct_truncation").otherwise("infeasible_direct_book"),
+        F.when(F.col("feasible"), "direct_truncation")
+        .when(F.col("problem").isNotNull(), F.col("problem"))
+        .otherwise("infeasible_direct_book"),
     )
     kept = F.when(F.col("abstained"), 0.0)
     legs = rounded.join(verdict.select("book_id", "abstained"), "book_id").select(

@@ -13,7 +13,9 @@ from premia.functions.numeric import finite
 
 @dataclass(frozen=True)
 class Limits:
-    """Book limits; None is inactive. Defaults are the published first policy."""
+    """Book limits; None is inactive."""
+
+    # The published first policy.
 
     gross_nav: float = 1.0
     net_nav_abs: float | None = 1.0
@@ -45,7 +47,9 @@ class Limits:
 
 @dataclass(frozen=True)
 class Policy:
-    """Risk policy; defaults are the published first policy."""
+    """Risk policy."""
+
+    # The published first policy.
 
     annual_volatility_ceiling: float = 0.15
     periods_per_year: float = 12.0
@@ -145,7 +149,14 @@ def policy_limits(contracts: DataFrame, caps: DataFrame, limits: Limits) -> Data
 
 
 def policy_reject() -> Column:
-    """Why a policy row is unusable, NULL for a valid one."""
+    """Why a policy row is unusable, NULL for a valid one.
+
+    A NULL limit is inactive; the policy's own numbers are required.
+    """
+
+    def required(name: str, strict: bool) -> Column:
+        value = finite(name)
+        return ~F.coalesce(value > 0.0 if strict else value >= 0.0, F.lit(False))
 
     def bad(name: str, low: float = 0.0) -> Column:
         value = finite(name)
@@ -157,10 +168,22 @@ def policy_reject() -> Column:
         .when(bad("short_nav_abs"), "short_invalid")
         .when(bad("per_contract_abs"), "cap_invalid")
         .when(bad("stress_loss_abs"), "stress_invalid")
+        .when(
+            bad("delta_abs") | bad("gamma_abs") | bad("vega_abs") | bad("vix_vega_abs") | bad("beta_spy_abs"),
+            "exposure_invalid",
+        )
+        .when(
+            required("annual_volatility_ceiling", True) | required("periods_per_year", True), "scale_not_positive"
+        )
+        .when(
+            required("cvar_loss_nav", False) | required("stress_loss_nav", False)
+            | required("short_margin_nav", False) | required("collateral_nav", False),
+            "funding_invalid",
+        )
         .when(~F.coalesce((F.col("cvar_alpha") > 0) & (F.col("cvar_alpha") < 1), F.lit(False)), "alpha_outside")
         .when(
             ~F.coalesce(
-                (F.col("lambda_floor") > 0) & (F.col("lambda_floor") < F.col("lambda_ceiling")),
+                (finite("lambda_floor") > 0) & (F.col("lambda_floor") <= finite("lambda_ceiling")),
                 F.lit(False),
             ),
             "lambda_not_ordered",
@@ -179,7 +202,7 @@ def whole_contracts(
     """Signed truncation to whole contracts and the weight they realize."""
 
     if nav <= 0.0 or multiplier <= 0.0:
-        raise ValueError("nav and multiplier must be positive")
+        raise ValueError("a book needs a NAV and a multiplier above zero")
     wanted = F.col(weight) * nav / (F.col(mark) * multiplier)
     return rows.withColumn("contracts", F.signum(wanted) * F.floor(F.abs(wanted))).withColumn(
         "realized_weight", F.col("contracts") * F.col(mark) * multiplier / nav

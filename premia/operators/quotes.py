@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from premia.functions.numeric import finite, flag
+from premia.operators.paths import keyed
 from premia.operators.ranks import exact_quantiles
 
 
@@ -233,12 +234,14 @@ def cost_scenario_reject(gross: str = "gross_return") -> Column:
 def quote_coverage(legs: DataFrame, levels: Sequence[str]) -> DataFrame:
     """Covered share of absolute weight at entry and round trip, with all rollup levels.
 
-    Uncovered legs stay in the denominator. Rolled-up labels read ``all``.
+    Uncovered legs stay in the denominator. Rolled-up labels read ``all``; legs with a NULL label belong to no level.
     """
 
+    legs = keyed(legs, levels)
     size = F.abs("weight")
     entry, leave = flag("entry_covered"), flag("exit_covered")
     sums = legs.rollup(*levels).agg(
+        *[F.grouping(name).alias(f"_rolled_{name}") for name in levels],
         F.count("*").alias("positions"),
         F.sum(size).alias("absolute_weight"),
         F.coalesce(F.sum(F.when(entry, size)), F.lit(0.0)).alias("entry_covered_weight"),
@@ -246,7 +249,7 @@ def quote_coverage(legs: DataFrame, levels: Sequence[str]) -> DataFrame:
     )
     whole = F.col("absolute_weight")
     return sums.select(
-        *[F.coalesce(F.col(name), F.lit("all")).alias(name) for name in levels],
+        *[F.when(F.col(f"_rolled_{name}") == 1, "all").otherwise(F.col(name)).alias(name) for name in levels],
         "positions", "absolute_weight", "entry_covered_weight", "roundtrip_covered_weight",
         F.try_divide(F.col("entry_covered_weight"), whole).alias("entry_coverage"),
         F.try_divide(F.col("roundtrip_covered_weight"), whole).alias("roundtrip_coverage"),

@@ -1,11 +1,9 @@
 """Exact order statistics without sorting a large group in one task.
 
-Values are first counted (ties collapse map-side) and the counts are written once to the
-shared folder. If no group has more distinct values than ``DIRECT_LIMIT``, each group is
-ordered directly. Otherwise values are located by two histogram levels: a logarithmic
-cell that is a pure function of the value, and equal-width cells between the exact ends
-of the chosen logarithmic cell. Only the distinct values of the chosen fine cell are
-ordered. State per group is bounded by the number of cells.
+Values are first counted (ties collapse map-side). They are located by two histogram levels: a
+logarithmic cell that is a pure function of the value, and equal-width cells between the exact ends of
+a logarithmic cell. Only the distinct values of one fine cell are ordered together. State per group is
+bounded by the number of cells, the plan is the same for every size, and nothing runs while it is built.
 """
 
 from __future__ import annotations
@@ -17,12 +15,10 @@ from pyspark.sql import functions as F
 
 from premia.functions.numeric import finite
 from premia.operators.paths import keyed
-from premia.session import written
 
 CELLS_PER_E = 64
 CELL_OFFSET = 100_000
 FINE_CELLS = 4096
-DIRECT_LIMIT = 1_000_000
 
 
 def _log_cell(value: Column) -> Column:
@@ -30,6 +26,13 @@ def _log_cell(value: Column) -> Column:
     return F.when(value == 0.0, F.lit(0)).otherwise(F.signum(value).cast("bigint") * steps)
 
 
+def _fine_cell(value: Column) -> Column:
+    """Equal-width cell between ``_lo`` and ``_hi``, the ends of the logarithmic cell."""
+
+    share = F.try_divide(value - F.col("_lo"), F.col("_hi") - F.col("_lo"))
+    return F.least(F.coalesce(F.floor(share * FINE_CELLS), F.lit(0)), F.lit(FINE_CELLS - 1))
+
+
 def _running(cells: DataFrame, keys: Sequence[str], order: str, suffix: str) -> DataFrame:
     """Count and sum of everything before each row of a group."""
 
@@ -45,7 +48,6 @@ def rank_lookup(
     value: str | Column,
     ranks: Mapping[str, Callable[[Column], Column]],
     weight: str | None = None,
-    direct_limit: int = DIRECT_LIMIT,
 ) -> DataFrame:
     """Per group and named ascending 0-based rank: the value there and what lies below.
 
@@ -62,33 +64,8 @@ def rank_lookup(
         .groupBy(*keys, "_v")
         .agg(F.sum("_w").alias("_c"))
     )
-    counted = written(counted, "counted").withColumn("_t", F.col("_v") * F.col("_c"))
-    largest = (
-        counted.groupBy(*keys).agg(F.count("*").alias("_d")).agg(F.max("_d").alias("_d")).first()["_d"]
-    )
+    counted = counted.withColumn("_t", F.col("_v") * F.col("_c"))
     whole = Window.partitionBy(*keys)
-    if (largest or 0) <= direct_limit:
-        wants = {
-            name: rank(F.col("size")).cast("bigint").between(F.col("_n1"), F.col("_n1") + F.col("_c") - 1)
-            for name, rank in ranks.items()
-        }
-        here = F.struct(
-            F.col("_v").alias("value"),
-            F.col("_n1").alias("below"),
-            F.col("_s1").alias("below_sum"),
-            F.col("_c").alias("at"),
-        )
-        return (
-            _running(counted, keys, "_v", "1")
-            .withColumn("size", F.sum("_c").over(whole))
-            .withColumn("sum", F.sum("_t").over(whole))
-            .groupBy(*keys)
-            .agg(
-                F.max("size").alias("size"),
-                F.max("sum").alias("sum"),
-                *[F.max(F.when(hit, here)).alias(name) for name, hit in wants.items()],
-            )
-        )
     counted = counted.withColumn("_cell", _log_cell(F.col("_v")))
     coarse = counted.groupBy(*keys, "_cell").agg(
         F.sum("_c").alias("_c"),
@@ -116,10 +93,8 @@ def rank_lookup(
         .select(*keys, "size", "sum", "_want", "_cell", "_n1", "_s1", "_lo", "_hi")
     )
     cell = [*keys, "_cell"]
-    share = F.try_divide(F.col("_v") - F.col("_lo"), F.col("_hi") - F.col("_lo"))
     fine_rows = counted.join(found.select(*cell, "_lo", "_hi").distinct(), cell).withColumn(
-        "_fine",
-        F.least(F.coalesce(F.floor(share * FINE_CELLS), F.lit(0)), F.lit(FINE_CELLS - 1)),
+        "_fine", _fine_cell(F.col("_v"))
     )
     fine_cell = [*cell, "_fine"]
     fine = fine_rows.groupBy(*fine_cell).agg(F.sum("_c").alias("_c"), F.sum("_t").alias("_t"))
@@ -160,7 +135,6 @@ def exact_quantiles(
     probabilities: Mapping[str, float],
     weight: str | None = None,
     tail_means: bool = False,
-    direct_limit: int = DIRECT_LIMIT,
 ) -> DataFrame:
     """Linearly interpolated exact quantiles, one column per name, plus ``size``.
 
@@ -171,7 +145,7 @@ def exact_quantiles(
     for name, p in probabilities.items():
         ranks[f"_lo_{name}"] = lambda n, p=p: F.floor((n - 1) * F.lit(p))
         ranks[f"_hi_{name}"] = lambda n, p=p: F.ceil((n - 1) * F.lit(p))
-    looked = rank_lookup(df, keys, value, ranks, weight, direct_limit)
+    looked = rank_lookup(df, keys, value, ranks, weight)
     columns = []
     for name, p in probabilities.items():
         low, high = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
@@ -193,7 +167,6 @@ def fractional_tail_mean(
     alpha: float,
     weight: str | None = None,
     name: str = "cvar",
-    direct_limit: int = DIRECT_LIMIT,
 ) -> DataFrame:
     """Mean of the worst (1 - alpha) share of losses, the last one counted in part."""
 
@@ -207,7 +180,7 @@ def fractional_tail_mean(
     def edge_rank(n: Column) -> Column:
         return n - F.greatest(F.ceil(mass(n)), F.lit(1))
 
-    looked = rank_lookup(df, keys, loss, {"_edge": edge_rank}, weight, direct_limit)
+    looked = rank_lookup(df, keys, loss, {"_edge": edge_rank}, weight)
     edge, m = F.col("_edge"), mass(F.col("size"))
     above = F.col("size") - edge["below"] - edge["at"]
     above_sum = F.col("sum") - edge["below_sum"] - edge["value"] * edge["at"]
@@ -217,28 +190,37 @@ def fractional_tail_mean(
 
 
 
+def _offsets(counts: DataFrame, keys: Sequence[str], value: str, order: Sequence[Column], falling: bool) -> DataFrame:
+    """Rows before each counted value of a group (``_before``), by two levels of cells.
 
-
-def _offsets(counts: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """Rows before each counted value of a group (``_n`` per row), cell by cell.
-
-    ``counts`` has one row per distinct value (and sub-order) with its ``_cell``.
+    ``counts`` has one row per distinct value (and sub-order) with its count ``_n``. Each window is over cells,
+    or over the values of one fine cell, so values crowded near one level are still split.
     """
 
-    inside = (
-        Window.partitionBy(*keys, "_cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    sign = F.lit(-1 if falling else 1)
+    cell, fine = [*keys, "_cell"], [*keys, "_cell", "_fine"]
+    celled = counts.withColumn("_cell", sign * _log_cell(F.col(value)))
+    ends = celled.groupBy(*cell).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    rows = celled.join(ends, cell).withColumn("_fine", sign * _fine_cell(F.col(value))).drop("_lo", "_hi")
+
+    def before(table: DataFrame, group: Sequence[str], by: Sequence[str | Column], name: str) -> DataFrame:
+        window = Window.partitionBy(*group).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+        return table.withColumn(name, F.coalesce(F.sum("_n").over(window), F.lit(0)))
+
+    fines = rows.groupBy(*fine).agg(F.sum("_n").alias("_n"))
+    cells = fines.groupBy(*cell).agg(F.sum("_n").alias("_n"))
+    placed = (
+        before(fines, cell, ["_fine"], "_b")
+        .drop("_n")
+        .join(before(cells, keys, ["_cell"], "_a").drop("_n"), cell)
+        .select(*fine, (F.col("_a") + F.col("_b")).alias("_above"))
     )
-    across = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = (
-        counts.groupBy(*keys, "_cell")
-        .agg(F.sum("_n").alias("_cell_n"))
-        .withColumn("_above", F.coalesce(F.sum("_cell_n").over(across), F.lit(0)))
-        .select(*keys, "_cell", "_above")
+    return (
+        before(rows, fine, order, "_within")
+        .join(placed, fine)
+        .withColumn("_before", F.col("_above") + F.col("_within"))
+        .drop("_above", "_within", "_fine")
     )
-    within = F.coalesce(F.sum("_n").over(inside), F.lit(0))
-    return counts.withColumn("_within", within).join(cells, [*keys, "_cell"]).withColumn(
-        "_before", F.col("_above") + F.col("_within")
-    ).drop("_above", "_within")
 
 
 def full_rank(
@@ -251,7 +233,7 @@ def full_rank(
 ) -> DataFrame:
     """1-based rank of every row by descending value, ties in the order of ``tie``.
 
-    Distinct values are ordered cell by cell. Rows of one value are ordered in parts:
+    Distinct values are ordered fine cell by fine cell. Rows of one value are ordered in parts:
     ``tie_block`` must not decrease along ``tie`` (for example the year of a date), so that
     even a value shared by very many rows is never ordered in one task.
     """
@@ -260,12 +242,11 @@ def full_rank(
     rows = (
         keyed(df, keys)
         .where(F.col(value).isNotNull())
-        .withColumn("_cell", -_log_cell(F.col(value)))
         .withColumn("_part", part)
     )
-    place = [*keys, "_cell", value, "_part"]
+    place = [*keys, value, "_part"]
     counts = rows.groupBy(*place).agg(F.count("*").alias("_n"))
-    offsets = _offsets(counts, keys, [F.col(value).desc(), F.col("_part")]).drop("_n")
+    offsets = _offsets(counts, keys, value, [F.col(value).desc(), F.col("_part")], True).drop("_n", "_cell")
     inside = Window.partitionBy(*place).orderBy(*tie)
     return (
         rows.withColumn("_rn", F.row_number().over(inside))
@@ -284,9 +265,8 @@ def average_rank(df: DataFrame, keys: Sequence[str], value: str, name: str) -> D
         keyed(df, [*keys, value])
         .groupBy(*keys, value)
         .agg(F.count("*").alias("_n"))
-        .withColumn("_cell", _log_cell(F.col(value)))
     )
-    ranked = _offsets(counts, keys, [F.col(value)])
+    ranked = _offsets(counts, keys, value, [F.col(value)], False)
     place = F.col("_before") + (F.col("_n") + 1) / 2.0
     return df.join(ranked.select(*keys, value, place.alias(name)), [*keys, value], "left").select(
         *df.columns, name

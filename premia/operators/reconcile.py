@@ -234,7 +234,7 @@ def required_text(claims: DataFrame, keys: Sequence[str], text: str, phrase: str
 def json_key_audit(documents: DataFrame, keys: Sequence[str], text: str, banned: str) -> DataFrame:
     """Occurrences of a key at any depth of JSON texts (quotes inside strings are escaped)."""
 
-    hits = F.regexp_count(F.col(text), F.lit(rf'(?<!\\)"{banned}"\s*:'))
+    hits = F.regexp_count(F.col(text), F.lit(rf'(?<!\\)"\Q{banned}\E"\s*:'))
     return documents.groupBy(*keys).agg(
         F.count("*").alias("documents"),
         F.count_if(hits > 0).alias("documents_with_key"),

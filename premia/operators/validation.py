@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from premia.functions.numeric import finite
@@ -186,9 +186,18 @@ def in_out_sharpes(
     sums = (
         time_blocks(rows, keys, count)
         .groupBy(*keys, "block")
-        .agg(F.count(r).alias("_n"), F.sum(r).alias("_s"), F.sum(r * r).alias("_q"))
+        .agg(F.count(r).alias("_n"), F.avg(r).alias("_m"), F.var_pop(r).alias("_v"))
     )
-    parts = sums.select(*keys, "block", "_n", "_s", "_q", F.inline(split_array(count)))
+    # Sums are of deviations from the path's own mean, so a large mean does not swallow the variance.
+    path = Window.partitionBy(*keys)
+    center = F.sum(F.col("_n") * F.col("_m")).over(path) / F.sum("_n").over(path)
+    off = F.col("_m") - F.col("_center")
+    centered = sums.withColumn("_center", center).select(
+        *keys, "block", "_center", "_n",
+        (F.col("_n") * off).alias("_s"),
+        (F.col("_n") * (F.col("_v") + off * off)).alias("_q"),
+    )
+    parts = centered.select(*keys, "block", "_center", "_n", "_s", "_q", F.inline(split_array(count)))
     tested = (F.col("block") == F.col("a")) | (F.col("block") == F.col("b"))
 
     def side(inside: Column) -> list[Column]:
@@ -198,9 +207,10 @@ def in_out_sharpes(
         n, s, q = (F.col(f"{prefix}.{c}") for c in ("_n", "_s", "_q"))
         mean = F.try_divide(s, n.cast("double"))
         variance = F.try_divide(q - mean * s, n - 1.0)
-        return F.when(variance > 0.0, F.try_divide(mean, F.sqrt(variance)))
+        return F.when(variance > 0.0, F.try_divide(mean + F.col("_center"), F.sqrt(variance)))
 
     combined = parts.groupBy(*keys, "split_id").agg(
+        F.max("_center").alias("_center"),
         F.struct(*side(~tested)).alias("_in"), F.struct(*side(tested)).alias("_out")
     )
     return combined.select(
@@ -221,7 +231,7 @@ def overfitting_probability(ranks: DataFrame, scope: str, strategy: str) -> Data
     winner = F.max(
         F.struct("in_rank", F.col(strategy).alias("winner"), "out_rank")
     ).alias("_win")
-    per_split = ranks.groupBy(scope, "split_id").agg(winner, F.count("*").alias("_n"))
+    per_split = ranks.groupBy(scope, "split_id").agg(winner, F.count("out_rank").alias("_n"))
     omega = F.col("_win.out_rank") / (F.col("_n") + 1.0)
     logits = per_split.withColumn("logit", F.ln(omega / (1.0 - omega)))
     sums = logits.groupBy(scope).agg(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from premia.operators import audit, chain, covariance, policy
@@ -124,7 +126,14 @@ SELECT s_suppkey AS policy_id, s_acctbal / 10000.0e0 AS gross_nav,
        CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE (s_suppkey % 11 - 1) / 10.0e0 END AS net_nav_abs,
        0.25e0 AS short_nav_abs, 0.18e0 AS per_contract_abs, 0.2e0 AS stress_loss_abs,
        0.9e0 + 0.01e0 * (s_suppkey % 13) AS cvar_alpha, 0.000001e0 AS lambda_floor,
-       CASE WHEN s_suppkey % 17 = 0 THEN 0.0e0 ELSE 1000000.0e0 END AS lambda_ceiling,
+       CASE WHEN s_suppkey % 17 = 0 THEN 0.0e0 WHEN s_suppkey % 17 = 1 THEN 0.000001e0 ELSE 1000000.0e0 END AS lambda_ceiling,
+       CASE WHEN s_suppkey % 37 = 0 THEN 0.0e0 ELSE 0.15e0 END AS annual_volatility_ceiling,
+       CASE WHEN s_suppkey % 41 = 0 THEN NULL ELSE 12.0e0 END AS periods_per_year,
+       CASE WHEN s_suppkey % 43 = 0 THEN -0.1e0 ELSE 0.1e0 END AS cvar_loss_nav, 0.2e0 AS stress_loss_nav,
+       CASE WHEN s_suppkey % 47 = 0 THEN NULL ELSE 0.75e0 END AS short_margin_nav, 1.0e0 AS collateral_nav,
+       CASE WHEN s_suppkey % 29 = 0 THEN -1.0e0 WHEN s_suppkey % 2 = 0 THEN NULL ELSE 0.5e0 END AS delta_abs,
+       CAST(NULL AS DOUBLE) AS gamma_abs, CAST(NULL AS DOUBLE) AS vega_abs, 8.0e0 AS vix_vega_abs,
+       CASE WHEN s_suppkey % 31 = 0 THEN -3.0e0 ELSE 3.0e0 END AS beta_spy_abs,
        s_suppkey % 19 AS bisection_steps, 0.05e0 * (s_suppkey % 23) AS deployment_target,
        0.01e0 * (s_suppkey % 7 - 1) AS deployment_edge_floor
 FROM {supplier}
@@ -137,7 +146,10 @@ FROM {supplier}
     oracle(
         "fx_policies",
         """SELECT policy_id, CASE WHEN gross_nav <= 0 THEN 'gross_not_positive' WHEN net_nav_abs < 0 THEN 'net_invalid'
-             WHEN cvar_alpha >= 1 THEN 'alpha_outside' WHEN lambda_ceiling <= lambda_floor THEN 'lambda_not_ordered'
+             WHEN delta_abs < 0 OR beta_spy_abs < 0 THEN 'exposure_invalid'
+             WHEN annual_volatility_ceiling <= 0 OR periods_per_year IS NULL THEN 'scale_not_positive'
+             WHEN cvar_loss_nav < 0 OR short_margin_nav IS NULL THEN 'funding_invalid'
+             WHEN cvar_alpha >= 1 THEN 'alpha_outside' WHEN lambda_ceiling < lambda_floor THEN 'lambda_not_ordered'
              WHEN bisection_steps < 1 THEN 'steps_below_one' WHEN deployment_target > 1 THEN 'target_outside'
              WHEN deployment_edge_floor < 0 THEN 'edge_floor_negative' END AS reason FROM fx_policies""",
         "policy_id reason",
@@ -293,13 +305,22 @@ VIEWS.add(
     oracle(
         "book_sums book_underlying",
         """SELECT s.book_id, greatest(gross - 0.47e0, cap_excess, abs(net) - 0.20e0, short - 0.15e0, u.underlying, -0.012e0 - worst_stress,
-                  abs(delta_exposure) - 0.35e0, abs(vix_vega_exposure) - 0.14e0, abs(beta_spy_exposure) - 0.36e0, 0) AS max_violation
-           FROM book_sums s JOIN book_underlying u ON u.book_id = s.book_id""",
-        "book_id", "max_violation",
+                  abs(delta_exposure) - 0.35e0, abs(vix_vega_exposure) - 0.14e0, abs(beta_spy_exposure) - 0.36e0, 0) AS max_violation,
+             (SELECT max(w_short) FROM legs l WHERE l.book_id = s.book_id) AS max_short
+           FROM book_sums s JOIN book_underlying u ON u.book_id = s.book_id""".join(
+            ("SELECT book_id, max_violation, greatest(max_violation, max_short) AS long_only_violation FROM (", ") q")
+        ),
+        "book_id", "max_violation long_only_violation",
     ),
 )
 def constraint_violation(t):
-    return audit.constraint_violation(audit.book_rows(legs(t), contracts(t)), LIMITS)
+    rows = audit.book_rows(legs(t), contracts(t))
+    bought = audit.constraint_violation(rows, replace(LIMITS, long_only=True))
+    return (
+        audit.constraint_violation(rows, LIMITS)
+        .drop("problem")
+        .join(bought.select("book_id", F.col("max_violation").alias("long_only_violation")), "book_id")
+    )
 
 
 VIEWS.add(
@@ -333,6 +354,17 @@ def cells(t, table):
     return audit.scenario_prepare(load(t, "fx_scenarios"), table)
 
 
+def spoiled_scenarios(t):
+    """Scenarios with planted faults: some contracts lose all cells, some have infinite ones late."""
+
+    late = (F.col("contract_id") % 97 == 0) & (F.col("scenario_id") >= F.lit("1996-01-01").cast("date"))
+    return (
+        load(t, "fx_scenarios")
+        .where("contract_id % 89 <> 0")
+        .withColumn("ret", F.when(late, F.lit(float("inf"))).otherwise(F.col("ret")))
+    )
+
+
 @query("scenario_cross", oracle("crossed", "SELECT * FROM crossed", "book_id scenario_id", "scenario_return"))
 def scenario_cross(t):
     table = contracts(t)
@@ -344,23 +376,25 @@ def scenario_cross(t):
     oracle(
         "cells",
         """SELECT u.contract_id, count(s.scenario_id) AS observed, (SELECT count(DISTINCT scenario_id) FROM cells) AS scenario_count,
-                  count(s.scenario_id) = 0 AS without_data
-           FROM audit_universe u LEFT JOIN cells s ON s.contract_id = u.contract_id GROUP BY 1""",
-        "contract_id without_data", "", "observed scenario_count",
+                  CASE WHEN u.contract_id % 89 = 0 OR count(s.scenario_id) = 0 THEN 'scenario_missing'
+                       WHEN u.contract_id % 97 = 0 AND count(s.scenario_id) FILTER (WHERE s.scenario_id >= DATE '1996-01-01') > 0
+                         THEN 'scenario_not_finite' END AS problem
+           FROM audit_universe u LEFT JOIN cells s ON s.contract_id = u.contract_id AND u.contract_id % 89 <> 0 GROUP BY 1""",
+        "contract_id problem", "", "observed scenario_count",
     ),
 )
 def scenario_prepare(t):
     table = contracts(t)
-    prepared = cells(t, table)
+    prepared = audit.scenario_prepare(spoiled_scenarios(t), table)
     observed = prepared.groupBy("contract_id").agg(F.count("*").alias("_n"))
     return (
-        table.select("contract_id")
+        audit.scenario_problems(prepared, table.select("contract_id"))
         .join(observed, "contract_id", "left")
         .select(
             "contract_id",
             F.coalesce("_n", F.lit(0)).alias("observed"),
             audit.scenario_count(prepared).scalar().alias("scenario_count"),
-            F.col("_n").isNull().alias("without_data"),
+            F.col("scenario_problem").alias("problem"),
         )
     )
 
@@ -504,6 +538,46 @@ def audited(t, table=None, books=None):
     )
 
 
-@query("portfolio_audit", oracle("audited", "SELECT * FROM audited", "book_id feasible", BREACHES))
+# The audit again, over inputs with planted faults of every kind.
+VIEWS.add(
+    "book_problems",
+    """SELECT book_id, coalesce(min(p), CASE WHEN book_id % 10 = 3 THEN 'volatility_missing' END) AS problem FROM (
+         SELECT book_id, CASE contract_id WHEN 7 THEN 'cap_missing' WHEN 11 THEN 'cost_missing' WHEN 13 THEN 'permission_missing'
+             WHEN 17 THEN 'exposure_missing' WHEN 19 THEN 'stress_missing'
+             ELSE CASE WHEN contract_id % 997 = 89 THEN 'scenario_missing' WHEN contract_id % 997 = 97 THEN 'scenario_not_finite' END
+           END AS p FROM legs) s GROUP BY 1""",
+    "legs",
+)
+
+
+def spoiled(name, ids):
+    return F.when(~F.col("contract_id").isin(ids), F.col(name)).alias(name)
+
+
+@query(
+    "portfolio_audit",
+    oracle(
+        "audited book_problems",
+        "SELECT a.book_id, problem, feasible AND problem IS NULL AS feasible, "
+        + ", ".join(f"CASE WHEN problem IS NULL THEN {name} END AS {name}" for name in BREACHES.split())
+        + " FROM audited a JOIN book_problems p ON p.book_id = a.book_id",
+        "book_id feasible problem", BREACHES,
+    ),
+)
 def portfolio_audit(t):
-    return audited(t).select("book_id", *BREACHES.split(), "feasible")
+    table = contracts(t)
+    faults = {"effective_cap": 7, "short_cost": 11, "short_allowed": 13, "vix_vega_nav": 17, audit.STRESS + next(iter(SHOCKS)): 19}
+    faulty = table.withColumns({name: spoiled(name, [i]) for name, i in faults.items()})
+    known = (
+        load(t, "fx_scenarios")
+        .where("contract_id % 997 <> 89")
+        .withColumn("ret", F.when(F.col("contract_id") % 997 == 97, F.lit(float("-inf"))).otherwise(F.col("ret")))
+    )
+    measured = volatility_function(t, table)
+
+    def volatility_of(books):
+        return measured(books).withColumn("volatility", F.when(F.col("book_id") % 10 != 3, F.col("volatility")))
+
+    prepared = audit.scenario_prepare(known, faulty)
+    out = audit.portfolio_audit(legs(t), faulty, prepared, volatility_of, LIMITS, POLICY)
+    return out.select("book_id", *BREACHES.split(), "feasible", "problem")

@@ -210,17 +210,19 @@ def covered_legs(t):
     "quote_coverage",
     oracle(
         "covered_legs",
-        """SELECT coalesce(arm, 'all') AS arm, coalesce(asset_class, 'all') AS asset_class, positions, aw AS absolute_weight,
+        """SELECT CASE WHEN ga = 1 THEN 'all' ELSE arm END AS arm, CASE WHEN gc = 1 THEN 'all' ELSE asset_class END AS asset_class, positions, aw AS absolute_weight,
                   ew AS entry_covered_weight, rw AS roundtrip_covered_weight, ew / aw AS entry_coverage, rw / aw AS roundtrip_coverage FROM (
-             SELECT arm, asset_class, count(*) AS positions, sum(abs(weight)) AS aw, coalesce(sum(abs(weight)) FILTER (WHERE entry_covered), 0) AS ew,
+             SELECT arm, asset_class, grouping(arm) AS ga, grouping(asset_class) AS gc, count(*) AS positions, sum(abs(weight)) AS aw, coalesce(sum(abs(weight)) FILTER (WHERE entry_covered), 0) AS ew,
                     coalesce(sum(abs(weight)) FILTER (WHERE entry_covered AND exit_covered), 0) AS rw
-             FROM covered_legs GROUP BY ROLLUP (arm, asset_class)) s""",
+             FROM covered_legs WHERE symbol % 13 <> 0 GROUP BY ROLLUP (arm, asset_class)) s""",
         "arm asset_class", "absolute_weight entry_covered_weight roundtrip_covered_weight entry_coverage roundtrip_coverage",
         "positions",
     ),
 )
 def quote_coverage(t):
-    return ops.quote_coverage(covered_legs(t), ["arm", "asset_class"])
+    # Legs whose arm is unknown belong to no level.
+    known = F.when(F.col("symbol") % 13 != 0, F.col("arm"))
+    return ops.quote_coverage(covered_legs(t).withColumn("arm", known), ["arm", "asset_class"])
 
 
 @query(

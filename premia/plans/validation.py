@@ -165,7 +165,7 @@ def in_out_rank(t):
         """SELECT l.*, c.rank_correlation FROM (
              SELECT config, count(*) AS splits, max(n) AS strategies, avg((logit < 0)::INT::DOUBLE) AS pbo, quantile_cont(logit, 0.5) AS median_logit
              FROM (SELECT config, split_id, n, ln((out_rank / (n + 1)) / (1 - out_rank / (n + 1))) AS logit FROM (
-                     SELECT *, count(*) OVER (PARTITION BY config, split_id) AS n,
+                     SELECT *, count(out_sharpe) OVER (PARTITION BY config, split_id) AS n,
                             row_number() OVER (PARTITION BY config, split_id ORDER BY in_rank DESC, strategy DESC) AS k FROM io_ranks) a WHERE k = 1) b
              GROUP BY 1) l JOIN (SELECT config, corr(in_rank, out_rank) AS rank_correlation FROM io_ranks GROUP BY 1) c ON c.config = l.config""",
         "config", "pbo median_logit rank_correlation", "splits strategies",

@@ -130,3 +130,51 @@ def test_caps_must_cover_exactly(table):
     assert got[1]["contract_limit"] == 0.18 and got[2]["contract_limit"] == 0.04
     assert got[2]["underlying_limit"] == 0.20 and got[1]["underlying_limit"] == 0.35
     assert got[3]["problem"] == "missing_cap" and got[4]["problem"] == "unexpected_cap"
+
+
+FAULTS = {
+    "cap_missing": ("effective_cap", None), "cost_missing": ("long_cost", -0.1), "permission_missing": ("short_allowed", None),
+    "exposure_missing": ("delta_nav", None), "stress_missing": ("stress_scenario_crash", float("nan")),
+}
+
+
+@pytest.mark.parametrize("problem", FAULTS)
+def test_a_missing_input_is_never_feasible(world, problem):
+    contracts, scenarios, flat, books = world
+    name, value = FAULTS[problem]
+    kind = dict(contracts.dtypes)[name]
+    faulty = contracts.withColumn(name, F.when(F.col("contract_id") == 1, F.lit(value).cast(kind)).otherwise(F.col(name)))
+    limits = policy.Limits(per_contract_abs=1.0, underlying_gross=1.0, vix_vega_abs=None, beta_spy_abs=None, stress_loss_abs=None, delta_abs=9.0)
+    rows = audit.portfolio_audit(books([(1, 1, 0.01), (2, 2, 0.01)]), faulty, scenarios, flat, limits, policy.FIRST_POLICY).collect()
+    got = {r["book_id"]: (r["problem"], r["feasible"], r["max_violation"]) for r in rows}
+    assert got == {1: (problem, False, None), 2: (None, True, 0.0)}
+
+
+def test_scenarios_and_volatility_must_be_there(world, table):
+    contracts, scenarios, flat, books = world
+    given = books([(1, 1, 0.01), (2, 2, 0.01), (3, 2, float("nan"))])
+
+    def audited(cells, volatility_of=flat):
+        rows = audit.portfolio_audit(given, contracts, audit.scenario_prepare(cells, contracts), volatility_of, LOOSE, policy.FIRST_POLICY)
+        return {r["book_id"]: (r["problem"], r["feasible"]) for r in rows.collect()}
+
+    nan = ("weight_not_finite", False)
+    shape = "scenario_id int, contract_id int, ret double"
+    assert audited(scenarios) == {1: (None, True), 2: (None, True), 3: nan}
+    assert audited(scenarios.where("scenario_id = 0")) == {1: ("too_few_scenarios", False), 2: ("too_few_scenarios", False), 3: nan}
+    assert audited(scenarios.where("contract_id = 2")) == {1: ("scenario_missing", False), 2: (None, True), 3: nan}
+    wild = scenarios.unionByName(table([(5, 1, float("inf")), (6, 2, float("nan"))], shape))
+    assert audited(wild) == {1: ("scenario_not_finite", False), 2: (None, True), 3: nan}
+
+    def partly(rows):
+        return flat(rows).withColumn("volatility", F.when(F.col("book_id") == 2, F.col("volatility")))
+
+    assert audited(scenarios, partly) == {1: ("volatility_missing", False), 2: (None, True), 3: nan}
+
+
+def test_shorts_breach_long_only(world):
+    contracts, _, _, books = world
+    rows = audit.book_rows(books([(1, 1, 0.1), (1, 2, -0.2), (2, 1, 0.1)]), contracts)
+    limits = policy.Limits(per_contract_abs=1.0, underlying_gross=1.0, vix_vega_abs=None, beta_spy_abs=None, stress_loss_abs=None, long_only=True)
+    got = {r["book_id"]: r["max_violation"] for r in audit.constraint_violation(rows, limits).collect()}
+    assert got == {1: pytest.approx(0.2), 2: 0.0}

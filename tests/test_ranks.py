@@ -16,12 +16,11 @@ def data():
     return rows
 
 
-@pytest.mark.parametrize("limit", [0, 1_000_000])
-def test_quantiles_and_tail_means_are_exact(table, limit):
+def test_quantiles_and_tail_means_are_exact(table):
     rows = data()
     df = table(rows + [("hot", None), (None, 1.0), ("hot", float("nan"))], "k string, v double")
     probs = {"a": 0.05, "b": 0.5, "c": 0.9}
-    got = exact_quantiles(df, ["k"], "v", probs, tail_means=True, direct_limit=limit).collect()
+    got = exact_quantiles(df, ["k"], "v", probs, tail_means=True).collect()
     assert {r["k"] for r in got} == {"hot", "tail", "ties", "close", "one", "two"}
     for r in got:
         values = np.array([v for k, v in rows if k == r["k"]])
@@ -32,12 +31,11 @@ def test_quantiles_and_tail_means_are_exact(table, limit):
             assert r[f"{name}_tail"] == pytest.approx(values[values <= q + 1e-15].mean(), rel=1e-9)
 
 
-@pytest.mark.parametrize("limit", [0, 1_000_000])
-def test_fractional_tail(table, limit):
+def test_fractional_tail(table):
     df = table([("a", 1.0), ("a", 2.0), ("a", 3.0)], "k string, v double")
-    assert fractional_tail_mean(df, ["k"], "v", 0.5, direct_limit=limit).first()["cvar"] == pytest.approx(8 / 3)
+    assert fractional_tail_mean(df, ["k"], "v", 0.5).first()["cvar"] == pytest.approx(8 / 3)
     weighted = table([("a", 1.0, 3), ("a", 5.0, 1)], "k string, v double, n int")
-    got = fractional_tail_mean(weighted, ["k"], "v", 0.5, weight="n", direct_limit=limit).first()
+    got = fractional_tail_mean(weighted, ["k"], "v", 0.5, weight="n").first()
     assert got["cvar"] == pytest.approx(3.0)
 
 
@@ -52,3 +50,24 @@ def test_ranks_of_whole_groups(table):
     small = table([("a", 1.0), ("a", 2.0), ("a", 2.0), ("a", 5.0), ("a", None)], "k string, v double")
     ranks = {(r["v"], r["rank"]) for r in average_rank(small, ["k"], "v", "rank").collect()}
     assert ranks == {(1.0, 1.0), (2.0, 2.5), (5.0, 4.0), (None, None)}
+
+
+def test_values_crowded_near_one_level(table):
+    rng = random.Random(5)
+    values = [100.0 + rng.random() * 1e-6 for _ in range(2000)] + [100.0] * 50 + [-3.0, 0.0, 0.0]
+    rows = [("k", v, i) for i, v in enumerate(values)]
+    df = table(rows, "k string, v double, i int")
+    got = {r["i"]: r["rank"] for r in full_rank(df, ["k"], "v", ["i"]).collect()}
+    want = {r[2]: n + 1 for n, r in enumerate(sorted(rows, key=lambda r: (-r[1], r[2])))}
+    assert got == want
+    ordered = sorted(values)
+    for r in average_rank(df, ["k"], "v", "rank").collect():
+        low = ordered.index(r["v"])
+        assert r["rank"] == low + (ordered.count(r["v"]) + 1) / 2
+
+
+def test_no_job_runs_while_a_plan_is_built(table, spark):
+    spark.sparkContext.setJobGroup("planning", "planning")
+    exact_quantiles(table([("a", 1.0)], "k string, v double"), ["k"], "v", {"m": 0.5})
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("planning")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
