@@ -1,8 +1,7 @@
 """Joint factor and residual covariance over long panels.
 
 All tables carry ``universe_id``; a universe is one decision's training window. Rows are
-(universe_id, period, label, value). No dense matrix of all contracts is ever built for
-a book's volatility; ``gram`` (for users who want the matrix) multiplies numpy tiles of
+(universe_id, period, label, value). A book's volatility needs no label products at all; ``gram`` (for users who want the matrix) multiplies numpy tiles of
 (period block x label tile) and sums the small products.
 """
 
@@ -119,35 +118,6 @@ GRAM_SCHEMA = (
 )
 
 
-def _tile_product(rows: pd.DataFrame) -> pd.DataFrame:
-    """Products of the label pairs of one tile pair over one block of periods."""
-
-    low, high = int(rows["_low"].iloc[0]), int(rows["_high"].iloc[0])
-    wide = rows.pivot(index="period", columns=["role", "label"], values="_x").fillna(0.0)
-    wide = wide.sort_index(axis=1)
-    tile = rows.drop_duplicates(["role", "label"]).set_index(["role", "label"])["_tile"]
-    sides = tile.reindex(wide.columns).to_numpy()
-    values = wide.to_numpy()
-    first = np.flatnonzero(sides == low)
-    second = np.flatnonzero(sides == high)
-    product = values[:, first].T @ values[:, second]
-    i, j = np.meshgrid(first, second, indexing="ij")
-    keep = (i <= j) if low == high else np.ones_like(i, dtype=bool)
-    a, b = np.minimum(i, j)[keep], np.maximum(i, j)[keep]
-    roles = np.array([key[0] for key in wide.columns])
-    labels = np.array([key[1] for key in wide.columns], dtype=object)
-    return pd.DataFrame(
-        {
-            U: rows[U].iloc[0],
-            "row_role": roles[a],
-            "row_label": labels[a],
-            "col_role": roles[b],
-            "col_label": labels[b],
-            "total": product[keep],
-        }
-    )
-
-
 def gram(
     rows: DataFrame, value: str = "y", tiles: int = 1, block: Column | None = None
 ) -> DataFrame:
@@ -157,6 +127,35 @@ def gram(
     one dense block and emits one number per pair and block instead of one per period.
     """
 
+    # Defined here so that it travels by value: executors need no copy of this package.
+    def _tile_product(rows: pd.DataFrame) -> pd.DataFrame:
+        """Products of the label pairs of one tile pair over one block of periods."""
+
+        low, high = int(rows["_low"].iloc[0]), int(rows["_high"].iloc[0])
+        wide = rows.pivot(index="period", columns=["role", "label"], values="_x").fillna(0.0)
+        wide = wide.sort_index(axis=1)
+        tile = rows.drop_duplicates(["role", "label"]).set_index(["role", "label"])["_tile"]
+        sides = tile.reindex(wide.columns).to_numpy()
+        values = wide.to_numpy()
+        first = np.flatnonzero(sides == low)
+        second = np.flatnonzero(sides == high)
+        product = values[:, first].T @ values[:, second]
+        i, j = np.meshgrid(first, second, indexing="ij")
+        keep = (i <= j) if low == high else np.ones_like(i, dtype=bool)
+        a, b = np.minimum(i, j)[keep], np.maximum(i, j)[keep]
+        roles = np.array([key[0] for key in wide.columns])
+        labels = np.array([key[1] for key in wide.columns], dtype=object)
+        return pd.DataFrame(
+            {
+                U: rows[U].iloc[0],
+                "row_role": roles[a],
+                "row_label": labels[a],
+                "col_role": roles[b],
+                "col_label": labels[b],
+                "total": product[keep],
+            }
+        )
+
     other = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
     tiled = (
         rows.select(
@@ -174,12 +173,28 @@ def gram(
     )
 
 
-def shrinkage_statistics(rows: DataFrame, products: DataFrame) -> DataFrame:
-    """T, q, target scale and shrinkage intensity of each universe's standardized panel.
+def period_products(rows: DataFrame) -> DataFrame:
+    """Dot products of the rows of each pair of periods (first before second) over all labels.
 
-    ``products`` is ``gram(rows)``; off-diagonal cells count twice.
+    Their squares sum to the same number as those of the label products, and there are T x T of them
+    instead of n x n. A label's series, at most one value a period, is paired with itself
+    and summed map-side, so each task sends T x T numbers per universe.
     """
 
+    series = rows.groupBy(U, "role", "label").agg(
+        F.sort_array(F.collect_list(F.struct("period", "y"))).alias("_series")
+    )
+    first = series.select(U, "_series", F.posexplode("_series").alias("_i", "_a"))
+    rest = F.slice("_series", F.col("_i") + 1, F.size("_series"))
+    both = first.select(U, "_a", F.explode(rest).alias("_b"))
+    return both.groupBy(U, F.col("_a.period").alias("first"), F.col("_b.period").alias("second")).agg(
+        F.sum(F.col("_a.y") * F.col("_b.y")).alias("dot")
+    )
+
+
+def shrinkage_statistics(rows: DataFrame) -> DataFrame:
+    """T, q, target scale and shrinkage intensity of each universe's standardized panel."""
+
     per_period = rows.groupBy(U, "period").agg(
         F.sum(F.col("y") * F.col("y")).alias("_norm"), F.count("*").alias("_q")
     )
@@ -189,10 +204,8 @@ def shrinkage_statistics(rows: DataFrame, products: DataFrame) -> DataFrame:
         F.sum(F.col("_norm") * F.col("_norm")).alias("_beta_sum"),
         F.sum("_norm").alias("_trace_sum"),
     )
-    diagonal = (F.col("row_role") == F.col("col_role")) & (F.col("row_label") == F.col("col_label"))
-    squares = products.groupBy(U).agg(
-        F.sum(F.when(diagonal, 1.0).otherwise(2.0) * F.col("total") * F.col("total")).alias("_squares")
-    )
+    twice = F.when(F.col("first") == F.col("second"), 1.0).otherwise(2.0)
+    squares = period_products(rows).groupBy(U).agg(F.sum(twice * F.col("dot") * F.col("dot")).alias("_squares"))
     t, q = F.col("n_obs").cast("double"), F.col("n_columns").cast("double")
     return (
         norms.join(squares, U)
@@ -237,7 +250,7 @@ def joint_moments(
     diagonal = (F.col("row_role") == F.col("col_role")) & (F.col("row_label") == F.col("col_label"))
     if regularize:
         products = written(gram(joint, "y", tiles), "products")
-        stats = shrinkage_statistics(joint, products)
+        stats = shrinkage_statistics(joint)
         scales = joint.select(U, "role", "label", "scale").distinct()
 
         def side(prefix: str) -> DataFrame:

@@ -451,7 +451,7 @@ def volatility_function(t, table, owner=None):
     """Books of contracts -> volatility under the shrunk label covariance of their era."""
 
     rows = joint(t)
-    stats = written(covariance.shrinkage_statistics(rows, covariance.gram(rows)), "shrinkage")
+    stats = written(covariance.shrinkage_statistics(rows), "shrinkage")
     loadings = written(load(t, "fx_era_loadings"), "loadings")
     names = table.select("contract_id", F.col("underlying").alias("_label"))
 

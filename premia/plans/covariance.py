@@ -149,7 +149,7 @@ def gram(t):
 )
 def ledoit_wolf_stats(t):
     rows = joint(t)
-    return ops.shrinkage_statistics(rows, ops.gram(rows))
+    return ops.shrinkage_statistics(rows)
 
 
 @query(
@@ -310,7 +310,7 @@ VIEWS.add(
 
 def book_volatility_table(t):
     rows = joint(t)
-    stats = written(ops.shrinkage_statistics(rows, ops.gram(rows)), "shrinkage")
+    stats = written(ops.shrinkage_statistics(rows), "shrinkage")
     return ops.book_volatility(load(t, "fx_era_books"), rows, stats, load(t, "fx_era_loadings"))
 
 

@@ -69,7 +69,7 @@ def test_sample_moments_rebuild_the_sample_covariance(panels):
 def test_volatility_without_a_matrix(panels, table):
     options, factors, loadings, f, r, load = panels
     joint = ops.standardized(ops.joint_observations(options, factors, loadings))
-    stats = ops.shrinkage_statistics(joint, ops.gram(joint))
+    stats = ops.shrinkage_statistics(joint)
     want, rho = dense(f, r, load)
     assert stats.first()["shrinkage"] == pytest.approx(rho)
     w = {1: [0.2, -0.1, 0.4], 2: [0.0, 0.5, 0.0]}
