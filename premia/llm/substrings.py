@@ -74,8 +74,10 @@ def _sent(kind, bucket, value, key_a, key_b, place, wanted, n_buckets):
     short = value.astype(kind["value"])
     probes = _by_bucket(bucket[first], short[first], n_buckets)
     entries = _by_bucket(bucket[own], _records(kind, key_a[own], key_b[own], place[own], short[own]), n_buckets)
-    settled = _by_bucket(bucket[done], _records(SETTLED, key_a[done], key_b[done], place[done]), n_buckets)
-    kept = [k for k in range(n_buckets) if probes[k]]
+    # Settled places only pass through: a common passage would fill the bucket of its hash, so they are dealt out by place.
+    through = (mixed(key_a[done].view(np.uint64) + place[done].astype(np.uint64)) % np.uint64(n_buckets)).astype(np.int32)
+    settled = _by_bucket(through, _records(SETTLED, key_a[done], key_b[done], place[done]), n_buckets)
+    kept = [k for k in range(n_buckets) if probes[k] or settled[k]]
     return pa.RecordBatch.from_pydict(
         {
             "bucket": pa.array(kept, pa.int32()),
