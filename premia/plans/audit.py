@@ -176,13 +176,15 @@ def align_spine(t):
 @query(
     "exact_cover",
     """SELECT p_partkey AS contract_id, 'missing' AS problem FROM part WHERE p_partkey NOT IN
-         (SELECT l_partkey + 7 FROM lineitem WHERE l_returnflag = 'R')
-       UNION ALL SELECT DISTINCT l_partkey + 7, 'unexpected' FROM lineitem WHERE l_returnflag = 'R'
-         AND l_partkey + 7 NOT IN (SELECT p_partkey FROM part)""",
+         (SELECT l_partkey + CASE WHEN l_partkey % 11 = 0 THEN 1000000 ELSE 0 END FROM lineitem)
+       UNION ALL SELECT DISTINCT l_partkey + 1000000, 'unexpected' FROM lineitem WHERE l_partkey % 11 = 0
+         AND l_partkey + 1000000 NOT IN (SELECT p_partkey FROM part)""",
 )
 def exact_cover(t):
     spine = t.part.select(F.col("p_partkey").alias("contract_id"))
-    caps = t.lineitem.where("l_returnflag = 'R'").select((F.col("l_partkey") + 7).alias("contract_id"))
+    # Every eleventh contract is known under another number.
+    moved = F.expr("l_partkey + CASE WHEN l_partkey % 11 = 0 THEN 1000000 ELSE 0 END")
+    caps = t.lineitem.select(moved.alias("contract_id"))
     return policy.exact_cover(spine, caps, ["contract_id"])
 
 
