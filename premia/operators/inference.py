@@ -189,9 +189,9 @@ def bootstrap_panel(
     """
 
     if block_size < 1:
-        raise ValueError("block_size must be positive")
+        raise ValueError("a block has at least one place")
     if replicates < 1:
-        raise ValueError("replicates must be positive")
+        raise ValueError("ask for at least one replicate")
     clean = df.select(*keys, order, finite(ret).alias("_r")).where(F.col("_r").isNotNull())
     placed = written(positions(clean, keys, order, block), "placed")
     part = F.expr(f"pos div {int(block_size)}")
@@ -208,6 +208,33 @@ def bootstrap_panel(
     return draws.join(values, [*keys, "source_pos"])
 
 
+def _window_sums(placed: DataFrame, keys: Keys, block_size: int, value: str) -> DataFrame:
+    """Sums over the circular run that starts at each place: ``full`` runs of ``block_size`` places and ``tail`` runs
+    of what is left of a path after its whole blocks. Sums are of deviations from the path's mean.
+    """
+
+    centers = placed.groupBy(*keys).agg(F.avg(value).alias("_center"))
+    step = F.explode(F.sequence(F.lit(0), F.lit(block_size - 1)))
+    spread = placed.join(centers, list(keys)).withColumn("_step", step)
+    tail = F.when(F.col("_step") < F.col("path_n") % block_size, True)
+    off = F.col(value) - F.col("_center")
+
+    def sums(inside: Column) -> list[Column]:
+        return [
+            F.count(inside).alias("n"),
+            F.coalesce(F.sum(F.when(inside, off)), F.lit(0.0)).alias("s"),
+            F.coalesce(F.sum(F.when(inside, off * off)), F.lit(0.0)).alias("q"),
+            F.coalesce(F.sum(F.when(inside, F.pow(negative(value), 2))), F.lit(0.0)).alias("d"),
+            F.min(F.when(inside, F.col(value))).alias("low"),
+        ]
+
+    start = F.pmod(F.col("pos") - F.col("_step"), F.col("path_n"))
+    whole = F.when(F.col("_step") < F.col("path_n"), True)
+    return spread.groupBy(*keys, start.alias("_start")).agg(
+        F.max("_center").alias("_center"), F.struct(*sums(whole)).alias("full"), F.struct(*sums(tail)).alias("tail")
+    )
+
+
 def bootstrap_intervals(
     df: DataFrame,
     keys: Keys,
@@ -218,21 +245,42 @@ def bootstrap_intervals(
     periods: float = 12.0,
     order: str = "return_date",
     ret: str = "net_return",
+    block: Column | None = None,
 ) -> DataFrame:
-    """Percentile intervals of Sharpe and Sortino over block resamples."""
+    """Percentile intervals of Sharpe and Sortino over block resamples.
 
-    panel = bootstrap_panel(df, keys, replicates, block_size, seed, order, ret)
-    r = F.col(ret)
+    The resamples are those of ``bootstrap_panel``, but a drawn block is one row of sums: replicates x blocks are
+    joined instead of replicates x places.
+    """
+
+    if block_size < 1 or replicates < 1:
+        raise ValueError("blocks and replicates are counted from one")
+    clean = df.select(*keys, order, finite(ret).alias("_r")).where(F.col("_r").isNotNull())
+    placed = positions(clean, keys, order, block).select(*keys, "pos", "path_n", "_r")
+    number = F.expr(f"pos div {int(block_size)}")
+    drawn = (
+        placed.where(F.col("pos") % block_size == 0)
+        .select(*keys, "pos", "path_n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+        .withColumn("_start", block_start(seed, F.col("replicate"), number, F.col("path_n")))
+        .withColumn("_whole", F.col("pos") + block_size <= F.col("path_n"))
+        .select(*keys, "replicate", "_start", "_whole")
+    )
+    runs = drawn.join(_window_sums(placed, keys, block_size, "_r"), [*keys, "_start"])
+    runs = runs.select(*keys, "replicate", "_center", F.when(F.col("_whole"), F.col("full")).otherwise(F.col("tail")).alias("_run"))
     root = math.sqrt(periods)
+    n, s = F.col("_n").cast("double"), F.col("_s")
+    mean = F.col("_center") + s / n
     per_draw = (
-        panel.groupBy(*keys, "replicate")
+        runs.groupBy(*keys, "replicate")
         .agg(
-            F.avg(r).alias("_mean"),
-            F.stddev_samp(r).alias("_std"),
-            F.sqrt(F.avg(F.pow(negative(r), 2))).alias("_down"),
-            F.min(r).alias("_min"),
+            F.max("_center").alias("_center"),
+            *[F.sum(f"_run.{name}").alias(f"_{name}") for name in ("n", "s", "q", "d")],
+            F.min("_run.low").alias("_min"),
         )
         .where(F.col("_min") > -1.0)
+        .withColumn("_mean", mean)
+        .withColumn("_std", F.sqrt(F.greatest(F.try_divide(F.col("_q") - s * s / n, n - 1.0), F.lit(0.0))))
+        .withColumn("_down", F.sqrt(F.col("_d") / n))
         .withColumn("_sharpe", ratio(F.col("_mean") * root, F.col("_std")))
         .withColumn("_sortino", ratio(F.col("_mean") * root, F.col("_down")))
     )

@@ -68,3 +68,16 @@ def test_bootstrap_is_seeded_circular_and_keeps_the_length(table):
     assert [r["source_pos"] for r in other] != [r["source_pos"] for r in panel]
     with pytest.raises(ValueError):
         inference.bootstrap_panel(df, ["k"], 3, 0, 7)
+
+
+@pytest.mark.parametrize("length,block", [(23, 5), (20, 5), (3, 8), (9, 1)])
+def test_intervals_are_those_of_the_panel(table, length, block):
+    rows = [("a", dt.date(2019 + i // 12, i % 12 + 1, 1), 5.0 + 0.01 * ((i * 7) % 11 - 5)) for i in range(length)]
+    df = table(rows, "k string, return_date date, net_return double")
+    panel = inference.bootstrap_panel(df, ["k"], 40, block, 7).toPandas()
+    means = panel.groupby("replicate")["net_return"].agg(["mean", "std"])
+    sharpes = (means["mean"] / means["std"] * math.sqrt(12)).replace([math.inf], math.nan).dropna()
+    got = inference.bootstrap_intervals(df, ["k"], 40, block, 7).first()
+    assert got["usable_draws"] == 40
+    assert got["sharpe_lo"] == pytest.approx(sharpes.quantile(0.05), rel=1e-6)
+    assert got["sharpe_hi"] == pytest.approx(sharpes.quantile(0.95), rel=1e-6)
