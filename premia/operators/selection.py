@@ -77,12 +77,13 @@ def select_candidate(candidates: DataFrame, policy: Policy, group: str = "decisi
     """
 
     ceiling = policy.annual_volatility_ceiling / policy.periods_per_year**0.5
-    best = F.max(
+    # The least struct: highest utility, then smallest id (of any type that has an order).
+    best = F.min(
         F.when(
             F.col("feasible"),
             F.struct(
-                F.col("net_utility"),
-                (-F.col("book_id")).alias("minus_id"),
+                (-F.col("net_utility")).alias("minus_utility"),
+                F.col("book_id"),
                 F.col("volatility"),
                 F.col("mean"),
                 F.col("cost"),
@@ -105,8 +106,8 @@ def select_candidate(candidates: DataFrame, policy: Policy, group: str = "decisi
         group,
         status.alias("status"),
         F.col("_pick.risk_aversion").alias("risk_aversion"),
-        (-pick["minus_id"]).alias("book_id"),
-        pick["net_utility"].alias("net_utility"),
+        pick["book_id"].alias("book_id"),
+        (-pick["minus_utility"]).alias("net_utility"),
         pick["volatility"].alias("volatility"),
     )
 
@@ -118,21 +119,22 @@ def select_max_sharpe(
 
     sharpe = F.try_divide(F.col("mean"), F.col("volatility"))
     usable = (F.abs(F.col("gross") - budget) <= tolerance) & (F.col("volatility") > 0.0)
-    best = F.max(F.struct(sharpe.alias("sharpe"), (-F.col("book_id")).alias("minus_id")))
+    best = F.min(F.struct((-sharpe).alias("minus_sharpe"), F.col("book_id")))
     return (
         candidates.where(usable)
         .groupBy(group)
         .agg(best.alias("_best"), F.count("*").alias("candidates"))
         .select(
             group,
-            (-F.col("_best.minus_id")).alias("book_id"),
-            F.col("_best.sharpe").alias("sharpe"),
+            F.col("_best.book_id").alias("book_id"),
+            (-F.col("_best.minus_sharpe")).alias("sharpe"),
             "candidates",
         )
     )
 
 
-TILTS = (0, 1, 2)
+#: Powers of the edge by which candidate sizes are tilted.
+TILTS = (0.0, 0.5, 1.0)
 
 
 def scale_to_target(
@@ -143,13 +145,14 @@ def scale_to_target(
     volatility_of: Callable[[DataFrame], DataFrame],
     limits: Limits,
     policy: Policy,
+    tilts: Sequence[float] = TILTS,
 ) -> tuple[DataFrame, DataFrame]:
     """Second stage: raise a first-stage book to the deployment target if that is feasible.
 
     ``stage1``: book_id, accepted, risk_aversion. Candidates keep the signs, hold only
     positive-edge legs and have exactly the target gross; they differ in how much the
-    edge tilts the sizes (power 0, 1/2 or 1). Returns one diagnostics row per book and the
-    legs of the candidates (candidate id = 10 x book_id + tilt).
+    edge tilts the sizes (``tilts``, powers of the edge). Returns one diagnostics row per book and the
+    legs of the candidates, whose id is the struct (book_id, tilt); ``tilt`` numbers the powers.
     """
 
     target, floor = policy.deployment_target, policy.deployment_edge_floor
@@ -160,7 +163,7 @@ def scale_to_target(
         F.count_if("eligible").alias("_eligible"),
     )
     powers = F.array(
-        *[F.struct(F.lit(k).alias("tilt"), F.lit(k / 2.0).alias("power")) for k in TILTS]
+        *[F.struct(F.lit(k).alias("tilt"), F.lit(float(power)).alias("power")) for k, power in enumerate(tilts)]
     )
     sized = (
         rows.where("eligible")
@@ -169,18 +172,17 @@ def scale_to_target(
     )
     sums = sized.groupBy("book_id", "tilt").agg(F.sum("_raw").alias("_sum"))
     legs = sized.join(sums, ["book_id", "tilt"]).select(
-        (F.col("book_id") * 10 + F.col("tilt")).alias("book_id"),
+        F.struct("book_id", "tilt").alias("book_id"),
         "contract_id",
         (F.signum("weight") * F.col("_raw") / F.col("_sum") * target).alias("weight"),
     )
     audited = portfolio_audit(legs, contracts, scenarios, volatility_of, limits, policy)
     terms = book_utility_terms(book_rows(legs, contracts)).select("book_id", "mean")
-    owner = F.expr("book_id div 10")
     scored = (
         audited.join(terms, "book_id")
         .select(
-            owner.alias("book_id"),
-            (F.col("book_id") % 10).alias("tilt"),
+            "book_id.book_id",
+            "book_id.tilt",
             "feasible", "mean", "cost", "volatility", "gross",
         )
         .join(stage1.select("book_id", "risk_aversion"), "book_id")

@@ -470,12 +470,12 @@ def volatility_function(t, table, owner=None):
     return volatility_of
 
 
-def label_volatility_sql(name: str, source: str, *needs: str) -> None:
+def label_volatility_sql(name: str, source: str, *needs: str, home: str = "book_id") -> None:
     """Oracle view (book_id, volatility) of books of contracts, dense form."""
 
     VIEWS.add(
         f"{name}_labels",
-        f"""SELECT CASE WHEN book_id % 2 = 0 THEN 'early' ELSE 'late' END AS universe_id, book_id, underlying AS contract_id,
+        f"""SELECT CASE WHEN ({home}) % 2 = 0 THEN 'early' ELSE 'late' END AS universe_id, book_id, underlying AS contract_id,
                    sum(weight) AS weight FROM {source} GROUP BY 1, 2, 3""",
         *needs,
     )

@@ -195,8 +195,13 @@ def concentration(t):
     return selection.concentration(rows, ["book_id"], "effective_cap", F.col("effective_cap") > 0.0)
 
 
-def audit_views(prefix: str, rows: str, cell_view: str, *needs: str) -> None:
-    """Oracle views of a full audit over another set of legs (named ``<prefix>_audited``)."""
+def audit_views(
+    prefix: str, rows: str, cell_view: str, *needs: str, own: str = "0.045e0", future: str = "0.03e0", home: str = "book_id"
+) -> None:
+    """Oracle views of a full audit over another set of legs (named ``<prefix>_audited``).
+
+    ``own`` and ``future`` limit an underlying's gross; ``home`` is the id that decides a book's era.
+    """
 
     VIEWS.add(
         f"{prefix}_legs",
@@ -217,7 +222,7 @@ def audit_views(prefix: str, rows: str, cell_view: str, *needs: str) -> None:
     )
     VIEWS.add(
         f"{prefix}_under",
-        f"""SELECT book_id, max(greatest(g - CASE WHEN underlying = 'VX_FRONT' THEN 0.03e0 ELSE 0.045e0 END, 0)) AS underlying
+        f"""SELECT book_id, max(greatest(g - CASE WHEN underlying = 'VX_FRONT' THEN {future} ELSE {own} END, 0)) AS underlying
             FROM (SELECT book_id, underlying, sum(abs(weight)) AS g FROM {prefix}_legs GROUP BY 1, 2) s GROUP BY 1""",
         f"{prefix}_legs",
     )
@@ -233,7 +238,7 @@ def audit_views(prefix: str, rows: str, cell_view: str, *needs: str) -> None:
                   ON x.book_id = b.book_id AND x.scenario_id = k.scenario_id) q) s GROUP BY 1""",
         f"{prefix}_sums", cell_view,
     )
-    label_volatility_sql(f"{prefix}_vols", f"{prefix}_legs", f"{prefix}_legs")
+    label_volatility_sql(f"{prefix}_vols", f"{prefix}_legs", f"{prefix}_legs", home=home)
     VIEWS.add(
         f"{prefix}_audited",
         breaches_sql(f"{prefix}_sums", f"{prefix}_under", f"{prefix}_cvar", f"{prefix}_vols"),
@@ -272,7 +277,49 @@ WIDE = policy.Limits(gross_nav=1.0, net_nav_abs=0.35, short_nav_abs=0.25, per_co
                      vix_vega_abs=None, beta_spy_abs=1.2, stress_loss_abs=0.05, underlying_gross=0.35)
 
 
-@query("scale_to_target")
+# Candidates of the second stage: a book's number times ten plus the tilt, in SQL only.
+audit_views(
+    "tilted",
+    """SELECT book_id * 10 + tilt AS book_id, contract_id,
+              sign(weight) * raw / sum(raw) OVER (PARTITION BY book_id, tilt) * 0.44e0 AS weight
+       FROM (SELECT book_id, contract_id, weight, tilt, abs(weight) * pow(edge, tilt / 2.0e0) AS raw
+             FROM edges, (VALUES (0), (1), (2)) k(tilt) WHERE eligible) r""",
+    "cells", "edges", "audit_universe", own="0.35e0", future="0.20e0", home="book_id // 10",
+)
+VIEWS.add(
+    "tilted_best",
+    """SELECT * FROM (SELECT s.book_id // 10 AS book_id, s.book_id % 10 AS tilt, s.gross,
+              row_number() OVER (PARTITION BY s.book_id // 10
+                ORDER BY s.mean - s.cost - v.volatility * v.volatility DESC, s.book_id) AS rn
+         FROM tilted_sums s JOIN tilted_under u ON u.book_id = s.book_id JOIN tilted_cvar c ON c.book_id = s.book_id
+         JOIN tilted_vols v ON v.book_id = s.book_id
+         WHERE greatest(s.gross - 1.0e0, (SELECT max(abs(l.weight)) FROM tilted_legs l WHERE l.book_id = s.book_id) - 1.0e0,
+             abs(s.net) - 0.35e0, s.short - 0.25e0, u.underlying, abs(s.beta_spy_exposure) - 1.2e0, -0.010e0 - s.worst_stress,
+             s.margin - 0.098e0, s.long + s.margin - 0.5e0, s.assignment, c.cvar - 0.03e0,
+             v.volatility * sqrt(12.0e0) - 0.05e0) <= 1e-5) w WHERE rn = 1""",
+    "tilted_audited",
+)
+
+
+@query(
+    "scale_to_target",
+    oracle(
+        "tilted_best",
+        """SELECT book_id, stage1_gross_nav, deployment_target, accepted AND (enough OR best IS NOT NULL) AS deployment_target_feasible,
+                  applied AS deployment_target_applied,
+                  CASE WHEN applied THEN gross ELSE stage1_gross_nav END >= deployment_target - 1e-6 AS deployment_target_met,
+                  CASE WHEN NOT accepted THEN 0 WHEN enough THEN nonzero ELSE eligible END AS positive_edge_contracts,
+                  CASE WHEN applied THEN best END AS tilt
+           FROM (SELECT e.*, e.book_id % 5 <> 0 AS accepted, e.stage1_gross_nav >= 0.44e0 - 1e-7 AS enough, 0.44e0 AS deployment_target,
+                        b.tilt AS best, b.gross,
+                        e.book_id % 5 <> 0 AND NOT e.stage1_gross_nav >= 0.44e0 - 1e-7 AND b.tilt IS NOT NULL AS applied
+                 FROM (SELECT book_id, sum(abs(weight)) AS stage1_gross_nav, count(*) FILTER (WHERE weight <> 0) AS nonzero,
+                              count(*) FILTER (WHERE eligible) AS eligible FROM edges GROUP BY 1) e
+                 LEFT JOIN tilted_best b ON b.book_id = e.book_id) q""",
+        "book_id deployment_target_feasible deployment_target_applied deployment_target_met",
+        "stage1_gross_nav deployment_target", "positive_edge_contracts tilt",
+    ),
+)
 def scale_to_target(t):
     table = contracts(t)
     stage1 = candidates(t, table).select(
@@ -281,9 +328,10 @@ def scale_to_target(t):
     wide = policy.effective_cap(table.drop("effective_cap", "cap_missing"), None, WIDE)
     verdict, _ = selection.scale_to_target(
         stage1, legs(t), wide, cells(t, table),
-        volatility_function(t, table, owner=F.expr("book_id div 10")), WIDE, STAGE2,
+        volatility_function(t, table, owner=F.col("book_id.book_id")), WIDE, STAGE2,
     )
-    return verdict
+    whole = ("positive_edge_contracts", "tilt")
+    return verdict.withColumns({name: F.col(name).cast("bigint") for name in whole})
 
 
 DECIDED = "2001-09-01"

@@ -92,7 +92,7 @@ def test_negative_edge_legs_survive_rounding_but_not_the_second_stage(world):
     assert [got[4][f] for f in flags] == [False, False, False, 0]
     # Both legs have edge; the full tilt leans to contract 1 and has the best utility.
     assert [got[5][f] for f in flags] == [True, True, True, 2] and got[5]["tilt"] == 2
-    chosen = {r["contract_id"]: r["weight"] for r in legs.where("book_id = 52").collect()}
+    chosen = {r["contract_id"]: r["weight"] for r in legs.where("book_id.book_id = 5 AND book_id.tilt = 2").collect()}
     assert sum(chosen.values()) == pytest.approx(0.4)
     assert chosen[1] / chosen[2] == pytest.approx(0.019 / 0.009)
     tight = policy.Policy(annual_volatility_ceiling=0.001, deployment_target=0.4)
