@@ -196,21 +196,23 @@ def _pair_counter(words: Vocabulary, n_buckets: int):
     return count
 
 
-STATS = "slice int, kind int, ids binary, one binary, two binary, more binary"
+STATS = "slice int, contexts binary, one binary, two binary, more binary, words binary, cont binary"
+STAT_NAMES = ("contexts", "one", "two", "more", "words", "cont")
 
 
-def _stat_rows(first: np.ndarray, kind: int, ids: np.ndarray, *columns: np.ndarray):
-    """Statistics of words in order, a row for each slice of the vocabulary (the start of a text has a slice of its own)."""
+def _by_slice(first: np.ndarray, ids: np.ndarray, *columns: np.ndarray) -> dict[int, list[bytes]]:
+    """Per slice of the vocabulary: packed local numbers of the ids (in order) and packed columns.
 
-    cuts = np.searchsorted(ids, np.append(first, np.int64(UNKNOWN_ID)))
-    cuts = np.append(cuts, len(ids))
-    rows = []
+    The start of a text, which is a context only, has a slice of its own after the last.
+    """
+
+    cuts = np.append(np.searchsorted(ids, np.append(first, np.int64(UNKNOWN_ID))), len(ids))
+    out = {}
     for k in np.flatnonzero(np.diff(cuts)).tolist():
         a, b = cuts[k], cuts[k + 1]
         base = first[k] if k < len(first) - 1 else int(START_ID)
-        packed = [_planes((ids[a:b] - base).astype("<u4"))] + [_planes(c[a:b].astype("<u4")) for c in columns]
-        rows.append((min(k, len(first) - 1), kind, *packed, *[b""] * (3 - len(columns))))
-    return rows
+        out[min(k, len(first) - 1)] = [_planes(x[a:b].astype("<u4")) for x in (ids - base, *columns)]
+    return out
 
 
 def _pair_keeper(folder: str, first: np.ndarray):
@@ -224,14 +226,16 @@ def _pair_keeper(folder: str, first: np.ndarray):
         context, word = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
         at = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
         sums = [np.add.reduceat(x.astype(np.int64), at) for x in (counts == 1, counts == 2, counts >= 3)]
-        rows = _stat_rows(first, 0, context[at], *sums)
-        rows += _stat_rows(first, 1, *np.unique(word, return_counts=True))
+        left = _by_slice(first, context[at], *sums)
+        right = _by_slice(first, *np.unique(word, return_counts=True))
+        rows = [(k, *left.get(k, [b""] * 4), *right.get(k, [b""] * 2)) for k in sorted({*left, *right})]
         # How many pairs occur once, twice, three and four times.
         tally = np.array([(counts == k).sum() for k in (1, 2, 3, 4)], dtype="<u8")
-        rows.append((-1, 2, tally.tobytes(), b"", b"", b""))
-        names = ("slice", "kind", "ids", "one", "two", "more")
-        kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 4)
-        return pa.table({name: pa.array([row[i] for row in rows], kind) for i, (name, kind) in enumerate(zip(names, kinds))})
+        rows.append((-1, tally.tobytes(), b"", b"", b"", b"", b""))
+        return pa.table(
+            {"slice": pa.array([row[0] for row in rows], pa.int32())}
+            | {name: pa.array([row[i] for row in rows], pa.binary()) for i, name in enumerate(STAT_NAMES, 1)}
+        )
 
     return keep
 
@@ -245,15 +249,15 @@ def _stat_keeper(folder: str, sizes: np.ndarray):
         tally = np.zeros(4, dtype=np.int64)
         if k < 0:
             for row in rows:
-                tally += np.frombuffer(row["ids"], "<u8").astype(np.int64)
+                tally += np.frombuffer(row["contexts"], "<u8").astype(np.int64)
             return _summary(k, tally, 0, 0)
         n = int(sizes[k])
         sums = {name: np.zeros(n, dtype=np.int64) for name in ("one", "two", "more", "cont")}
         for row in rows:
-            ids = _unplaned(row["ids"], "<u4")
-            names = ("one", "two", "more") if row["kind"] == 0 else ("cont",)
-            for name, source in zip(names, ("one", "two", "more")):
-                sums[name][ids] += _unplaned(row[source], "<u4").astype(np.int64)
+            for numbers, names in (("contexts", ("one", "two", "more")), ("words", ("cont",))):
+                ids = _unplaned(row[numbers], "<u4")
+                for name in names:
+                    sums[name][ids] += _unplaned(row[name], "<u4").astype(np.int64)
         for name, values in sums.items():
             save(folder, f"{name}-{k}", values.astype("<u4"))
         if k == len(sizes) - 1:  # the start of a text is never a word
@@ -356,8 +360,10 @@ def train(rows: DataFrame) -> Model:
 
     spark = rows.sparkSession
     folder = shared_folder(spark, "model")
-    n_buckets = 4 * width(spark)
-    bits = max(1, math.ceil(math.log2(n_buckets)))
+    # Each bucket of pairs reports to each slice of the vocabulary, so both are kept few: about two buckets and half a
+    # slice per shuffle partition.
+    n_buckets = 2 * width(spark)
+    bits = max(1, math.ceil(math.log2(n_buckets / 4)))
     shift = 64 - bits
     texts = rows.select("text")
     kept = texts.mapInArrow(_word_counter(shift), PACKED).groupBy("bucket").applyInArrow(_word_keeper(folder), "bucket int, types long, tokens long")
