@@ -199,7 +199,7 @@ def identity_failures(table: DataFrame, keys: Sequence[str], periods: float = 12
     from_wealth = F.when(F.col("defaulted"), -1.0).otherwise(F.pow("terminal_wealth", years) - 1.0)
     product = F.col("sharpe") * F.col("annualized_volatility")
     failed = F.array(
-        F.when(F.abs(F.col("cagr") - from_wealth) > 1e-12, "cagr_from_wealth"),
+        F.when(F.abs(F.col("cagr") - from_wealth) > F.abs(from_wealth) * 1e-5 + 1e-14, "cagr_from_wealth"),
         F.when(
             F.abs(F.col("annualized_mean_return") - product) > F.abs(product) * 1e-5 + 1e-8,
             "mean_is_sharpe_times_volatility",
@@ -210,6 +210,14 @@ def identity_failures(table: DataFrame, keys: Sequence[str], periods: float = 12
     return table.select(*keys, F.explode(F.array_compact(failed)).alias("failed_check"))
 
 
+def share_failures(table: DataFrame, keys: Sequence[str], share: str, part: str, rest: str) -> DataFrame:
+    """One row per group whose share is not part / (part + rest); a share of nothing fails too."""
+
+    whole = F.try_divide(F.col(part).cast("double"), (F.col(part) + F.col(rest)).cast("double"))
+    right = F.coalesce(F.abs(F.col(share) - whole) <= F.abs(whole) * 1e-5 + 1e-8, F.lit(False))
+    return table.where(~right).select(*keys, F.lit(f"{share}_is_part_of_whole").alias("failed_check"))
+
+
 def rendered(df: DataFrame, keys: Sequence[str], template: str, columns: Sequence[str]) -> DataFrame:
     """Report lines with fixed decimals."""
 

@@ -349,13 +349,20 @@ def summary_reconcile(t):
     "identity_checks",
     oracle(
         "path_table",
-        "SELECT config, strategy, 'cagr_from_wealth' AS failed_check FROM path_table WHERE config = 'BUILDING'",
+        """SELECT config, strategy, 'cagr_from_wealth' AS failed_check FROM path_table WHERE config = 'BUILDING'
+           UNION ALL SELECT DISTINCT event_type, 'all', 'proxy_share_is_part_of_whole' FROM events WHERE event_type = 'view'""",
         "config strategy failed_check",
     ),
 )
 def identity_checks(t):
     published, _ = published_summary(t)
-    return ops.identity_failures(published, GROUP)
+    sources = t.events.groupBy(F.col("event_type").alias("config"), F.lit("all").alias("strategy")).agg(
+        F.count_if(F.col("user_id") % 3 == 0).alias("proxy"), F.count_if(F.col("user_id") % 3 != 0).alias("exact")
+    )
+    share = F.col("proxy") / (F.col("proxy") + F.col("exact"))
+    planted = sources.withColumn("proxy_share", share + F.when(F.col("config") == "view", 0.001).otherwise(0.0))
+    shares = ops.share_failures(planted, GROUP, "proxy_share", "proxy", "exact")
+    return ops.identity_failures(published, GROUP).unionByName(shares)
 
 
 @query(
