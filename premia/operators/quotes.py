@@ -133,7 +133,7 @@ def next_executable_quotes(
 def trigger_scores(legs: DataFrame) -> DataFrame:
     """A trigger is scored only if every held leg is covered."""
 
-    return legs.groupBy("trigger_day").agg(
+    return keyed(legs, ["trigger_day"]).groupBy("trigger_day").agg(
         F.count("*").alias("legs"),
         F.count_if("covered").alias("covered_legs"),
         F.bool_and("covered").alias("scored"),
@@ -183,7 +183,7 @@ def proxy_share(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     exact = F.count_if(F.col("source") == "exact")
     proxied = F.count_if(F.col("source") != "exact")
-    counts = rows.groupBy(*keys).agg(exact.alias("exact_rows"), proxied.alias("proxy_rows"))
+    counts = keyed(rows, keys).groupBy(*keys).agg(exact.alias("exact_rows"), proxied.alias("proxy_rows"))
     medians = exact_quantiles(rows, keys, "relative_spread", {"median_relative_spread": 0.5})
     share = F.try_divide(
         F.col("proxy_rows"), (F.col("exact_rows") + F.col("proxy_rows")).cast("double")
@@ -268,7 +268,7 @@ def quote_scenario_costs(legs: DataFrame, keys: Sequence[str]) -> DataFrame:
     entry, leave = F.coalesce("entry_spread", modeled), F.coalesce("exit_spread", modeled)
     worst = F.coalesce("worst_spread", modeled)
     other = F.sum(size * F.col("other_cost"))
-    return legs.groupBy(*keys).agg(
+    return keyed(legs, keys).groupBy(*keys).agg(
         F.sum(F.col("weight") * F.col("ret")).alias("gross_return"),
         (F.sum(size * modeled) + other).alias("modeled_cost"),
         other.alias("midpoint_cost"),
@@ -286,7 +286,7 @@ def cost_reconstruction(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     rebuilt = sum((F.col(name) for name in TERMS[1:]), F.col(TERMS[0]))
     gap = F.abs(F.col("recorded_cost") - rebuilt)
-    return rows.groupBy(*keys).agg(
+    return keyed(rows, keys).groupBy(*keys).agg(
         F.max(gap).alias("max_absolute_gap"),
         F.avg(gap).alias("mean_absolute_gap"),
         *[F.sum(name).alias(f"total_{name}") for name in TERMS],
@@ -319,7 +319,7 @@ def participation(
         "participation_open_interest": F.try_divide(F.col("contracts"), F.col("day_open_interest").cast("double")),
     }
     wide = rows.select(group, *[value.alias(name) for name, value in ratios.items()])
-    counts = wide.groupBy(group).agg(
+    counts = keyed(wide, [group]).groupBy(group).agg(
         *[F.count_if(F.col(column) > bound).alias(name) for name, (column, bound) in bounds.items()]
     )
     long = wide.unpivot([group], list(ratios), "_measure", "_value")
@@ -335,7 +335,7 @@ def symbol_alignment(legs: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     entry, leave, held = flag("entry_covered"), flag("exit_covered"), flag("placeholder")
     exact = ~held
-    return legs.groupBy(*keys).agg(
+    return keyed(legs, keys).groupBy(*keys).agg(
         F.count("*").alias("active_position_rows"),
         F.count_if(exact).alias("exact_position_rows"),
         F.count_if(exact & entry).alias("exact_entry_covered_rows"),

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from premia.operators.paths import keyed
 from premia.operators.policy import exact_cover
 
 # Path rules of the published manifest.
@@ -143,7 +144,7 @@ def domain_closure(
 ) -> DataFrame:
     """Per group: expected values missing, unexpected values, row count, and closure."""
 
-    per_value = df.groupBy(*keys, column).agg(F.count("*").alias("_n"))
+    per_value = keyed(df, keys).groupBy(*keys, column).agg(F.count("*").alias("_n"))
     listed = F.col(column).isin(*expected)
     sums = per_value.groupBy(*keys).agg(
         F.sum("_n").alias("rows"),
@@ -236,14 +237,14 @@ def report_rows(lines: DataFrame, published: DataFrame) -> DataFrame:
 def required_text(claims: DataFrame, keys: Sequence[str], text: str, phrase: str) -> DataFrame:
     """Whether any text of a group contains a phrase."""
 
-    return claims.groupBy(*keys).agg(F.bool_or(F.col(text).contains(phrase)).alias("stated"))
+    return keyed(claims, keys).groupBy(*keys).agg(F.bool_or(F.col(text).contains(phrase)).alias("stated"))
 
 
 def json_key_audit(documents: DataFrame, keys: Sequence[str], text: str, banned: str) -> DataFrame:
     """Occurrences of a key at any depth of JSON texts (quotes inside strings are escaped)."""
 
     hits = F.regexp_count(F.col(text), F.lit(rf'(?<!\\)"\Q{banned}\E"\s*:'))
-    return documents.groupBy(*keys).agg(
+    return keyed(documents, keys).groupBy(*keys).agg(
         F.count("*").alias("documents"),
         F.count_if(hits > 0).alias("documents_with_key"),
         F.sum(hits).alias("occurrences"),

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from premia.operators.audit import book_rows, leg_cost, portfolio_audit
+from premia.operators.paths import keyed
 from premia.operators.policy import DUST, Limits, Policy
 
 EDGE_DUST = 1e-12
@@ -226,7 +227,7 @@ def naive_books(
     """Equal-premium and equal-risk capped weights of every group's contracts."""
 
     inverse = F.when(F.col(risk) > 0.0, F.try_divide(F.lit(1.0), F.col(risk)))
-    totals = contracts.groupBy(group).agg(
+    totals = keyed(contracts, [group]).groupBy(group).agg(
         F.count("*").alias("_n"), F.sum(inverse).alias("_inverse")
     )
     limit = F.lit(float(cap))
@@ -244,7 +245,7 @@ def weight_summary(books: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Contract rows, active legs, gross, net, long, short and largest weight per book."""
 
     w = F.col("weight")
-    return books.groupBy(*keys).agg(
+    return keyed(books, keys).groupBy(*keys).agg(
         F.count("*").alias("contract_rows"),
         F.count_if(F.abs(w) > DUST).alias("active_contracts"),
         F.sum(F.abs(w)).alias("gross_weight"),
@@ -262,7 +263,7 @@ def top_share(books: DataFrame, keys: Sequence[str], k: int = 5) -> DataFrame:
     book), so a huge book sends only k rows per task.
     """
 
-    size = books.select(*keys, "contract_id", F.abs("weight").alias("_size"))
+    size = keyed(books, keys).select(*keys, "contract_id", F.abs("weight").alias("_size"))
     order = Window.partitionBy(*keys).orderBy(F.col("_size").desc(), "contract_id")
     largest = (
         size.withColumn("_rn", F.row_number().over(order))
@@ -281,7 +282,7 @@ def concentration(books: DataFrame, keys: Sequence[str], cap: str, candidates: C
 
     size = F.abs("weight")
     active = size > DUST
-    sums = books.groupBy(*keys).agg(
+    sums = keyed(books, keys).groupBy(*keys).agg(
         F.count_if(candidates).alias("n_candidate_contracts"),
         F.count_if(active).alias("n_active_contracts"),
         F.sum(size).alias("deployed_gross"),

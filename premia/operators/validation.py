@@ -16,7 +16,7 @@ from premia.functions.numeric import finite
 from premia.functions.status import SCOPE_OF_CHECK, robustness_status
 from premia.operators.covariance import salted_join
 from premia.operators.inference import positions
-from premia.operators.paths import path_statistics
+from premia.operators.paths import keyed, path_statistics
 from premia.operators.ranks import average_rank, exact_quantiles
 
 Keys = Sequence[str]
@@ -154,7 +154,7 @@ def cpcv_summary(paths: DataFrame, keys: Keys, scope: Keys, ret: str = "net_retu
     """Paths, default share, lowest wealth, Sharpe percentiles (NULL after a default), status."""
 
     table = path_statistics(paths, [*keys, "path_id"], ("return_date",), ret)
-    sums = table.groupBy(*scope).agg(
+    sums = keyed(table, scope).groupBy(*scope).agg(
         F.count("*").alias("paths"),
         F.avg(F.col("defaulted").cast("double")).alias("default_share"),
         F.min("terminal_wealth").alias("minimum_terminal_wealth"),
@@ -263,7 +263,7 @@ def scoreboard(scores: DataFrame, ours: str, stock: str, group: str = "config")
     """Best naive strategy per group, edges over it and over the stock baseline, beat flags."""
 
     naive = ~F.col("strategy").isin(ours, stock)
-    table = scores.groupBy(group).agg(
+    table = keyed(scores, [group]).groupBy(group).agg(
         F.max(F.when(F.col("strategy") == ours, F.col("net_sharpe"))).alias("net_sharpe"),
         F.max(F.when(F.col("strategy") == stock, F.col("net_sharpe"))).alias("stock_sharpe"),
         F.max(F.when(naive, F.struct("net_sharpe", "strategy"))).alias("_best"),
