@@ -3,7 +3,7 @@
 A text of more than ``chunk`` characters is cut into chunks that overlap. Chunks are pre-tokenised in parallel,
 in whatever tasks they land. A chunk that starts inside a pre-token gets its first boundaries wrong, but
 the pattern never looks back, so from the first boundary on which two neighbouring chunks agree they agree for good: there
-they are stitched, and each piece between boundaries belongs to one chunk. Pieces are encoded by merging the pair of lowest rank,
+they are stitched, and each piece between boundaries belongs to one chunk. Pieces are encoded by merging the pair of lowest rank, many at a time in arrays,
 with a bounded cache. Decoding concatenates the raw bytes of the ids.
 Texts of one chunk need no stitching and no shuffle.
 """
@@ -11,8 +11,10 @@ Texts of one chunk need no stitching and no shuffle.
 from __future__ import annotations
 
 import base64
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,8 +23,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from premia.llm.frames import pick
 
-CACHE = 200_000  # pieces
-CACHED_BYTES = 64  # longest piece that is cached
+CACHE = 300_000  # pieces kept between batches, about 80 MB
+SHORT_BYTES = 64
+NO_RANK = 1 << 40
 LOOK_AHEAD = 3  # characters beyond a match that may have shaped it
 ROWS = 256  # texts turned into an Arrow batch at a time
 
@@ -36,42 +39,100 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
 
 
+def pair_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Every pair of tokens whose bytes join to a token: sorted keys (left << 32 | right) and the joint token's ranks."""
+
+    keys, joint = [], []
+    for token, rank in ranks.items():
+        for cut in range(1, len(token)):
+            left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
+            if left is not None and right is not None:
+                keys.append(left << 32 | right)
+                joint.append(rank)
+    order = np.argsort(np.array(keys, dtype=np.uint64))
+    return np.array(keys, dtype=np.uint64)[order], np.array(joint, dtype=np.int64)[order]
+
+
 class Coder:
-    """Encodes pieces by rank."""
+    """Encodes pieces by rank: the neighbours whose union has the lowest rank merge, the leftmost first, until none has one.
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
+    Pieces of the same length are merged side by side, one merge of each at a time, as rows of an array.
+    """
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str, pairs: tuple[np.ndarray, np.ndarray] | None = None) -> None:
         import regex
 
         self.ranks = ranks
         self.find = regex.compile(pattern).findall
         self.spans = regex.compile(pattern).finditer
+        self.keys, self.joint = pairs or pair_table(ranks)
+        self.single = np.array([ranks.get(bytes([b]), -1) for b in range(256)], dtype=np.int64)
         self.bytes = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.bytes[rank] = token
         self.cache: dict[str, list[int]] = {}
 
-    def piece(self, text: str) -> list[int]:
-        found = self.cache.get(text)
-        if found is None:
-            raw = text.encode()
-            found = self.merge(raw)
-            if len(raw) <= CACHED_BYTES:
-                if len(self.cache) >= CACHE:
-                    self.cache.clear()
-                self.cache[text] = found
-        return found
-
-    def merge(self, raw: bytes) -> list[int]:
-        """Merge the neighbours whose union has the lowest rank, the leftmost first, until none has one.
-
-        Neighbours are linked by position and candidates wait in a heap, so a piece of n bytes takes n log n.
-        """
+    def _pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        wanted = (left.astype(np.uint64) << np.uint64(32)) | right.astype(np.uint64)
+        if not len(self.keys):
+            return np.full(wanted.shape, NO_RANK)
+        place = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        return np.where(self.keys[place] == wanted, self.joint[place], NO_RANK)
+
+    def _merge_rows(self, pieces: list[bytes]) -> list[list[int]]:
+        """Ids of pieces of one length."""
+
+        n = len(pieces[0])
+        ids = self.single[np.frombuffer(b"".join(pieces), dtype=np.uint8).reshape(-1, n)]
+        pairs = self._pair_ranks(ids[:, :-1], ids[:, 1:])
+        out: list[list[int]] = [[]] * len(pieces)
+        rows = np.arange(len(pieces))
+        while len(rows):
+            width = ids.shape[1]
+            if width > 1:
+                at = pairs.argmin(axis=1)
+                low = pairs[np.arange(len(rows)), at]
+            done = np.ones(len(rows), dtype=bool) if width == 1 else low == NO_RANK
+            for row, found in zip(rows[done].tolist(), ids[done].tolist()):
+                out[row] = found
+            if done.all():
+                break
+            more = ~done
+            rows, ids, pairs, at, low = rows[more], ids[more], pairs[more], at[more], low[more]
+            line = np.arange(len(rows))
+            ids[line, at] = low
+            # Drop the right partner, and the pair that has merged.
+            ids = ids[np.arange(width) != (at + 1)[:, None]].reshape(len(rows), width - 1)
+            pairs = pairs[np.arange(width - 1) != at[:, None]].reshape(len(rows), width - 2)
+            after = np.flatnonzero(at < width - 2)
+            pairs[after, at[after]] = self._pair_ranks(ids[after, at[after]], ids[after, at[after] + 1])
+            before = np.flatnonzero(at > 0)
+            pairs[before, at[before] - 1] = self._pair_ranks(ids[before, at[before] - 1], ids[before, at[before]])
+        return out
+
+    def learn(self, pieces: Iterable[str]) -> None:
+        """Have the ids of all these pieces in the cache."""
+
+        if len(self.cache) > CACHE:
+            self.cache.clear()
+        by_length: dict[int, list[str]] = {}
+        for piece in set(pieces).difference(self.cache):
+            raw = piece.encode()
+            whole = self.ranks.get(raw)
+            if whole is not None:
+                self.cache[piece] = [whole]
+            elif len(raw) > SHORT_BYTES:
+                self.cache[piece] = self.merge_long(raw)
+            else:
+                by_length.setdefault(len(raw), []).append(piece)
+        for group in by_length.values():
+            self.cache.update(zip(group, self._merge_rows([piece.encode() for piece in group])))
+
+    def merge_long(self, raw: bytes) -> list[int]:
+        """Neighbours are linked by position and candidates wait in a heap, so a piece of n bytes takes n log n."""
 
         import heapq
 
-        whole = self.ranks.get(raw)
-        if whole is not None:
-            return [whole]
         n = len(raw)
         end = list(range(1, n + 1))  # end of the part that starts here; 0 once it is merged away
         start = list(range(-1, n))  # start of the part before the one that starts here
@@ -104,28 +165,39 @@ class Coder:
             i = end[i]
         return out
 
+    def piece(self, text: str) -> list[int]:
+        if text not in self.cache:
+            self.learn([text])
+        return self.cache[text]
+
+    def encode_all(self, texts: Sequence[str]) -> list[list[int]]:
+        parts = [self.find(text) for text in texts]
+        self.learn(chain.from_iterable(parts))
+        ids = self.cache.__getitem__
+        return [list(chain.from_iterable(map(ids, part))) for part in parts]
+
     def encode(self, text: str) -> list[int]:
-        ids: list[int] = []
-        piece, cache = self.piece, self.cache
-        for part in self.find(text):
-            found = cache.get(part)
-            ids += piece(part) if found is None else found
-        return ids
+        return self.encode_all([text])[0]
 
     def decode(self, ids: Sequence[int]) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
 
 
+def _coder(shared, pattern: str) -> Coder:
+    ranks, *pairs = shared.value
+    return Coder(ranks, pattern, tuple(pairs))
+
+
 def _whole(shared, pattern: str, carry: Sequence[str], schema: pa.Schema):
     """Texts of one chunk."""
 
     def encode(batches):
-        coder = Coder(shared.value, pattern)
+        coder = _coder(shared, pattern)
         for batch in batches:
             texts = batch.column("text")
             for i in range(0, batch.num_rows, ROWS):
                 rows = batch.slice(i, ROWS)
-                ids = [coder.encode(text or "") for text in texts.slice(i, ROWS).to_pylist()]
+                ids = coder.encode_all([text or "" for text in texts.slice(i, ROWS).to_pylist()])
                 yield _coded(rows, ids, coder, carry, schema)
 
     return encode
@@ -145,13 +217,13 @@ def _cutter(chunk: int, overlap: int):
         for batch in batches:
             for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist()):
                 for k, at in enumerate(range(0, len(text), chunk)):
-                    part = text[at : at + chunk + overlap]
-                    yield pa.RecordBatch.from_pydict({"row": [row], "number": [k], "text": [part]}, schema=CHUNK)
+                    part, last = text[at : at + chunk + overlap], at + chunk >= len(text)
+                    yield pa.RecordBatch.from_pydict({"row": [row], "number": [k], "last": [last], "text": [part]}, schema=CHUNK)
 
     return cut
 
 
-CHUNK = pa.schema([("row", pa.string()), ("number", pa.int32()), ("text", pa.string())])
+CHUNK = pa.schema([("row", pa.string()), ("number", pa.int32()), ("last", pa.bool_()), ("text", pa.string())])
 
 
 def _pretokenise(shared, pattern: str, chunk: int):
@@ -162,11 +234,12 @@ def _pretokenise(shared, pattern: str, chunk: int):
     """
 
     def pretokenise(batches):
-        coder = Coder(shared.value, pattern)
+        coder = _coder(shared, pattern)
         for batch in batches:
             for row in batch.to_pylist():
                 text = row["text"]
                 ends, ids, counts = [], [], []
+                coder.learn(coder.find(text))
                 for match in coder.spans(text):
                     if not row["last"] and match.end() > len(text) - LOOK_AHEAD:
                         break
@@ -273,7 +346,8 @@ def encode(
     if not 0 < overlap <= chunk:
         raise ValueError("the overlap is at least one character and at most a chunk")
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(read_ranks(ranks_path))
+    ranks = read_ranks(ranks_path)
+    shared = spark.sparkContext.broadcast((ranks, *pair_table(ranks)))
     passed = list(dict.fromkeys([*carry, "text"]))
     source = pick(docs, *passed)
     shape = T.StructType([*[source.schema[name] for name in carry], *CODED])
@@ -284,11 +358,8 @@ def encode(
     # Long texts: equal ones are coded once, under the hash of the text.
     long = source.where(~short).withColumn("row", F.sha2("text", 256))
     texts = long.groupBy("row").agg(F.first("text").alias("text"))
-    chunks = texts.mapInArrow(_cutter(chunk, overlap), "row string, number int, text string")
-    count = F.ceil(F.length("text") / chunk).cast("int")
-    last = texts.select("row", (count - 1).alias("final"))
-    spread = chunks.join(last, "row").withColumn("last", F.col("number") == F.col("final")).drop("final")
-    spread = spread.repartition("row", "number")
+    chunks = texts.mapInArrow(_cutter(chunk, overlap), "row string, number int, last boolean, text string")
+    spread = chunks.repartition("row", "number")
     parts = spread.mapInArrow(_pretokenise(shared, pattern, chunk), PARTS_SQL)
     joined = parts.groupBy("row").applyInArrow(_joiner(shared, pattern, chunk), "row string, ids array<int>, decoded binary")
     whole = long.join(joined, "row").select(*carry, "ids", "decoded")
@@ -297,7 +368,7 @@ def encode(
 
 def _joiner(shared, pattern: str, chunk: int):
     def join(table: pa.Table) -> pa.Table:
-        coder = Coder(shared.value, pattern)
+        coder = _coder(shared, pattern)
         parts = sorted(table.to_pylist(), key=lambda part: part["number"])
         ids = stitch(parts, chunk, coder)
         return pa.table(
