@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from premia.llm.components import components
-from premia.llm.frames import pick, stored
+from premia.llm.frames import pick, stored, text_key
 from premia.llm.words import pieces
 
 BYTES = 8
@@ -100,17 +100,17 @@ def links(prints: DataFrame, bits: int = 2) -> DataFrame:
     return pairs.where((tally >= SHARED) & (F.bit_count(odd) <= bits)).select("a", "b").distinct()
 
 
-def classes(docs: DataFrame, bits: int = 2) -> DataFrame:
-    """doc_id, print, root (the component's smallest fingerprint) and component_id of every row."""
+def classes(docs: DataFrame, carry: Sequence[str] = ("doc_id",), bits: int = 2) -> DataFrame:
+    """The carried columns (doc_id among them), print, root (the component's smallest fingerprint) and component_id of every row."""
 
-    marked = stored(fingerprints(docs), "prints")
+    marked = stored(fingerprints(docs, carry), "prints")
     distinct = stored(marked.groupBy("print").agg(F.min("doc_id").alias("low")), "distinct")
     stars = components(links(distinct.select("print"), bits))
     rooted = distinct.join(stars.withColumnRenamed("node", "print"), "print", "left")
     rooted = rooted.select("print", "low", F.coalesce("root", "print").alias("root"))
     least = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     named = stored(rooted.join(least, "root").select("print", "root", "component_id"), "named")
-    return marked.join(named, "print").select("doc_id", "print", "root", "component_id")
+    return marked.join(named, "print").select(*carry, "print", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, bits: int = 2) -> DataFrame:
@@ -121,18 +121,21 @@ def near_duplicates(docs: DataFrame, bits: int = 2) -> DataFrame:
     Columns beyond doc_id and text are dropped. An empty table gives an empty one.
     """
 
-    return classes(docs, bits).select("doc_id", "print", "component_id")
+    return classes(docs, bits=bits).select("doc_id", "print", "component_id")
 
 
 def keep_one(docs: DataFrame, columns: Sequence[str], bits: int = 2) -> DataFrame:
     """``columns`` (doc_id and text among them) of one document of each component: that with the smallest id.
 
-    NULL ids come last; of rows with the same id the one with the smallest fingerprint stays, of equal rows one.
+    NULL ids come last; of rows with the same id the one with the smallest text hash stays, of equal rows one. Texts are
+    fingerprinted once; the documents that stay are found again by id and text hash.
     """
 
-    order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "print")
-    first = classes(docs, bits).groupBy("root").agg(F.min(order).alias("first"))
-    first = first.select(F.col("first.doc_id").alias("keep_id"), F.col("first.print").alias("keep_print"))
-    marked = fingerprints(docs, columns)
-    same = marked["doc_id"].eqNullSafe(first["keep_id"]) & (marked["print"] == first["keep_print"])
-    return marked.join(first, same, "left_semi").dropDuplicates(["doc_id", "print"]).select(*columns)
+    keyed = pick(docs, *columns).withColumns(dict(zip(("key_a", "key_b"), text_key())))
+    order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "key_a", "key_b")
+    marked = classes(keyed.select("doc_id", "text", "key_a", "key_b"), ("doc_id", "key_a", "key_b"), bits)
+    first = marked.groupBy("root").agg(F.min(order).alias("first"))
+    first = first.select(*[F.col(f"first.{name}").alias(f"keep_{name}") for name in ("doc_id", "key_a", "key_b")])
+    same = keyed["doc_id"].eqNullSafe(first["keep_doc_id"])
+    same = same & (keyed["key_a"] == first["keep_key_a"]) & (keyed["key_b"] == first["keep_key_b"])
+    return keyed.join(first, same, "left_semi").dropDuplicates(["doc_id", "key_a", "key_b"]).select(*columns)
