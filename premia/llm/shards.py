@@ -175,7 +175,7 @@ def kd_shards(
     # Nodes still to split have numbers from 1; a leaf has the number -1 - shard.
     growing = {1: shards} if shards > 1 else {}
     first, fresh = {1: 0}, 2
-    frame = coded.withColumn("node", F.lit(1 if growing else -1))
+    frame = stored(coded.withColumn("node", F.lit(1 if growing else -1)), "level")
     while growing:
         active = frame.where("node > 0")
         sums = (
