@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from premia.llm import bpe, decontaminate, kneser_ney, languages, quality, shards, simhash, substrings, urls, warc
+from premia.llm import bpe, decontaminate, kneser_ney, languages, quality, ranked_search, shards, simhash, substrings
+from premia.llm import token_files, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -167,3 +168,36 @@ def op6(spark, folder):
 @query("op9_language_id")
 def op9(spark, folder):
     return languages.identify(table(spark, folder, "documents"))
+
+
+@query("op12_token_files")
+def op12(spark, folder):
+    import public_tokenizers
+
+    docs = table(spark, folder, "documents")
+    written = token_files.write(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.checksums(token_files.read(spark, written, docs.schema["doc_id"].dataType))
+
+
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+OP13_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(coalesce({LOWER.format("text")}, ''), '{TERM}') AS w FROM documents),
+b AS (SELECT row_number() OVER () AS q, item_id, list_distinct(regexp_extract_all(coalesce({LOWER.format("text")}, ''), '{TERM}')) AS w FROM benchmark),
+bt AS (SELECT q, item_id, unnest(w) AS term FROM b),
+t AS (SELECT k, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT k, unnest(w) AS term FROM d)
+      WHERE term IN (SELECT term FROM bt) GROUP BY 1, 2),
+g AS (SELECT CAST(count(*) AS BIGINT) AS nn, CAST(sum(len(w)) AS BIGINT) AS ll FROM d WHERE len(w) > 0),
+f AS (SELECT term, CAST(floor(1000 * ln((2 * nn + 2) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS wt FROM t, g GROUP BY term, nn),
+m AS (SELECT k, doc_id, 100 - 90 + ((90 * CAST(len(w) AS BIGINT) * nn) // ll) AS m FROM d, g WHERE len(w) > 0),
+s AS (SELECT q, item_id, doc_id, CAST(sum(wt * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+      FROM bt JOIN t USING (term) JOIN f USING (term) JOIN m USING (k) GROUP BY q, item_id, k, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0)
+WHERE rank <= 10
+"""
+
+
+@query("op13_ranked_search", OP13_SQL)
+def op13(spark, folder):
+    return ranked_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
