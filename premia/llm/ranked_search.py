@@ -28,6 +28,7 @@ from premia.llm.frames import pick
 from premia.llm.words import find_words, hash_spans, in_document, lowered, pieces
 
 COORDINATES = 4096  # of a sketch
+SKETCHES = 256  # documents whose sketches are held at a time
 UNIT = 1_000_000_000
 
 
@@ -146,9 +147,29 @@ class _Last:
 
 def _ranker(shared, weights: np.ndarray, n_docs: int, n_terms: int, top: int, schema: pa.Schema):
     def impact(times, length):
-        # Python whole numbers cannot overflow, but neither do these: 90 * n * N stays below 2^63 for all texts Spark can hold.
+        # 64-bit whole numbers: n * N stays below 2^63 / 90, which is 10^17.
         return (UNIT * times) // (1000 * times + 8 * (100 - 90 + (90 * length * n_docs) // n_terms))
 
+    def rescore(best, bounds, low, keys, impacts, id_of):
+        """Score documents exactly by descending bound, item by item, while a bound reaches the item's least score."""
+
+        batch = shared.value
+        least = np.array([b.least() for b in best])
+        for item in np.flatnonzero((bounds >= least).any(axis=0)).tolist():
+            terms = batch.terms[batch.first[item] : batch.first[item + 1]]
+            some = np.flatnonzero(bounds[:, item] >= least[item])
+            some = some[np.argsort(-bounds[some, item], kind="stable")]
+            for i in range(0, len(some), 16):
+                part = some[i : i + 16]
+                if bounds[part[0], item] < best[item].least():
+                    break
+                key = in_document(np.tile(batch.hashes[terms], len(part)), np.repeat(part + low, len(terms)))
+                place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                exact = np.where(keys[place] == key, impacts[place], 0).reshape(len(part), -1) @ weights[terms]
+                for row, score in zip((part + low).tolist(), exact.tolist()):
+                    if score >= best[item].least():
+                        best[item].add(score, id_of(row))
+
     def rank(rows):
         batch = shared.value
         n_items = len(batch.items)
@@ -162,25 +183,13 @@ def _ranker(shared, weights: np.ndarray, n_docs: int, n_terms: int, top: int, sc
                 if not len(doc):
                     continue
                 impacts = impact(times, per_doc[doc])
-                sketch = _sketches(doc, hashes, impacts, end - start)
-                bounds = np.add.reduceat(sketch[:, coordinate] * weight, batch.first[:-1], axis=1)
-                least = np.array([b.least() for b in best])
-                for item in np.flatnonzero((bounds >= least).any(axis=0)).tolist():
-                    own = slice(batch.first[item], batch.first[item + 1])
-                    wanted, own_weight = batch.hashes[batch.terms[own]], weight[own]
-                    some = np.flatnonzero(bounds[:, item] >= least[item])
-                    some = some[np.argsort(-bounds[some, item], kind="stable")]
-                    for i in range(0, len(some), 16):
-                        part = some[i : i + 16]
-                        if bounds[part[0], item] < best[item].least():
-                            break
-                        # Exact scores of the next documents by descending bound.
-                        key = in_document(np.tile(wanted, len(part)), np.repeat(part, len(wanted)))
-                        place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                        exact = np.where(keys[place] == key, impacts[place], 0).reshape(len(part), -1) @ own_weight
-                        for row, score in zip(part.tolist(), exact.tolist()):
-                            if score >= best[item].least():
-                                best[item].add(score, ids[start + row].as_py())
+                by_doc = np.argsort(doc, kind="stable")
+                for low in range(0, end - start, SKETCHES):
+                    high = min(low + SKETCHES, end - start)
+                    some = by_doc[np.searchsorted(doc[by_doc], low) : np.searchsorted(doc[by_doc], high)]
+                    sketch = _sketches(doc[some] - low, hashes[some], impacts[some], high - low)
+                    bounds = np.add.reduceat(sketch[:, coordinate] * weight, batch.first[:-1], axis=1)
+                    rescore(best, bounds, low, keys, impacts, lambda row, start=start, ids=ids: ids[start + row].as_py())
         found = [(item, entry[1].doc, entry[0]) for item in range(n_items) for entry in best[item].heap]
         if found:
             item, doc_ids, scores = zip(*found)

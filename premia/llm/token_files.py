@@ -26,8 +26,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from premia.llm.frames import pick, shared_folder, text_key, width
 
 END = 0
-HELD = 8 << 20  # characters of pieces that a worker keeps
-PENDING = 8 << 20  # characters encoded before their rows are passed on
+HELD = 4 << 20  # characters of pieces that a worker keeps
+PENDING = 1 << 20  # characters encoded before their rows are passed on
 
 ORC = {
     "orc.bloom.filter.columns": "doc_id",
@@ -125,21 +125,22 @@ def _writer(path: str, schema: pa.Schema):
         part = TaskContext.get().partitionId()
         coder, start = None, 0
         for batch in batches:
-            texts = [text or "" for text in batch.column("text").to_pylist()]
-            first, waiting = 0, 0
-            for i, text in enumerate(texts):
-                waiting += len(text)
-                if waiting < PENDING and i + 1 < len(texts):
+            column = batch.column("text")
+            first, texts, waiting = 0, [], 0
+            for i in range(len(column)):
+                texts.append(column[i].as_py() or "")
+                waiting += len(texts[-1])
+                if waiting < PENDING and i + 1 < len(column):
                     continue
                 coder = coder or worker_encoder(path)
-                ids, lengths = coder.encode(texts[first : i + 1])
+                ids, lengths = coder.encode(texts)
                 ends = np.cumsum(lengths)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids))
                 rows = batch.column("doc_id").slice(first, i + 1 - first)
                 columns = [rows, pa.array(np.full(len(rows), part, dtype=np.int32)), pa.array(start + ends - lengths), pa.array(lengths), lists.cast(schema.field("ids").type)]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
                 start += int(ends[-1])
-                first, waiting = i + 1, 0
+                first, texts, waiting = i + 1, [], 0
 
     return encode
 
