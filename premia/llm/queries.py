@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from premia.llm import bpe, decontaminate, kneser_ney, languages, quality, ranked_search, shards, simhash, substrings
+from premia.llm import bpe, conversations, decontaminate, frames, kneser_ney, languages, quality, ranked_search, shards, simhash, substrings
 from premia.llm import token_files, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -170,6 +170,94 @@ def op9(spark, folder):
     return languages.identify(table(spark, folder, "documents"))
 
 
+#: Reflected CRC-32 of a short text, a byte and then eight shifts at a time.
+CRC = """
+xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(range(1, length({0}) + 1),
+    lambda i: [CAST(ascii(substr({0}, i, 1)) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END), 4294967295)
+"""
+
+OP11_SQL = rf"""
+WITH RECURSIVE src AS (
+  SELECT dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS c, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {CRC.format("key")} % 20 AS hit
+  FROM (SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations)),
+damaged AS (
+  SELECT c, turn, CASE WHEN hit = 4 THEN 'user' ELSE role END AS role,
+         CASE hit WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE hit WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM src),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+         row_number() OVER (PARTITION BY c, role, text ORDER BY turn NULLS FIRST, copy) AS again FROM damaged),
+t AS (
+  SELECT c, turn, role, text, i, substr(role, 1, 1) AS x, lag(substr(role, 1, 1)) OVER (PARTITION BY c ORDER BY i) AS before,
+         CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN again > 1 THEN 'duplicate'
+              WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE 'none' END AS fault FROM numbered),
+gap(f, g, p, e) AS (VALUES ('S','S',0,''), ('P','P',0,''), ('A','A',0,''), ('E','E',0,''), ('S','A',3,'I'), ('P','A',3,'I'), ('E','A',3,'I'),
+  ('A','E',3,'I'), ('S','E',6,'II'), ('P','E',6,'II'), ('E','E',6,'II'), ('A','A',6,'II')),
+edit(x, f, g, p, e) AS (VALUES ('s','S','P',0,'K'), ('u','S','A',0,'K'), ('u','P','A',0,'K'), ('u','E','A',0,'K'), ('a','A','E',0,'K'),
+  ('*','S','A',3,'R'), ('*','P','A',3,'R'), ('*','E','A',3,'R'), ('*','A','E',3,'R'),
+  ('*','S','S',4,'D'), ('*','P','P',4,'D'), ('*','A','A',4,'D'), ('*','E','E',4,'D')),
+walk AS (
+  SELECT DISTINCT c, CAST(0 AS BIGINT) AS i, 'S' AS state, {{'cost': CAST(0 AS BIGINT), 'audit': ''}} AS best FROM t
+  UNION ALL
+  SELECT w.c, w.i + 1, edit.g,
+         min({{'cost': w.best.cost + gap.p + edit.p + CASE WHEN edit.e <> 'D' AND t.fault = 'truncated' THEN 3 ELSE 0 END,
+              'audit': w.best.audit || gap.e || edit.e}})
+  FROM walk w JOIN t ON t.c = w.c AND t.i = w.i + 1 JOIN gap ON gap.f = w.state
+       JOIN edit ON edit.f = gap.g AND (edit.x = '*' OR edit.x = t.x) AND (edit.e = 'D' OR t.fault NOT IN ('blank', 'duplicate'))
+  GROUP BY w.c, w.i, edit.g),
+sizes AS (SELECT c, max(i) AS n FROM t GROUP BY c),
+best AS (
+  SELECT w.c, min({{'cost': w.best.cost + gap.p, 'audit': w.best.audit || gap.e}}) AS best
+  FROM walk w JOIN sizes z ON z.c = w.c AND z.n = w.i JOIN gap ON gap.f = w.state AND gap.g IN ('S', 'E') GROUP BY w.c),
+step AS (
+  SELECT c, p, e, sum(CASE WHEN e = 'I' THEN 0 ELSE 1 END) OVER (PARTITION BY c ORDER BY p) AS i,
+         sum(CASE WHEN e = 'D' THEN 0 ELSE 1 END) OVER (PARTITION BY c ORDER BY p) AS j
+  FROM (SELECT c, p, substr(audit, CAST(p AS BIGINT), 1) AS e FROM (SELECT c, best.audit AS audit, unnest(range(1, length(best.audit) + 1)) AS p FROM best))),
+system AS (SELECT DISTINCT step.c FROM step JOIN t USING (c, i) WHERE e = 'K' AND j = 1 AND x = 's'),
+repaired AS (
+  SELECT step.c, string_agg(CASE WHEN e = 'K' THEN role WHEN (j + CASE WHEN system.c IS NULL THEN 0 ELSE 1 END) % 2 = 1 THEN 'user' ELSE 'assistant' END
+         || ':' || CASE WHEN e = 'I' THEN '' ELSE text END, chr(10) ORDER BY p) AS body
+  FROM step LEFT JOIN t ON t.c = step.c AND t.i = step.i AND e <> 'I' LEFT JOIN system ON system.c = step.c WHERE e <> 'D' GROUP BY step.c),
+facts AS (
+  SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+         count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (before IS NOT NULL AND before || x NOT IN ('su', 'ua', 'au')) AS illegal FROM t GROUP BY c)
+SELECT s.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank,
+       CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+       CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(best.best.cost, 0) AS BIGINT) AS cost,
+       coalesce(best.best.audit, '') AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+FROM (SELECT DISTINCT c, conv_id FROM src) s LEFT JOIN facts USING (c) LEFT JOIN best USING (c) LEFT JOIN repaired USING (c)
+"""
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Turns dropped, emptied, robbed of their ends, repeated or given to the user, by a checksum of conversation and turn."""
+
+    rows = frames.pick(rows, "conv_id", "turn", "role", "text")
+    role, text = (F.coalesce(F.col(name), F.lit(" ")) for name in ("role", "text"))
+    key = F.concat_ws(":", *(F.coalesce(F.col(name).cast("string"), F.lit(" ")) for name in ("conv_id", "turn")))
+    hit = F.crc32(key.cast("binary")) % 20
+    copies = F.when(hit == 0, 0).when(hit == 3, 2).otherwise(1)
+    return rows.select(
+        "conv_id", "turn", F.when(hit == 4, "user").otherwise(role).alias("role"),
+        F.when(hit == 1, "").when(hit == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+        F.explode(F.array_repeat(F.lit(1), copies)).alias("copy"),
+    ).drop("copy")
+
+
+@query("op11_conversation_repair", OP11_SQL)
+def op11(spark, folder):
+    rows = table(spark, folder, "conversations")
+    found = conversations.summarize(conversations.repair(damaged(rows))).withColumnRenamed("conv_id", "found_id")
+    every = rows.select("conv_id").distinct()
+    counts = [F.coalesce(F.col(name), F.lit(0)).alias(name) for name in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.join(found, F.col("conv_id").eqNullSafe(F.col("found_id")), "left").select(
+        "conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256")
+    )
+
+
 @query("op12_token_files")
 def op12(spark, folder):
     import public_tokenizers
