@@ -78,3 +78,27 @@ def base_counts(text):
     twice = {i + j for i, g in enumerate(grams) if counts[g] > 1 for j in range(3)}
     symbols = len(re.findall(r"[#*$%&|<>]", text or ""))
     return len(words), sum(map(len, words)), symbols, len(lines) - len(set(lines)), len(twice)
+
+
+def shingles(text):
+    words = re.findall(SPACED, (text or "").translate(LOWER))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def similar(a, b):
+    return 5 * len(a & b) >= 4 * len(a | b)
+
+
+def kept_by_pairs(rows):
+    sets = {i: shingles(text) for i, text in rows}
+    left, kept = set(sets), []
+    while left:
+        group, queue = set(), [min(left)]
+        while queue:
+            a = queue.pop()
+            if a in left:
+                left.remove(a)
+                group.add(a)
+                queue += [b for b in left if similar(sets[a], sets[b])]
+        kept.append(min(group))
+    return sorted(kept)

@@ -12,7 +12,7 @@ import tiktoken
 
 import corpus_pipeline
 from premia.llm.bpe import read_ranks
-from plain_versions import SPACED, base_counts, contaminated, fingerprint, grouped, repeats
+from plain_versions import SPACED, base_counts, contaminated, kept_by_pairs, repeats
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -47,12 +47,7 @@ def plain_quality(docs, labels):
 def test_every_stage_does_its_work(spark):
     docs = {i: text or "" for i, text, *_ in table("documents")}
     good = plain_quality(docs, table("labels"))
-    prints = {i: fingerprint(text) for i, text in good.items()}
-    number = grouped(sorted(set(prints.values())))
-    first = {}
-    for i in sorted(good):
-        first.setdefault(number[prints[i]], i)
-    single = {i: good[i] for i in sorted(first.values())}
+    single = {i: good[i] for i in kept_by_pairs(list(good.items()))}
     cut = {}
     for (i, text), (n, gone, left) in zip(single.items(), repeats(list(single.values()), 35)):
         if not gone:
