@@ -294,6 +294,64 @@ def bootstrap_intervals(
     )
 
 
+#: What a run of returns does to wealth, relative to wealth at its start: product, lowest and highest point (the start
+#: among them), worst ratio to the highest point so far, loss of everything, and centered sums.
+RUN = ("growth", "low", "high", "dip", "ruin", "n", "s", "q")
+FOLDED = 512  # runs joined at a time
+
+
+def _joined(a: Column, b: Column) -> Column:
+    """The run that does ``a`` and then ``b``; joining is associative."""
+
+    ahead = a["growth"]
+    return F.struct(
+        (ahead * b["growth"]).alias("growth"),
+        F.least(a["low"], ahead * b["low"]).alias("low"),
+        F.greatest(a["high"], ahead * b["high"]).alias("high"),
+        F.least(a["dip"], b["dip"], ahead * b["low"] / a["high"]).alias("dip"),
+        *[F.greatest(a[name], b[name]).alias(name) for name in ("ruin",)],
+        *[(a[name] + b[name]).alias(name) for name in ("n", "s", "q")],
+    )
+
+
+def _standing() -> Column:
+    """The run of no returns."""
+
+    return F.struct(*[F.lit(1.0 if name in ("growth", "low", "high", "dip") else 0.0).alias(name) for name in RUN])
+
+
+def _circular_runs(placed: DataFrame, keys: Keys, block_size: int) -> DataFrame:
+    """For each place, the circular runs that start there: ``full`` of ``block_size`` places, ``tail`` of what is left of the
+    path after its whole blocks. A doubling table: runs of 2, 4, 8, ... places are two runs of half, joined at the place between.
+    """
+
+    keys = list(keys)
+    centers = placed.groupBy(*keys).agg(F.avg("_r").alias("_center"))
+    g, off = F.lit(1.0) + F.col("_r"), F.col("_r") - F.col("_center")
+    one = F.struct(
+        g.alias("growth"), F.least(F.lit(1.0), g).alias("low"), F.greatest(F.lit(1.0), g).alias("high"),
+        F.least(F.lit(1.0), g).alias("dip"), F.when(g <= 0, 1.0).otherwise(0.0).alias("ruin"), F.lit(1.0).alias("n"),
+        off.alias("s"), (off * off).alias("q"),
+    )
+    level = placed.join(centers, keys).select(*keys, "pos", "path_n", "_center", one.alias("_run"))
+    runs = level.select(*keys, "pos", "path_n", "_center", _standing().alias("full"), _standing().alias("tail"))
+    size = 1
+    while size <= block_size:
+        # Each length takes the powers of two it is made of, the small ones first.
+        for name, length in (("full", F.lit(block_size)), ("tail", F.col("path_n") % block_size)):
+            lower = length.cast("int").bitwiseAND(F.lit(size - 1))
+            there = level.select(*keys, F.col("pos").alias("_there"), F.col("_run").alias("_next"))
+            at = runs.withColumn("_there", (F.col("pos") + lower) % F.col("path_n")).join(there, [*keys, "_there"])
+            has = length.cast("int").bitwiseAND(F.lit(size)) != 0
+            runs = at.withColumn(name, F.when(has, _joined(F.col(name), F.col("_next"))).otherwise(F.col(name))).drop("_there", "_next")
+        if 2 * size <= block_size:
+            second = level.select(*keys, F.col("pos").alias("_there"), F.col("_run").alias("_next"))
+            pair = level.withColumn("_there", (F.col("pos") + size) % F.col("path_n")).join(second, [*keys, "_there"])
+            level = pair.withColumn("_run", _joined(F.col("_run"), F.col("_next"))).drop("_there", "_next")
+        size *= 2
+    return runs.select(*keys, F.col("pos").alias("_start"), "_center", "full", "tail")
+
+
 def resampled_paths(
     df: DataFrame,
     keys: Keys,
@@ -302,20 +360,50 @@ def resampled_paths(
     seed: int,
     order: str = "return_date",
     ret: str = "net_return",
+    periods: float = 12.0,
 ) -> DataFrame:
-    """Path risk of reordered returns: p05 and p50 of Sharpe and drawdown, default share."""
+    """Path risk of reordered returns: p05 and p50 of Sharpe and drawdown, default share.
 
-    panel = bootstrap_panel(df, keys, replicates, block_size, seed, order, ret)
+    The resamples are those of ``bootstrap_panel``. A drawn block is one row, the summary of its run; a replicate joins its
+    blocks in order, ``FOLDED`` at a time, so replicates x places never exist.
+    """
+
+    if block_size < 1 or replicates < 1:
+        raise ValueError("blocks and replicates are counted from one")
+    keys = list(keys)
+    clean = df.select(*keys, order, finite(ret).alias("_r")).where(F.col("_r").isNotNull())
+    placed = written(positions(clean, keys, order).select(*keys, "pos", "path_n", "_r"), "placed")
+    runs = written(_circular_runs(placed, keys, block_size), "runs")
+    number = F.expr(f"pos div {int(block_size)}")
+    drawn = (
+        placed.where(F.col("pos") % block_size == 0)
+        .select(*keys, "pos", "path_n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+        .withColumn("_start", block_start(seed, F.col("replicate"), number, F.col("path_n")))
+        .withColumn("_whole", F.col("pos") + block_size <= F.col("path_n"))
+        .select(*keys, "replicate", number.alias("_at"), "_start", "_whole")
+        .join(runs, [*keys, "_start"])
+        .select(*keys, "replicate", "_at", "_center", F.when(F.col("_whole"), F.col("full")).otherwise(F.col("tail")).alias("_run"))
+    )
     inner = [*keys, "replicate"]
-    table = path_statistics(panel, inner, ("pos",), ret, block=F.expr("pos div 256"))
+    for group in ([*inner, F.expr(f"_at div {FOLDED}").alias("_at")], inner):
+        listed = F.sort_array(F.collect_list(F.struct("_at", "_run")))  # at most FOLDED runs, then as many sums of them as a path has
+        drawn = drawn.groupBy(*group).agg(F.max("_center").alias("_center"), listed.alias("_runs"))
+        drawn = drawn.withColumn("_run", F.aggregate("_runs", _standing(), lambda done, item: _joined(done, item["_run"]))).drop("_runs")
+    n, s, q = (F.col(f"_run.{name}") for name in ("n", "s", "q"))
+    alive = F.col("_run.ruin") == 0
+    spread = F.sqrt(F.greatest(F.try_divide(q - s * s / n, n - 1.0), F.lit(0.0)))
+    sharpe = F.when(alive, ratio((F.col("_center") + s / n) * math.sqrt(periods), spread))
+    table = drawn.select(
+        *inner, (~alive).cast("double").alias("defaulted"), F.when(alive, F.col("_run.growth")).otherwise(0.0).alias("terminal_wealth"),
+        F.when(alive, F.col("_run.dip") - 1.0).otherwise(-1.0).alias("max_drawdown"), sharpe.alias("sharpe"),
+    )
+    # One row per replicate: the group size is the parameter, so a plain percentile is bounded.
     return table.groupBy(*keys).agg(
         F.count("*").alias("paths"),
-        F.avg(F.col("defaulted").cast("double")).alias("default_share"),
+        F.avg("defaulted").alias("default_share"),
         F.min("terminal_wealth").alias("minimum_terminal_wealth"),
         F.percentile("sharpe", 0.05).alias("sharpe_p05"),
         F.percentile("sharpe", 0.50).alias("sharpe_p50"),
         F.percentile("max_drawdown", 0.05).alias("drawdown_p05"),
         F.percentile("max_drawdown", 0.50).alias("drawdown_p50"),
     )
-
-

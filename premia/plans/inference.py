@@ -78,7 +78,7 @@ def jobson_korkie(t):
     return inference.sharpe_difference(load(t, "fx_returns"), load(t, "fx_benchmark"), GROUP)
 
 
-DRAWS, BLOCK, SEED = 40, 8, 20260625
+DRAWS, BLOCK, SEED = 1000, 8, 20260625
 
 
 def _draws(replicates: int) -> str:
@@ -115,7 +115,7 @@ SELECT config, strategy, count(*) AS usable_draws,
 FROM (SELECT config, strategy, replicate, avg(net_return) * sqrt(12.0e0) / stddev_samp(net_return) AS sharpe,
              avg(net_return) * sqrt(12.0e0) / sqrt(avg(pow(least(net_return, 0), 2))) AS sortino,
              min(net_return) AS low
-      FROM ({_draws(1000)}) p GROUP BY 1, 2, 3) q WHERE low > -1 GROUP BY 1, 2"""
+      FROM ({_draws(DRAWS)}) p GROUP BY 1, 2, 3) q WHERE low > -1 GROUP BY 1, 2"""
 
 
 @query(
@@ -124,7 +124,7 @@ FROM (SELECT config, strategy, replicate, avg(net_return) * sqrt(12.0e0) / stdde
 )
 def bootstrap_ci(t):
     return inference.bootstrap_intervals(
-        load(t, "fx_returns"), GROUP, replicates=1000, block_size=BLOCK, seed=SEED
+        load(t, "fx_returns"), GROUP, replicates=DRAWS, block_size=BLOCK, seed=SEED
     )
 
 

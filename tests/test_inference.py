@@ -81,3 +81,28 @@ def test_intervals_are_those_of_the_panel(table, length, block):
     assert got["usable_draws"] == 40
     assert got["sharpe_lo"] == pytest.approx(sharpes.quantile(0.05), rel=1e-6)
     assert got["sharpe_hi"] == pytest.approx(sharpes.quantile(0.95), rel=1e-6)
+
+
+@pytest.mark.parametrize("length,block", [(23, 5), (20, 5), (3, 8), (9, 1), (31, 7)])
+def test_path_risk_is_that_of_the_panel(table, length, block):
+    rng = random.Random(length)
+    steps = {"a": [rng.uniform(-0.3, 0.4) for _ in range(length)], "b": [rng.uniform(-0.3, 0.4) for _ in range(length - 1)] + [-1.0]}
+    df = table([(k, dt.date(2001 + i // 12, i % 12 + 1, 1), r) for k, values in steps.items() for i, r in enumerate(values)], "k string, return_date date, net_return double")
+    panel = inference.bootstrap_panel(df, ["k"], 30, block, 7).orderBy("k", "replicate", "pos").toPandas()
+    got = {row["k"]: row for row in inference.resampled_paths(df, ["k"], 30, block, 7).collect()}
+    for k in steps:
+        dips, wealths, lost = [], [], 0
+        for _, path in panel[panel["k"] == k].groupby("replicate"):
+            wealth, peak, dip = 1.0, 1.0, 0.0
+            for r in path["net_return"]:
+                wealth = wealth * (1 + r) if wealth > 0 and r > -1 else 0.0
+                peak = max(peak, wealth)
+                dip = min(dip, wealth / peak - 1)
+            dips.append(dip)
+            wealths.append(wealth)
+            lost += wealth <= 0
+        row = got[k]
+        assert row["paths"] == 30 and row["default_share"] == pytest.approx(lost / 30)
+        assert row["minimum_terminal_wealth"] == pytest.approx(min(wealths), abs=1e-12)
+        ordered = sorted(dips)
+        assert row["drawdown_p50"] == pytest.approx((ordered[14] + ordered[15]) / 2, abs=1e-12)
