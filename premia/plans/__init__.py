@@ -6,7 +6,7 @@ import importlib
 
 MODULES = (
     "returns", "metrics", "inference", "chain", "covariance", "audit", "selection", "quotes",
-    "validation", "reconcile",
+    "validation", "reconcile", "decisions",
 )
 
 
