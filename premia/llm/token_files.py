@@ -26,8 +26,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from premia.llm.frames import pick, shared_folder, text_key, width
 
 END = 0
-HELD = 4 << 20  # characters of pieces that a worker keeps
-PENDING = 1 << 20  # characters encoded before their rows are passed on
+HELD = 6 << 20  # characters of pieces that a worker keeps
+PENDING = 3 << 20  # characters encoded before their rows are passed on
 
 ORC = {
     "orc.bloom.filter.columns": "doc_id",
