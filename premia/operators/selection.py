@@ -12,6 +12,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from premia.functions.numeric import finite
 from premia.operators.audit import book_rows, leg_cost, portfolio_audit
 from premia.operators.paths import keyed
 from premia.operators.policy import DUST, Limits, Policy
@@ -113,6 +114,22 @@ def select_candidate(candidates: DataFrame, policy: Policy, group: str = "decisi
     )
 
 
+def scaled_to_budget(candidates: DataFrame, budget: float) -> DataFrame:
+    """Candidates sized along their own direction to exactly the budget: mean, volatility and gross scale together.
+
+    A candidate without gross, or with a gross that is not finite, has no direction and no numbers.
+    """
+
+    size = F.when(F.coalesce(finite("gross") > 0.0, F.lit(False)), F.lit(float(budget)) / F.col("gross"))
+    return candidates.withColumns(
+        {
+            "mean": F.col("mean") * size,
+            "volatility": F.col("volatility") * size,
+            "gross": F.when(size.isNotNull(), F.lit(float(budget))),
+        }
+    )
+
+
 def select_max_sharpe(
     candidates: DataFrame, budget: float, group: str = "decision_id", tolerance: float = 1e-5
 ) -> DataFrame:

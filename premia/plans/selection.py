@@ -98,10 +98,10 @@ def select_candidate(t):
     oracle(
         "book_means",
         """SELECT decision_id, book_id, sharpe, candidates FROM (
-             SELECT s.s_nationkey AS decision_id, b.book_id, b.expected_return / b.volatility AS sharpe,
+             SELECT s.s_nationkey AS decision_id, b.book_id, (b.expected_return * (0.27e0 / b.gross_nav)) / (b.volatility * (0.27e0 / b.gross_nav)) AS sharpe,
                     count(*) OVER (PARTITION BY s.s_nationkey) AS candidates,
                     row_number() OVER (PARTITION BY s.s_nationkey ORDER BY b.expected_return / b.volatility DESC, b.book_id) AS rn
-             FROM book_means b JOIN supplier s ON s.s_suppkey = b.book_id WHERE abs(b.gross_nav - 0.27e0) <= 0.05e0) w WHERE rn = 1""",
+             FROM book_means b JOIN supplier s ON s.s_suppkey = b.book_id WHERE b.gross_nav > 0 AND b.volatility > 0) w WHERE rn = 1""",
         "", "sharpe", "decision_id book_id candidates",
     ),
 )
@@ -112,7 +112,7 @@ def select_max_sharpe(t):
         .select("book_id", F.col("expected_return").alias("mean"), "volatility", F.col("gross_nav").alias("gross"))
         .join(owners, "book_id")
     )
-    return selection.select_max_sharpe(table, 0.27, tolerance=0.05)
+    return selection.select_max_sharpe(selection.scaled_to_budget(table, 0.27), 0.27)
 
 
 VIEWS.add(

@@ -178,3 +178,16 @@ def test_shorts_breach_long_only(world):
     limits = policy.Limits(per_contract_abs=1.0, underlying_gross=1.0, vix_vega_abs=None, beta_spy_abs=None, stress_loss_abs=None, long_only=True)
     got = {r["book_id"]: r["max_violation"] for r in audit.constraint_violation(rows, limits).collect()}
     assert got == {1: pytest.approx(0.2), 2: 0.0}
+
+
+def test_candidates_are_sized_to_the_budget_before_they_compete(table):
+    rows = [(1, 1, 0.02, 0.1, 0.5), (1, 2, 0.06, 0.2, 2.0), (1, 3, 0.9, 0.1, 0.0), (1, 4, 0.9, None, 1.0), (1, 5, 0.06, 0.2, 4.0),
+            (2, 6, 0.9, 0.1, float("inf"))]
+    df = table(rows, "decision_id int, book_id int, mean double, volatility double, gross double")
+    sized = selection.scaled_to_budget(df, 1.0)
+    got = {r["book_id"]: (r["mean"], r["volatility"], r["gross"]) for r in sized.collect()}
+    assert got[1] == (0.04, 0.2, 1.0) and got[2] == (0.03, 0.1, 1.0) and got[3] == (None, None, None) == got[6]
+    picks = [tuple(r) for r in selection.select_max_sharpe(sized, 1.0).collect()]
+    assert [(d, b, n) for d, b, _, n in picks] == [(1, 2, 3)]
+    # Unscaled, only books at the budget to 1e-5 compete, and none is.
+    assert selection.select_max_sharpe(df.where("book_id <> 4"), 1.0).count() == 0
