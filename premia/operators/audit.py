@@ -22,9 +22,15 @@ STRESS = "stress_scenario_"
 
 
 def book_rows(books: DataFrame, contracts: DataFrame) -> DataFrame:
-    """Legs with their contract's columns; legs outside the universe drop out."""
+    """All legs with their contract's columns; ``contract_missing`` marks legs that no contract stands behind."""
 
-    return books.select("book_id", "contract_id", "weight").join(contracts, "contract_id")
+    known = contracts.withColumn("_known", F.lit(True))
+    return (
+        books.select("book_id", "contract_id", "weight")
+        .join(known, "contract_id", "left")
+        .withColumn("contract_missing", F.col("_known").isNull())
+        .drop("_known")
+    )
 
 
 def long_leg() -> Column:
@@ -51,8 +57,10 @@ def leg_problem(rows: DataFrame, limits: Limits) -> Column:
 
     stress = [name for name in rows.columns if name.startswith(STRESS)]
     known = F.col("scenario_problem") if "scenario_problem" in rows.columns else F.lit(None).cast("string")
+    lost = F.col("contract_missing") if "contract_missing" in rows.columns else F.lit(False)
     return (
-        F.when(unusable("weight"), "weight_not_finite")
+        F.when(lost, "contract_missing")
+        .when(unusable("weight"), "weight_not_finite")
         .when(unusable("effective_cap", low=0.0), "cap_missing")
         .when(unusable("long_cost", "short_cost", "short_margin", low=0.0), "cost_missing")
         .when(F.col("short_allowed").isNull(), "permission_missing")
@@ -63,7 +71,10 @@ def leg_problem(rows: DataFrame, limits: Limits) -> Column:
 
 
 def book_sums(rows: DataFrame, limits: Limits) -> DataFrame:
-    """All per-book sums of the audit in one aggregation, and the first ``leg_problem`` by name."""
+    """All per-book sums of the audit in one aggregation, and the first ``leg_problem`` by name.
+
+    A book with a problem keeps its row; its sums are NULL, since they would be those of a smaller book.
+    """
 
     w = F.col("weight")
     stress = [name for name in rows.columns if name.startswith(STRESS)]
@@ -94,7 +105,8 @@ def book_sums(rows: DataFrame, limits: Limits) -> DataFrame:
         sums = sums.withColumn("worst_stress", worst).drop(*[f"_{name}" for name in stress])
     else:
         sums = sums.withColumn("worst_stress", F.lit(None).cast("double"))
-    return sums
+    numbers = [name for name in sums.columns if name not in ("book_id", "leg_problem")]
+    return sums.withColumns({name: F.when(F.col("leg_problem").isNull(), F.col(name)) for name in numbers})
 
 
 def underlying_breach(rows: DataFrame, limits: Limits) -> DataFrame:
@@ -213,7 +225,10 @@ def with_breaches(table: DataFrame, limits: Limits, policy: Policy) -> DataFrame
     }
     # A number that a missing input has shaped is not reported.
     sound = F.col("problem").isNull()
-    audited = table.withColumns({name: F.when(sound, value) for name, value in breaches.items()})
+    measured = {name: F.when(sound, F.col(name)) for name in ("cvar", "volatility")}
+    audited = table.withColumns(
+        {name: F.when(sound, value) for name, value in breaches.items()}
+    ).withColumns(measured)
     return audited.withColumn(
         "max_violation", F.when(sound, F.greatest(*[F.col(name) for name in breaches]))
     ).withColumn("feasible", F.coalesce(F.col("max_violation") <= FEASIBLE, F.lit(False)))
@@ -230,7 +245,7 @@ def portfolio_audit(
     """Every breach of every book, or the ``problem`` that keeps it from being audited.
 
     ``scenarios`` are prepared cells of the whole universe; ``volatility_of`` maps books
-    to (book_id, volatility per period). Problems: a leg's own (see ``leg_problem``), a contract without
+    to (book_id, volatility per period). Problems: a leg without a contract, a leg's own (see ``leg_problem``), a contract without
     usable scenario cells, fewer than two scenarios, no volatility, no tail loss.
     """
 
@@ -239,7 +254,9 @@ def portfolio_audit(
     table = (
         sums.join(underlying_breach(rows, limits), "book_id", "left")
         .join(
-            scenario_cvar(rows, scenarios, sums.select("book_id", "cost"), policy.cvar_alpha),
+            scenario_cvar(
+                rows, scenarios, sums.where("leg_problem IS NULL").select("book_id", "cost"), policy.cvar_alpha
+            ),
             "book_id",
             "left",
         )
@@ -298,11 +315,12 @@ def integer_or_cash(
 ) -> tuple[DataFrame, DataFrame]:
     """Truncate to whole contracts, audit again; an infeasible book becomes all cash.
 
+    A book with a leg that has no contract or no mark is cash with that problem as its reason.
     Returns the legs (contracts and weight actually held) and one verdict row per book.
     """
 
     marks = contracts.select("contract_id", "mark")
-    rounded = whole_contracts(books.join(marks, "contract_id"), nav, multiplier)
+    rounded = whole_contracts(book_rows(books, marks), nav, multiplier)
     realized = rounded.select("book_id", "contract_id", F.col("realized_weight").alias("weight"))
     audited = portfolio_audit(realized, contracts, scenarios, volatility_of, limits, policy)
     verdict = audited.withColumn("abstained", ~F.col("feasible")).withColumn(

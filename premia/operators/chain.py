@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -135,9 +136,21 @@ class Eligibility:
     assignable: bool | None = None
 
 
+def is_eligible(rules: Eligibility) -> Column:
+    """Whether a contract passes every active rule; a missing value passes none."""
+
+    return reduce(lambda a, b: a & b, [F.coalesce(test, F.lit(False)) for test in _tests(rules)], F.lit(True))
+
+
 def eligible(contracts: DataFrame, rules: Eligibility) -> DataFrame:
     """Contracts that pass every active rule; all rules are plain column filters."""
 
+    for test in _tests(rules):
+        contracts = contracts.where(test)
+    return contracts
+
+
+def _tests(rules: Eligibility) -> list[Column]:
     moneyness = F.col("strike") / F.col("spot")
     tests: list[Column] = []
     for bound, value, low in (
@@ -157,9 +170,7 @@ def eligible(contracts: DataFrame, rules: Eligibility) -> DataFrame:
         tests.append(F.col("relative_spread") <= rules.max_relative_spread)
     if rules.assignable is not None:
         tests.append(F.col("short_allowed") == F.lit(rules.assignable))
-    for test in tests:
-        contracts = contracts.where(test)
-    return contracts
+    return tests
 
 
 # Weight on the structural mean after both shrinkages, and the clip.
@@ -196,7 +207,10 @@ def with_mean_channels(contracts: DataFrame) -> DataFrame:
 
 
 def shrunk_mean(raw: Column) -> Column:
-    return F.greatest(F.lit(-MEAN_CLIP), F.least(F.lit(MEAN_CLIP), raw * MEAN_WEIGHT))
+    """The raw mean shrunk and clipped; NULL stays NULL (greatest and least would pass over it)."""
+
+    clipped = F.greatest(F.lit(-MEAN_CLIP), F.least(F.lit(MEAN_CLIP), raw * MEAN_WEIGHT))
+    return F.when(raw.isNotNull(), clipped)
 
 
 def structural_mean(contracts: DataFrame) -> DataFrame:
@@ -228,10 +242,10 @@ def channel_ablation(contracts: DataFrame, keys: Sequence[str] = ("contract_id",
 def premium_weights(
     positions: DataFrame, contracts: DataFrame, nav: float, multiplier: float = 100.0
 ) -> DataFrame:
-    """Premium weight w = N m C / W of each position."""
+    """Premium weight w = N m C / W of each position, NULL where the contract is unknown or has no mark."""
 
     marks = contracts.select("contract_id", "mark")
-    return positions.join(marks, "contract_id").withColumn(
+    return positions.join(marks, "contract_id", "left").withColumn(
         "weight", F.col("contracts") * F.col("mark") * multiplier / nav
     )
 

@@ -30,8 +30,12 @@ def with_edge(rows: DataFrame, floor: float = 0.0) -> DataFrame:
     )
 
 
+def missing(rows: DataFrame) -> Column:
+    return F.col("contract_missing") if "contract_missing" in rows.columns else F.lit(False)
+
+
 def edge_counts(rows: DataFrame, floor: float = 0.0) -> DataFrame:
-    """Eligible legs, their gross weight and total edge per book."""
+    """Eligible legs, their gross weight and total edge per book, and the legs without a contract (never eligible)."""
 
     w = F.abs("weight")
     return (
@@ -39,6 +43,7 @@ def edge_counts(rows: DataFrame, floor: float = 0.0) -> DataFrame:
         .groupBy("book_id")
         .agg(
             F.count("*").alias("legs"),
+            F.count_if(missing(rows)).alias("missing_contracts"),
             F.count_if("eligible").alias("positive_edge_contracts"),
             F.coalesce(F.sum(F.when(F.col("eligible"), w)), F.lit(0.0)).alias("eligible_gross"),
             F.coalesce(F.sum(F.when(F.col("eligible"), w * F.col("edge"))), F.lit(0.0)).alias(
@@ -49,12 +54,13 @@ def edge_counts(rows: DataFrame, floor: float = 0.0) -> DataFrame:
 
 
 def book_utility_terms(rows: DataFrame) -> DataFrame:
-    """Mean, predictable cost and gross of each book."""
+    """Mean, predictable cost and gross of each book, NULL for a book with a leg that no contract stands behind."""
 
+    sound = ~F.bool_or(missing(rows))
     return rows.groupBy("book_id").agg(
-        F.sum(F.col("weight") * F.col("expected_return")).alias("mean"),
-        F.sum(leg_cost()).alias("cost"),
-        F.sum(F.abs("weight")).alias("gross"),
+        F.when(sound, F.sum(F.col("weight") * F.col("expected_return"))).alias("mean"),
+        F.when(sound, F.sum(leg_cost())).alias("cost"),
+        F.when(sound, F.sum(F.abs("weight"))).alias("gross"),
     )
 
 
@@ -169,7 +175,7 @@ def scale_to_target(
 
     ``stage1``: book_id, accepted, risk_aversion. Candidates keep the signs, hold only
     positive-edge legs and have exactly the target gross; they differ in how much the
-    edge tilts the sizes (``tilts``, powers of the edge). Returns one diagnostics row per book and the
+    edge tilts the sizes (``tilts``, powers of the edge). A book with a leg that no contract stands behind is not accepted. Returns one diagnostics row per book and the
     legs of the candidates, whose id is the struct (book_id, tilt); ``tilt`` numbers the powers.
     """
 
@@ -179,6 +185,7 @@ def scale_to_target(
         F.sum(F.abs("weight")).alias("stage1_gross_nav"),
         F.count_if(F.col("weight") != 0.0).alias("_nonzero"),
         F.count_if("eligible").alias("_eligible"),
+        F.bool_or("contract_missing").alias("_missing"),
     )
     powers = F.array(
         *[F.struct(F.lit(k).alias("tilt"), F.lit(float(power)).alias("power")) for k, power in enumerate(tilts)]
@@ -219,6 +226,7 @@ def scale_to_target(
         ).alias("_best")
     )
     table = stage1.join(counts, "book_id").join(best, "book_id", "left")
+    table = table.withColumn("accepted", F.col("accepted") & ~F.col("_missing"))
     enough = F.col("stage1_gross_nav") >= target - 1e-7
     applied = F.col("accepted") & ~enough & F.col("_best").isNotNull()
     final_gross = F.when(applied, F.col("_best.gross")).otherwise(F.col("stage1_gross_nav"))

@@ -16,14 +16,16 @@ from premia.session import written
 
 # Generous enough that some of the test books pass.
 LIMITS = policy.Limits(
-    gross_nav=0.47, net_nav_abs=0.20, short_nav_abs=0.15, per_contract_abs=0.005,
-    delta_abs=0.35, vix_vega_abs=0.14, beta_spy_abs=0.36, stress_loss_abs=0.012,
-    underlying_gross=0.045, vix_future_gross=0.03,
+    gross_nav=0.50, net_nav_abs=0.30, short_nav_abs=0.22, per_contract_abs=0.07,
+    delta_abs=1.5, vix_vega_abs=0.4, beta_spy_abs=1.5, stress_loss_abs=0.4,
+    underlying_gross=0.10, vix_future_gross=0.10,
 )
 POLICY = policy.Policy(
-    annual_volatility_ceiling=0.024, cvar_alpha=0.95, cvar_loss_nav=0.0155, stress_loss_nav=0.010,
-    short_margin_nav=0.098, collateral_nav=0.41,
+    annual_volatility_ceiling=0.058, cvar_alpha=0.95, cvar_loss_nav=0.095, stress_loss_nav=0.35,
+    short_margin_nav=0.14, collateral_nav=0.46,
 )
+#: A contract's own cap as a multiple of its liquidity cap.
+CAP_SHARE = 4.0
 NAV = 2e7
 STRESS_SQL = ", ".join(
     f"(SELECT any_value(s.ret) FROM shocked s WHERE s.contract_id = u.contract_id AND s.shock = '{n}') AS stress_{n}"
@@ -37,17 +39,18 @@ VIEWS.add(
 )
 VIEWS.add(
     "audit_universe",
-    f"""SELECT u.*, least({LIMITS.per_contract_abs}::DOUBLE, u.liquidity_cap * 0.15e0) AS effective_cap,
+    f"""SELECT u.*, least({LIMITS.per_contract_abs}::DOUBLE, u.liquidity_cap * {CAP_SHARE}::DOUBLE) AS effective_cap,
               {', '.join('w.stress_' + n for n in SHOCKS)}, m.expected_return
-       FROM universe u JOIN stress_wide w ON w.contract_id = u.contract_id JOIN means m ON m.contract_id = u.contract_id""",
+       FROM universe u JOIN stress_wide w ON w.contract_id = u.contract_id JOIN means m ON m.contract_id = u.contract_id
+       WHERE u.mark IS NOT NULL""",
     "universe", "stress_wide", "means",
 )
 
 
 def contracts(t):
-    """Eligible contracts with expected return, caps and wide stress columns, written once."""
+    """Every contract that has a mark, with expected return, caps and wide stress columns, written once."""
 
-    base = means(t)
+    base = means(t).where("mark IS NOT NULL")
     shocked = (
         chain.repriced(load(t, "fx_chain"), SHOCKS)
         .groupBy("contract_id")
@@ -56,36 +59,58 @@ def contracts(t):
             for name in SHOCKS
         ])
     )
-    caps = load(t, "fx_chain").select("contract_id", (F.col("liquidity_cap") * 0.15).alias("cap"))
+    caps = load(t, "fx_chain").select("contract_id", (F.col("liquidity_cap") * CAP_SHARE).alias("cap"))
     table = policy.effective_cap(base, caps, LIMITS).join(shocked, "contract_id")
     return written(table, "contracts")
 
 
 def legs(t):
-    return load(t, "fx_clean_books")
+    """All legs of all candidate books, also those of contracts without a mark."""
+
+    return load(t, "fx_quarter_books")
 
 
 VIEWS.add(
     "legs",
-    """SELECT b.book_id, b.weight, u.*, greatest(b.weight, 0.0e0) AS w_long, greatest(-b.weight, 0.0e0) AS w_short
-       FROM fx_clean_books b JOIN audit_universe u ON u.contract_id = b.contract_id""",
-    "fx_clean_books", "audit_universe",
+    """SELECT b.book_id, b.contract_id, b.weight, u.* EXCLUDE (contract_id), greatest(b.weight, 0.0e0) AS w_long,
+              greatest(-b.weight, 0.0e0) AS w_short, CASE WHEN NOT bool_and(u.contract_id IS NOT NULL) OVER (PARTITION BY b.book_id)
+                THEN 'contract_missing' END AS problem
+       FROM fx_quarter_books b LEFT JOIN audit_universe u ON u.contract_id = b.contract_id""",
+    "fx_quarter_books", "audit_universe",
 )
+VIEWS.add("book_list", "SELECT DISTINCT book_id, problem FROM legs", "legs")
+# Books without a problem; the numbers of the others are NULL.
+VIEWS.add("sound", "SELECT * EXCLUDE (problem) FROM legs WHERE problem IS NULL", "legs")
+
+
+def every_book(inner: str) -> str:
+    """Oracle text: the rows of ``inner`` for sound books, a row with the problem for each of the others."""
+
+    return f"SELECT k.book_id, k.problem, q.* EXCLUDE (book_id) FROM book_list k LEFT JOIN ({inner}) q ON q.book_id = k.book_id"
+
+
+def sums_of(t):
+    """The sums of every book and its ``problem``."""
+
+    sums = audit.book_sums(audit.book_rows(legs(t), contracts(t)), LIMITS)
+    return sums.withColumnRenamed("leg_problem", "problem")
 
 
-def _leg_query(name, sql, keep="", real="", whole=""):
-    return query(name, oracle("legs", sql, keep, real, whole))
+def measured(value):
+    """A number of a sound book only."""
+
+    return F.when(F.col("problem").isNull(), value)
 
 
 @query(
     "policy_limits",
     oracle(
-        "universe",
+        "traded",
         """SELECT coalesce(u.contract_id, c.contract_id) AS contract_id, u.underlying,
                   least(c.cap, 0.18e0) AS contract_limit, CASE WHEN u.underlying IS NULL THEN NULL
                     WHEN u.underlying = 'VX_FRONT' THEN 0.20e0 ELSE 0.35e0 END AS underlying_limit,
                   CASE WHEN u.contract_id IS NULL THEN 'unexpected_cap' WHEN c.cap IS NULL THEN 'missing_cap' END AS problem
-           FROM universe u FULL JOIN (SELECT contract_id, liquidity_cap AS cap FROM fx_chain WHERE contract_id % 53 <> 0) c
+           FROM traded u FULL JOIN (SELECT contract_id, liquidity_cap AS cap FROM fx_chain WHERE contract_id % 53 <> 0) c
              ON c.contract_id = u.contract_id""",
         "contract_id underlying problem", "contract_limit underlying_limit",
     ),
@@ -97,7 +122,7 @@ def policy_limits(t):
     )
     from premia.plans.chain import universe
 
-    return policy.policy_limits(universe(t), caps, policy.Limits()).select(
+    return policy.policy_limits(universe(t).where("eligible"), caps, policy.Limits()).select(
         "contract_id", "underlying", "contract_limit", "underlying_limit", "problem"
     )
 
@@ -204,64 +229,74 @@ def whole_contracts(t):
 
 @query(
     "predictable_cost",
-    oracle("legs", "SELECT book_id, sum(long_cost * w_long + short_cost * w_short) AS cost FROM legs GROUP BY 1",
-           "book_id", "cost"),
+    oracle(
+        "sound book_list",
+        every_book("SELECT book_id, sum(long_cost * w_long + short_cost * w_short) AS cost FROM sound GROUP BY 1"),
+        "book_id problem", "cost",
+    ),
 )
 def predictable_cost(t):
-    return audit.book_rows(legs(t), contracts(t)).groupBy("book_id").agg(F.sum(audit.leg_cost()).alias("cost"))
+    return sums_of(t).select("book_id", "problem", "cost")
 
 
 @query(
     "margin_collateral",
     oracle(
-        "legs",
-        """SELECT *, greatest(margin - 0.098e0, 0) AS margin_breach, greatest(collateral - 0.41e0, 0) AS collateral_breach FROM (
-             SELECT book_id, sum(short_margin * w_short) AS margin, sum(w_long) + sum(short_margin * w_short) AS collateral
-             FROM legs GROUP BY 1) s""",
-        "book_id", "margin collateral margin_breach collateral_breach",
+        "sound book_list",
+        every_book(
+            f"""SELECT *, greatest(margin - {POLICY.short_margin_nav}::DOUBLE, 0) AS margin_breach,
+                       greatest(collateral - {POLICY.collateral_nav}::DOUBLE, 0) AS collateral_breach FROM (
+                SELECT book_id, sum(short_margin * w_short) AS margin, sum(w_long) + sum(short_margin * w_short) AS collateral
+                FROM sound GROUP BY 1) s"""
+        ),
+        "book_id problem", "margin collateral margin_breach collateral_breach",
     ),
 )
 def margin_collateral(t):
     from premia.functions.numeric import breach
 
-    sums = audit.book_sums(audit.book_rows(legs(t), contracts(t)), LIMITS)
     collateral = F.col("long") + F.col("margin")
-    return sums.select(
-        "book_id", "margin", collateral.alias("collateral"),
-        breach("margin", F.lit(POLICY.short_margin_nav)).alias("margin_breach"),
-        breach(collateral, F.lit(POLICY.collateral_nav)).alias("collateral_breach"),
+    return sums_of(t).select(
+        "book_id", "problem", "margin", collateral.alias("collateral"),
+        measured(breach("margin", F.lit(POLICY.short_margin_nav))).alias("margin_breach"),
+        measured(breach(collateral, F.lit(POLICY.collateral_nav))).alias("collateral_breach"),
     )
 
 
 @query(
     "assignment_breach",
-    oracle("legs", "SELECT book_id, max(CASE WHEN short_allowed THEN 0.0e0 ELSE w_short END) AS assignment FROM legs GROUP BY 1",
-           "book_id", "assignment"),
+    oracle(
+        "sound book_list",
+        every_book("SELECT book_id, max(CASE WHEN short_allowed THEN 0.0e0 ELSE w_short END) AS assignment FROM sound GROUP BY 1"),
+        "book_id problem", "assignment",
+    ),
 )
 def assignment_breach(t):
-    return audit.book_sums(audit.book_rows(legs(t), contracts(t)), LIMITS).select("book_id", "assignment")
+    return sums_of(t).select("book_id", "problem", "assignment")
 
 
 @query(
     "exposure_limits",
     oracle(
         "legs",
-        """SELECT book_id, name, exposure, bound, greatest(abs(exposure) - bound, 0) AS breach FROM (
-             SELECT book_id, unnest(['delta', 'vix_vega', 'beta_spy']) AS name,
-                    unnest([sum(delta_nav * weight), sum(vix_vega_nav * weight), sum(beta_spy_nav * weight)]) AS exposure,
-                    unnest([0.35e0, 0.14e0, 0.36e0]) AS bound FROM legs GROUP BY 1) s""",
-        "book_id name", "exposure bound breach",
+        f"""SELECT book_id, problem, name, CASE WHEN problem IS NULL THEN exposure END AS exposure, bound,
+                   CASE WHEN problem IS NULL THEN greatest(abs(exposure) - bound, 0) END AS breach FROM (
+              SELECT book_id, problem, unnest(['delta', 'vix_vega', 'beta_spy']) AS name,
+                     unnest([sum(delta_nav * weight), sum(vix_vega_nav * weight), sum(beta_spy_nav * weight)]) AS exposure,
+                     unnest([{LIMITS.delta_abs}::DOUBLE, {LIMITS.vix_vega_abs}::DOUBLE, {LIMITS.beta_spy_abs}::DOUBLE]) AS bound
+              FROM legs GROUP BY 1, 2) s""",
+        "book_id problem name", "exposure bound breach",
     ),
 )
 def exposure_limits(t):
     from premia.functions.numeric import breach
 
-    sums = audit.book_sums(audit.book_rows(legs(t), contracts(t)), LIMITS)
     listed = F.array(*[
         F.struct(F.lit(name).alias("name"), F.col(f"{name}_exposure").alias("exposure"), F.lit(bound).alias("bound"))
         for name, bound in LIMITS.exposures().items()
     ])
-    return sums.select("book_id", F.inline(listed)).withColumn("breach", breach(F.abs("exposure"), "bound"))
+    rows = sums_of(t).select("book_id", "problem", F.inline(listed))
+    return rows.withColumn("breach", measured(breach(F.abs("exposure"), "bound")))
 
 
 WORST = "least(" + ", ".join(f"sum(stress_{n} * weight)" for n in SHOCKS) + ")"
@@ -270,17 +305,20 @@ WORST = "least(" + ", ".join(f"sum(stress_{n} * weight)" for n in SHOCKS) + ")"
 @query(
     "stress_loss",
     oracle(
-        "legs",
-        f"SELECT *, greatest(-0.010e0 - worst_stress, 0) AS breach FROM (SELECT book_id, {WORST} AS worst_stress FROM legs GROUP BY 1) s",
-        "book_id", "worst_stress breach",
+        "sound book_list",
+        every_book(
+            f"""SELECT *, greatest(-{POLICY.stress_loss_nav}::DOUBLE - worst_stress, 0) AS breach
+                FROM (SELECT book_id, {WORST} AS worst_stress FROM sound GROUP BY 1) s"""
+        ),
+        "book_id problem", "worst_stress breach",
     ),
 )
 def stress_loss(t):
     from premia.functions.numeric import breach
 
-    sums = audit.book_sums(audit.book_rows(legs(t), contracts(t)), LIMITS)
     limit = min(POLICY.stress_loss_nav, LIMITS.stress_loss_abs)
-    return sums.select("book_id", "worst_stress", breach(-F.col("worst_stress"), F.lit(limit)).alias("breach"))
+    over = breach(-F.col("worst_stress"), F.lit(limit))
+    return sums_of(t).select("book_id", "problem", "worst_stress", measured(over).alias("breach"))
 
 
 VIEWS.add(
@@ -291,28 +329,32 @@ VIEWS.add(
               max(CASE WHEN short_allowed THEN 0.0e0 ELSE w_short END) AS assignment,
               sum(delta_nav * weight) AS delta_exposure, sum(vix_vega_nav * weight) AS vix_vega_exposure,
               sum(beta_spy_nav * weight) AS beta_spy_exposure, {WORST} AS worst_stress
-       FROM legs GROUP BY 1""",
-    "legs",
+       FROM sound GROUP BY 1""",
+    "sound",
 )
 VIEWS.add(
     "book_underlying",
-    """SELECT book_id, max(greatest(g - CASE WHEN underlying = 'VX_FRONT' THEN 0.03e0 ELSE 0.045e0 END, 0)) AS underlying
-       FROM (SELECT book_id, underlying, sum(abs(weight)) AS g FROM legs GROUP BY 1, 2) s GROUP BY 1""",
-    "legs",
+    f"""SELECT book_id, max(greatest(g - CASE WHEN underlying = 'VX_FRONT' THEN {LIMITS.vix_future_gross}::DOUBLE
+              ELSE {LIMITS.underlying_gross}::DOUBLE END, 0)) AS underlying
+       FROM (SELECT book_id, underlying, sum(abs(weight)) AS g FROM sound GROUP BY 1, 2) s GROUP BY 1""",
+    "sound",
 )
 
 
 @query(
     "constraint_violation",
     oracle(
-        "book_sums book_underlying",
-        """SELECT s.book_id, greatest(gross - 0.47e0, cap_excess, abs(net) - 0.20e0, short - 0.15e0, u.underlying, -0.012e0 - worst_stress,
-                  abs(delta_exposure) - 0.35e0, abs(vix_vega_exposure) - 0.14e0, abs(beta_spy_exposure) - 0.36e0, 0) AS max_violation,
-             (SELECT max(w_short) FROM legs l WHERE l.book_id = s.book_id) AS max_short
-           FROM book_sums s JOIN book_underlying u ON u.book_id = s.book_id""".join(
-            ("SELECT book_id, max_violation, greatest(max_violation, max_short) AS long_only_violation FROM (", ") q")
+        "book_sums book_underlying sound book_list",
+        every_book(
+            f"""SELECT book_id, max_violation, greatest(max_violation, max_short) AS long_only_violation FROM (
+                  SELECT s.book_id, greatest(gross - {LIMITS.gross_nav}::DOUBLE, cap_excess, abs(net) - {LIMITS.net_nav_abs}::DOUBLE,
+                         short - {LIMITS.short_nav_abs}::DOUBLE, u.underlying, -{LIMITS.stress_loss_abs}::DOUBLE - worst_stress,
+                         abs(delta_exposure) - {LIMITS.delta_abs}::DOUBLE, abs(vix_vega_exposure) - {LIMITS.vix_vega_abs}::DOUBLE,
+                         abs(beta_spy_exposure) - {LIMITS.beta_spy_abs}::DOUBLE, 0) AS max_violation, m.max_short
+                  FROM book_sums s JOIN book_underlying u ON u.book_id = s.book_id
+                  JOIN (SELECT book_id, max(w_short) AS max_short FROM sound GROUP BY 1) m ON m.book_id = s.book_id) r"""
         ),
-        "book_id", "max_violation long_only_violation",
+        "book_id problem", "max_violation long_only_violation",
     ),
 )
 def constraint_violation(t):
@@ -320,7 +362,6 @@ def constraint_violation(t):
     bought = audit.constraint_violation(rows, replace(LIMITS, long_only=True))
     return (
         audit.constraint_violation(rows, LIMITS)
-        .drop("problem")
         .join(bought.select("book_id", F.col("max_violation").alias("long_only_violation")), "book_id")
     )
 
@@ -332,9 +373,9 @@ VIEWS.add(
 )
 VIEWS.add(
     "crossed",
-    """SELECT l.book_id, c.scenario_id, sum(c.ret * l.weight) AS scenario_return FROM legs l
+    """SELECT l.book_id, c.scenario_id, sum(c.ret * l.weight) AS scenario_return FROM sound l
        JOIN cells c ON c.contract_id = l.contract_id GROUP BY 1, 2""",
-    "legs", "cells",
+    "sound", "cells",
 )
 VIEWS.add(
     "losses",
@@ -367,10 +408,21 @@ def spoiled_scenarios(t):
     )
 
 
-@query("scenario_cross", oracle("crossed", "SELECT * FROM crossed", "book_id scenario_id", "scenario_return"))
+@query(
+    "scenario_cross",
+    oracle(
+        "legs cells",
+        """SELECT l.book_id, l.problem, c.scenario_id, CASE WHEN l.problem IS NULL THEN sum(c.ret * l.weight) END AS scenario_return
+           FROM legs l JOIN cells c ON c.contract_id = l.contract_id GROUP BY 1, 2, 3""",
+        "book_id scenario_id problem", "scenario_return",
+    ),
+)
 def scenario_cross(t):
     table = contracts(t)
-    return audit.scenario_sums(audit.book_rows(legs(t), table), cells(t, table))
+    rows = audit.book_rows(legs(t), table)
+    problems = audit.book_sums(rows, LIMITS).select("book_id", F.col("leg_problem").alias("problem"))
+    sums = audit.scenario_sums(rows, cells(t, table)).join(problems, "book_id")
+    return sums.withColumn("scenario_return", measured(F.col("scenario_return")))
 
 
 @query(
@@ -403,16 +455,22 @@ def scenario_prepare(t):
 
 @query(
     "scenario_cvar",
-    oracle("book_cvar", "SELECT *, greatest(cvar - 0.0155e0, 0) AS breach FROM book_cvar", "book_id", "cvar breach"),
+    oracle(
+        "book_cvar book_list",
+        every_book(f"SELECT *, greatest(cvar - {POLICY.cvar_loss_nav}::DOUBLE, 0) AS breach FROM book_cvar"),
+        "book_id problem", "cvar breach",
+    ),
 )
 def scenario_cvar(t):
     from premia.functions.numeric import breach
 
     table = contracts(t)
     rows = audit.book_rows(legs(t), table)
-    costs = audit.book_sums(rows, LIMITS).select("book_id", "cost")
+    sums = written(audit.book_sums(rows, LIMITS).select("book_id", "cost", F.col("leg_problem").alias("problem")), "sums")
+    costs = sums.where("problem IS NULL").select("book_id", "cost")
     out = audit.scenario_cvar(rows, cells(t, table), costs, POLICY.cvar_alpha)
-    return out.withColumn("breach", breach("cvar", F.lit(POLICY.cvar_loss_nav)))
+    every = sums.select("book_id", "problem").join(out, "book_id", "left")
+    return every.withColumn("breach", measured(breach("cvar", F.lit(POLICY.cvar_loss_nav))))
 
 
 @query(
@@ -500,7 +558,7 @@ def label_volatility_sql(name: str, source: str, *needs: str, home: str = "book_
     )
 
 
-label_volatility_sql("audit_vols", "legs", "legs")
+label_volatility_sql("audit_vols", "sound", "sound")
 BREACHES = (
     "breach_gross breach_caps breach_net breach_short breach_underlying exposure_delta exposure_vix_vega "
     "exposure_beta_spy breach_exposure breach_stress breach_margin breach_collateral breach_assignment "
@@ -515,13 +573,13 @@ SELECT *, greatest(breach_gross, breach_caps, breach_net, breach_short, breach_u
   greatest(breach_gross, breach_caps, breach_net, breach_short, breach_underlying, breach_exposure, breach_stress, breach_margin,
     breach_collateral, breach_assignment, breach_cvar, breach_annual_volatility) <= 1e-5 AS feasible
 FROM (SELECT *, greatest(exposure_delta, exposure_vix_vega, exposure_beta_spy) AS breach_exposure FROM (
-  SELECT s.*, greatest(gross - 0.47e0, 0) AS breach_gross, greatest(cap_excess, 0) AS breach_caps, greatest(abs(net) - 0.20e0, 0) AS breach_net,
-    greatest(short - 0.15e0, 0) AS breach_short, u.underlying AS breach_underlying,
-    greatest(abs(delta_exposure) - 0.35e0, 0) AS exposure_delta, greatest(abs(vix_vega_exposure) - 0.14e0, 0) AS exposure_vix_vega,
-    greatest(abs(beta_spy_exposure) - 0.36e0, 0) AS exposure_beta_spy, greatest(-0.010e0 - worst_stress, 0) AS breach_stress,
-    greatest(margin - 0.098e0, 0) AS breach_margin, greatest(long + margin - 0.41e0, 0) AS breach_collateral,
-    assignment AS breach_assignment, greatest(c.cvar - 0.0155e0, 0) AS breach_cvar,
-    greatest(v.volatility * sqrt(12.0e0) - 0.024e0, 0) AS breach_annual_volatility, c.cvar, v.volatility
+  SELECT s.*, greatest(gross - {LIMITS.gross_nav}::DOUBLE, 0) AS breach_gross, greatest(cap_excess, 0) AS breach_caps, greatest(abs(net) - {LIMITS.net_nav_abs}::DOUBLE, 0) AS breach_net,
+    greatest(short - {LIMITS.short_nav_abs}::DOUBLE, 0) AS breach_short, u.underlying AS breach_underlying,
+    greatest(abs(delta_exposure) - {LIMITS.delta_abs}::DOUBLE, 0) AS exposure_delta, greatest(abs(vix_vega_exposure) - {LIMITS.vix_vega_abs}::DOUBLE, 0) AS exposure_vix_vega,
+    greatest(abs(beta_spy_exposure) - {LIMITS.beta_spy_abs}::DOUBLE, 0) AS exposure_beta_spy, greatest(-{POLICY.stress_loss_nav}::DOUBLE - worst_stress, 0) AS breach_stress,
+    greatest(margin - {POLICY.short_margin_nav}::DOUBLE, 0) AS breach_margin, greatest(long + margin - {POLICY.collateral_nav}::DOUBLE, 0) AS breach_collateral,
+    assignment AS breach_assignment, greatest(c.cvar - {POLICY.cvar_loss_nav}::DOUBLE, 0) AS breach_cvar,
+    greatest(v.volatility * sqrt(12.0e0) - {POLICY.annual_volatility_ceiling}::DOUBLE, 0) AS breach_annual_volatility, c.cvar, v.volatility
   FROM {sums} s JOIN {underlying} u ON u.book_id = s.book_id JOIN {cvar} c ON c.book_id = s.book_id
   JOIN {vols} v ON v.book_id = s.book_id) a) b"""
 
@@ -544,10 +602,10 @@ def audited(t, table=None, books=None):
 VIEWS.add(
     "book_problems",
     """SELECT book_id, coalesce(min(p), CASE WHEN book_id % 10 = 3 THEN 'volatility_missing' END) AS problem FROM (
-         SELECT book_id, CASE contract_id WHEN 7 THEN 'cap_missing' WHEN 11 THEN 'cost_missing' WHEN 13 THEN 'permission_missing'
+         SELECT book_id, CASE WHEN problem IS NOT NULL AND mark IS NULL THEN problem ELSE CASE contract_id WHEN 7 THEN 'cap_missing' WHEN 11 THEN 'cost_missing' WHEN 13 THEN 'permission_missing'
              WHEN 17 THEN 'exposure_missing' WHEN 19 THEN 'stress_missing'
              ELSE CASE WHEN contract_id % 997 = 89 THEN 'scenario_missing' WHEN contract_id % 997 = 97 THEN 'scenario_not_finite' END
-           END AS p FROM legs) s GROUP BY 1""",
+           END END AS p FROM legs) s GROUP BY 1""",
     "legs",
 )
 
@@ -560,9 +618,9 @@ def spoiled(name, ids):
     "portfolio_audit",
     oracle(
         "audited book_problems",
-        "SELECT a.book_id, problem, feasible AND problem IS NULL AS feasible, "
+        "SELECT p.book_id, problem, coalesce(feasible AND problem IS NULL, false) AS feasible, "
         + ", ".join(f"CASE WHEN problem IS NULL THEN {name} END AS {name}" for name in BREACHES.split())
-        + " FROM audited a JOIN book_problems p ON p.book_id = a.book_id",
+        + " FROM book_problems p LEFT JOIN audited a ON a.book_id = p.book_id",
         "book_id feasible problem", BREACHES,
     ),
 )
@@ -575,10 +633,10 @@ def portfolio_audit(t):
         .where("contract_id % 997 <> 89")
         .withColumn("ret", F.when(F.col("contract_id") % 997 == 97, F.lit(float("-inf"))).otherwise(F.col("ret")))
     )
-    measured = volatility_function(t, table)
+    known_volatility = volatility_function(t, table)
 
     def volatility_of(books):
-        return measured(books).withColumn("volatility", F.when(F.col("book_id") % 10 != 3, F.col("volatility")))
+        return known_volatility(books).withColumn("volatility", F.when(F.col("book_id") % 10 != 3, F.col("volatility")))
 
     prepared = audit.scenario_prepare(known, faulty)
     out = audit.portfolio_audit(legs(t), faulty, prepared, volatility_of, LIMITS, POLICY)

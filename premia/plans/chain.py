@@ -37,20 +37,24 @@ FROM (SELECT d.*, {cdf('d1')} AS n1, {cdf('(d1 - sd)')} AS n2, exp(-0.5e0 * d1 *
 VIEWS.add("priced", black_scholes_sql("fx_chain"), "fx_chain")
 VIEWS.add(
     "universe",
-    """SELECT *, price AS mark, delta * spot / price AS delta_nav, gamma * spot * spot / price AS gamma_nav,
-              vega / price AS vega_nav,
-              CASE WHEN asset_class = 'vix_option' THEN vega / price ELSE 0.0e0 END AS vix_vega_nav,
-              delta * spot / price * underlying_beta_spy AS beta_spy_nav
-       FROM priced WHERE price >= 0.5 AND maturity >= 0.02""",
+    """SELECT *, delta * spot / mark AS delta_nav, gamma * spot * spot / mark AS gamma_nav, vega / mark AS vega_nav,
+              CASE WHEN asset_class = 'vix_option' THEN vega / mark ELSE 0.0e0 END AS vix_vega_nav,
+              delta * spot / mark * underlying_beta_spy AS beta_spy_nav,
+              coalesce(mark >= 0.5 AND maturity >= 0.02, false) AS eligible
+       FROM (SELECT *, CASE WHEN price >= 0.01 THEN price END AS mark FROM priced) m""",
     "priced",
 )
+VIEWS.add("traded", "SELECT * FROM universe WHERE eligible", "universe")
+#: A contract worth less than a cent has no mark, and nothing that is measured per unit of mark.
+CENT = 0.01
 
 
 def universe(t):
-    """Priced, eligible contracts with NAV exposures."""
+    """The whole chain, priced, with NAV exposures and whether a contract may be bought or sold (``eligible``)."""
 
     priced = with_black_scholes(load(t, "fx_chain"), "mark")
-    return ops.with_risk_exposures(ops.eligible(priced, ops.Eligibility()))
+    marked = priced.withColumn("mark", F.when(F.col("mark") >= CENT, F.col("mark")))
+    return ops.with_risk_exposures(marked).withColumn("eligible", ops.is_eligible(ops.Eligibility()))
 
 
 @query("bs_price", oracle("priced", "SELECT * FROM priced", "contract_id kind", "price"))
@@ -168,9 +172,9 @@ def greek_loadings(t):
 EXPOSURES = "delta_nav gamma_nav vega_nav vix_vega_nav beta_spy_nav"
 
 
-@query("risk_exposures", oracle("universe", "SELECT * FROM universe", "contract_id underlying", EXPOSURES))
+@query("risk_exposures", oracle("universe", "SELECT * FROM universe", "contract_id underlying eligible", EXPOSURES))
 def risk_exposures(t):
-    return universe(t).select("contract_id", "underlying", *EXPOSURES.split())
+    return universe(t).select("contract_id", "underlying", "eligible", *EXPOSURES.split())
 
 
 view(
@@ -226,8 +230,8 @@ VIEWS.add(
 VIEWS.add(
     "means",
     """SELECT *, carry + delta_premium + variance_premium + volatility_premium + skew_premium + relative_value AS structural_mean,
-              greatest(-0.35e0, least(0.35e0, 0.1875e0 * (carry + delta_premium + variance_premium + volatility_premium
-                + skew_premium + relative_value))) AS expected_return
+              CASE WHEN mark IS NOT NULL THEN greatest(-0.35e0, least(0.35e0, 0.1875e0 * (carry + delta_premium + variance_premium + volatility_premium
+                + skew_premium + relative_value))) END AS expected_return
        FROM mean_ledger""",
     "mean_ledger",
 )
@@ -252,12 +256,12 @@ def structural_mean(t):
     "channel_ablation",
     oracle(
         "mean_ledger",
-        """SELECT contract_id, a.arm, greatest(-0.35e0, least(0.35e0, 0.1875e0 * (
+        """SELECT contract_id, a.arm, CASE WHEN mark IS NOT NULL THEN greatest(-0.35e0, least(0.35e0, 0.1875e0 * (
              CASE WHEN a.arm = 'No carry' THEN 0 ELSE carry END
              + CASE WHEN a.arm = 'No delta' THEN 0 ELSE delta_premium END
              + CASE WHEN a.arm = 'No vol/VRP' THEN 0 ELSE variance_premium + volatility_premium END
              + CASE WHEN a.arm = 'No skew/tail' THEN 0 ELSE skew_premium END
-             + CASE WHEN a.arm = 'No relative value' THEN 0 ELSE relative_value END))) AS expected_return
+             + CASE WHEN a.arm = 'No relative value' THEN 0 ELSE relative_value END))) END AS expected_return
            FROM mean_ledger, (VALUES ('Full'), ('No carry'), ('No delta'), ('No vol/VRP'), ('No skew/tail'),
              ('No relative value')) a(arm)""",
         "contract_id arm", "expected_return",
@@ -271,8 +275,8 @@ VIEWS.add(
     "premium_rows",
     """SELECT p.book_id, p.contract_id, p.q * u.mark * 100.0e0 / 1e8 AS weight,
               (p.contract_id % 21 - 10) / 100.0e0 AS ret
-       FROM fx_positions p JOIN universe u ON u.contract_id = p.contract_id""",
-    "fx_positions", "universe",
+       FROM fx_quarter_positions p LEFT JOIN universe u ON u.contract_id = p.contract_id""",
+    "fx_quarter_positions", "universe",
 )
 
 
@@ -280,20 +284,26 @@ VIEWS.add(
     "premium_weight",
     oracle(
         "premium_rows",
-        """SELECT book_id, sum(weight) AS premium_share, 1.0e0 - sum(weight) AS cash_share,
-                  sum(weight * ret) AS contribution, count(*) AS legs FROM premium_rows GROUP BY 1""",
-        "book_id", "premium_share cash_share contribution", "legs",
+        """SELECT book_id, legs, unmarked, CASE WHEN unmarked = 0 THEN share END AS premium_share,
+                  CASE WHEN unmarked = 0 THEN 1.0e0 - share END AS cash_share, CASE WHEN unmarked = 0 THEN gain END AS contribution
+           FROM (SELECT book_id, sum(weight) AS share, sum(weight * ret) AS gain, count(*) AS legs,
+                        count(*) FILTER (weight IS NULL) AS unmarked FROM premium_rows GROUP BY 1) s""",
+        "book_id", "premium_share cash_share contribution", "legs unmarked",
     ),
 )
 def premium_weight(t):
-    positions = load(t, "fx_positions").withColumnRenamed("q", "contracts")
+    """Premium and cash shares of whole books; a book with a leg that has no mark has none."""
+
+    positions = load(t, "fx_quarter_positions").withColumnRenamed("q", "contracts")
     weights = ops.premium_weights(positions, universe(t), nav=1e8)
     leg = F.col("weight") * ((F.col("contract_id") % 21 - 10) / 100.0)
+    unmarked = F.count_if(F.col("weight").isNull())
     return weights.groupBy("book_id").agg(
-        F.sum("weight").alias("premium_share"),
-        (1.0 - F.sum("weight")).alias("cash_share"),
-        F.sum(leg).alias("contribution"),
+        F.when(unmarked == 0, F.sum("weight")).alias("premium_share"),
+        F.when(unmarked == 0, 1.0 - F.sum("weight")).alias("cash_share"),
+        F.when(unmarked == 0, F.sum(leg)).alias("contribution"),
         F.count("*").alias("legs"),
+        unmarked.alias("unmarked"),
     )
 
 

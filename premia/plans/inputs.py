@@ -139,14 +139,36 @@ WHERE t.gross > 0
     "fx_positions",
 )
 
-# The same books; two thirds of them hold no short leg that is not allowed.
+# What each supplier ships in each quarter: every line item is in exactly one of these positions.
 view(
-    "fx_clean_books",
+    "fx_quarter_positions",
     """
-SELECT book_id, contract_id, weight FROM {fx_books}
-WHERE weight > 0 OR contract_id % 7 <> 0 OR book_id % 3 = 0
+SELECT l_suppkey * 100 + (year(l_shipdate) - 1992) * 4 + quarter(l_shipdate) AS book_id, l_partkey AS contract_id,
+       sum(CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END) AS q
+FROM {lineitem} GROUP BY 1, 2
 """,
-    "fx_books",
+)
+
+# Whole candidate books of the audit, of seven different gross weights.
+view(
+    "fx_quarter_books",
+    """
+SELECT s.book_id, s.contract_id, (0.4e0 + 0.02e0 * (s.book_id % 7)) * s.q / t.gross AS weight
+FROM {fx_quarter_positions} s
+JOIN (SELECT book_id, sum(abs(q)) AS gross FROM {fx_quarter_positions} GROUP BY 1) t ON s.book_id = t.book_id
+WHERE t.gross > 0
+""",
+    "fx_quarter_positions",
+)
+
+# The decision that a book is a candidate of: its supplier's nation.
+view(
+    "fx_owners",
+    """
+SELECT b.book_id, CAST(s.s_nationkey AS BIGINT) AS decision_id
+FROM (SELECT DISTINCT book_id FROM {fx_quarter_books}) b JOIN {supplier} s ON s.s_suppkey = CAST(floor(b.book_id / 100.0e0) AS BIGINT)
+""",
+    "fx_quarter_books",
 )
 
 # Books over the panel labels.

@@ -28,14 +28,14 @@ LADDER_SQL = ", ".join(f"({value!r}::DOUBLE)" for value in LADDER)
 
 VIEWS.add(
     "utility_terms",
-    """SELECT l.book_id, n.s_nationkey AS decision_id, sum(l.weight * l.expected_return) AS mean,
+    """SELECT l.book_id, any_value(n.decision_id) AS decision_id, any_value(l.problem) AS problem, sum(l.weight * l.expected_return) AS mean,
               sum(l.long_cost * l.w_long + l.short_cost * l.w_short) AS cost, any_value(v.volatility) AS volatility
-       FROM legs l JOIN supplier n ON n.s_suppkey = l.book_id JOIN audit_vols v ON v.book_id = l.book_id GROUP BY 1, 2""",
-    "legs", "audit_vols",
+       FROM legs l JOIN fx_owners n ON n.book_id = l.book_id LEFT JOIN audit_vols v ON v.book_id = l.book_id GROUP BY 1""",
+    "legs", "audit_vols", "fx_owners",
 )
 VIEWS.add(
     "scored",
-    f"""SELECT u.*, h.lam AS risk_aversion, mean - cost - 0.5e0 * h.lam * volatility * volatility AS net_utility
+    f"""SELECT u.*, h.lam AS risk_aversion, CASE WHEN problem IS NULL THEN mean - cost - 0.5e0 * h.lam * volatility * volatility END AS net_utility
         FROM utility_terms u, (VALUES {LADDER_SQL}) h(lam)""",
     "utility_terms",
 )
@@ -47,9 +47,7 @@ def candidates(t, table=None):
     table = contracts(t) if table is None else table
     verdict = audited(t, table).select("book_id", "volatility", "feasible")
     terms = selection.book_utility_terms(audit.book_rows(legs(t), table)).select("book_id", "mean", "cost")
-    owners = t.supplier.select(
-        F.col("s_suppkey").alias("book_id"), F.col("s_nationkey").cast("bigint").alias("decision_id")
-    )
+    owners = load(t, "fx_owners")
     return written(terms.join(verdict, "book_id").join(owners, "book_id"), "candidates")
 
 
@@ -61,7 +59,7 @@ def candidates(t, table=None):
 def net_utility_score(t):
     table = contracts(t)
     rows = audit.book_rows(legs(t), table)
-    terms = selection.book_utility_terms(rows).join(volatility_function(t, table)(legs(t)), "book_id")
+    terms = selection.book_utility_terms(rows).join(volatility_function(t, table)(legs(t)), "book_id", "left")
     return selection.net_utility(terms, LADDER).select("book_id", "risk_aversion", "net_utility")
 
 
@@ -77,7 +75,7 @@ VIEWS.add(
     f"""SELECT d.decision_id, CASE WHEN p.book_id IS NOT NULL THEN 'optimal' WHEN d.n_feasible > 0 THEN 'ceiling_not_reached'
                ELSE 'no_feasible_candidate' END AS status, p.risk_aversion, p.book_id, p.net_utility, p.volatility
         FROM (SELECT u.decision_id, count(*) FILTER (WHERE a.feasible) AS n_feasible FROM utility_terms u
-              JOIN audited a ON a.book_id = u.book_id GROUP BY 1) d
+              LEFT JOIN audited a ON a.book_id = u.book_id GROUP BY 1) d
         LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY decision_id ORDER BY risk_aversion) AS k FROM winners
                    WHERE volatility <= {POLICY.annual_volatility_ceiling}::DOUBLE / sqrt(12.0e0)) p
           ON p.decision_id = d.decision_id AND p.k = 1""",
@@ -117,7 +115,7 @@ def select_max_sharpe(t):
 
 VIEWS.add(
     "edges",
-    """SELECT *, edge > 1e-12 AND weight <> 0 AS eligible FROM (SELECT *, sign(weight) * expected_return
+    """SELECT *, coalesce(edge > 1e-12 AND weight <> 0, false) AS eligible FROM (SELECT * EXCLUDE (eligible), sign(weight) * expected_return
          - CASE WHEN weight > 0 THEN long_cost WHEN weight < 0 THEN short_cost ELSE 0 END AS edge FROM legs) s""",
     "legs",
 )
@@ -127,10 +125,10 @@ VIEWS.add(
     "edge_eligibility",
     oracle(
         "edges",
-        """SELECT book_id, count(*) AS legs, count(*) FILTER (WHERE eligible) AS positive_edge_contracts,
+        """SELECT book_id, count(*) AS legs, count(*) FILTER (WHERE mark IS NULL) AS missing_contracts, count(*) FILTER (WHERE eligible) AS positive_edge_contracts,
                   coalesce(sum(abs(weight)) FILTER (WHERE eligible), 0) AS eligible_gross,
                   coalesce(sum(abs(weight) * edge) FILTER (WHERE eligible), 0) AS eligible_edge FROM edges GROUP BY 1""",
-        "book_id", "eligible_gross eligible_edge", "legs positive_edge_contracts",
+        "book_id", "eligible_gross eligible_edge", "legs missing_contracts positive_edge_contracts",
     ),
 )
 def edge_eligibility(t):
@@ -141,17 +139,23 @@ def edge_eligibility(t):
     "naive_books",
     oracle(
         "universe",
-        """SELECT u.underlying, u.contract_id, least(0.5e0 / g.n, 0.008e0) AS equal_premium_capped,
-                  least(0.5e0 * (1 / u.volatility) / g.inv, 0.008e0) AS equal_risk_capped
-           FROM universe u JOIN (SELECT underlying, count(*) AS n, sum(1 / volatility) AS inv FROM universe GROUP BY 1) g
-             ON g.underlying = u.underlying""",
-        "underlying contract_id", "equal_premium_capped equal_risk_capped",
+        """SELECT u.underlying, u.contract_id, u.eligible,
+                  CASE WHEN u.eligible THEN least(0.5e0 / g.n, 0.008e0) ELSE 0 END AS equal_premium_capped,
+                  CASE WHEN u.eligible THEN least(0.5e0 * (1 / u.volatility) / g.inv, 0.008e0) ELSE 0 END AS equal_risk_capped
+           FROM universe u LEFT JOIN (SELECT underlying, count(*) AS n, sum(1 / volatility) AS inv FROM universe WHERE eligible
+             GROUP BY 1) g ON g.underlying = u.underlying""",
+        "underlying contract_id eligible", "equal_premium_capped equal_risk_capped",
     ),
 )
 def naive_books(t):
     from premia.plans.chain import universe
 
-    return selection.naive_books(universe(t), "underlying", "volatility", budget=0.5, cap=0.008)
+    chain = universe(t).select("underlying", "contract_id", "volatility", "eligible")
+    held = selection.naive_books(chain.where("eligible"), "underlying", "volatility", budget=0.5, cap=0.008)
+    idle = chain.where("NOT eligible").select(
+        "underlying", "contract_id", F.lit(0.0).alias("equal_premium_capped"), F.lit(0.0).alias("equal_risk_capped")
+    )
+    return held.withColumn("eligible", F.lit(True)).unionByName(idle.withColumn("eligible", F.lit(False)))
 
 
 @query(
@@ -182,7 +186,7 @@ def top5_share(t):
     oracle(
         "legs",
         f"""SELECT s.*, n_active_at_cap / n_active_contracts AS at_cap_share, p.top5_share FROM (
-              SELECT book_id, count(*) AS n_candidate_contracts, count(*) FILTER (WHERE abs(weight) > 1e-9) AS n_active_contracts,
+              SELECT book_id, count(*) FILTER (WHERE effective_cap > 0) AS n_candidate_contracts, count(*) FILTER (WHERE abs(weight) > 1e-9) AS n_active_contracts,
                      sum(abs(weight)) AS deployed_gross,
                      count(*) FILTER (WHERE abs(weight) > 1e-9 AND abs(weight) >= effective_cap - 1e-9) AS n_active_at_cap,
                      sum(effective_cap) AS cap_budget FROM legs GROUP BY 1) s JOIN {TOP5} p ON p.book_id = s.book_id""",
@@ -196,7 +200,8 @@ def concentration(t):
 
 
 def audit_views(
-    prefix: str, rows: str, cell_view: str, *needs: str, own: str = "0.045e0", future: str = "0.03e0", home: str = "book_id"
+    prefix: str, rows: str, cell_view: str, *needs: str, own: float = LIMITS.underlying_gross,
+    future: float = LIMITS.vix_future_gross, home: str = "book_id",
 ) -> None:
     """Oracle views of a full audit over another set of legs (named ``<prefix>_audited``).
 
@@ -222,7 +227,7 @@ def audit_views(
     )
     VIEWS.add(
         f"{prefix}_under",
-        f"""SELECT book_id, max(greatest(g - CASE WHEN underlying = 'VX_FRONT' THEN {future} ELSE {own} END, 0)) AS underlying
+        f"""SELECT book_id, max(greatest(g - CASE WHEN underlying = 'VX_FRONT' THEN {future}::DOUBLE ELSE {own}::DOUBLE END, 0)) AS underlying
             FROM (SELECT book_id, underlying, sum(abs(weight)) AS g FROM {prefix}_legs GROUP BY 1, 2) s GROUP BY 1""",
         f"{prefix}_legs",
     )
@@ -247,16 +252,18 @@ def audit_views(
 
 
 ROUNDED = f"""SELECT book_id, contract_id, sign(weight) * floor(abs(weight * {NAV}::DOUBLE / (mark * 100.0e0))) * mark * 100.0e0
-  / {NAV}::DOUBLE AS weight FROM legs"""
-audit_views("int", ROUNDED, "cells", "legs", "audit_universe")
+  / {NAV}::DOUBLE AS weight FROM sound"""
+audit_views("int", ROUNDED, "cells", "sound", "audit_universe")
 
 
 @query(
     "integer_or_cash",
     oracle(
-        "int_audited",
-        """SELECT book_id, NOT feasible AS abstained, CASE WHEN feasible THEN 'direct_truncation' ELSE 'infeasible_direct_book' END AS reason,
-                  gross AS rounded_gross, CASE WHEN feasible THEN gross ELSE 0.0e0 END AS held_gross, max_violation FROM int_audited""",
+        "int_audited book_list",
+        """SELECT k.book_id, NOT coalesce(feasible, false) AS abstained,
+                  coalesce(k.problem, CASE WHEN feasible THEN 'direct_truncation' ELSE 'infeasible_direct_book' END) AS reason,
+                  gross AS rounded_gross, CASE WHEN feasible THEN gross ELSE 0.0e0 END AS held_gross, max_violation
+           FROM book_list k LEFT JOIN int_audited a ON a.book_id = k.book_id""",
         "book_id abstained reason", "rounded_gross held_gross max_violation",
     ),
 )
@@ -271,32 +278,35 @@ def integer_or_cash(t):
     )
 
 
-STAGE2 = policy.Policy(**{**POLICY.__dict__, "deployment_target": 0.44, "annual_volatility_ceiling": 0.05,
-                          "cvar_loss_nav": 0.03, "collateral_nav": 0.5})
-WIDE = policy.Limits(gross_nav=1.0, net_nav_abs=0.35, short_nav_abs=0.25, per_contract_abs=None,
-                     vix_vega_abs=None, beta_spy_abs=1.2, stress_loss_abs=0.05, underlying_gross=0.35)
+STAGE2 = policy.Policy(**{**POLICY.__dict__, "deployment_target": 0.48, "annual_volatility_ceiling": 0.45, "cvar_loss_nav": 0.25,
+                          "stress_loss_nav": 2.0, "short_margin_nav": 0.35, "collateral_nav": 0.5})
+WIDE = policy.Limits(gross_nav=1.0, net_nav_abs=0.45, short_nav_abs=0.45, per_contract_abs=None,
+                     vix_vega_abs=None, beta_spy_abs=4.0, stress_loss_abs=2.0, underlying_gross=0.35)
 
 
 # Candidates of the second stage: a book's number times ten plus the tilt, in SQL only.
 audit_views(
     "tilted",
-    """SELECT book_id * 10 + tilt AS book_id, contract_id,
-              sign(weight) * raw / sum(raw) OVER (PARTITION BY book_id, tilt) * 0.44e0 AS weight
+    f"""SELECT book_id * 10 + tilt AS book_id, contract_id,
+              sign(weight) * raw / sum(raw) OVER (PARTITION BY book_id, tilt) * {STAGE2.deployment_target}::DOUBLE AS weight
        FROM (SELECT book_id, contract_id, weight, tilt, abs(weight) * pow(edge, tilt / 2.0e0) AS raw
              FROM edges, (VALUES (0), (1), (2)) k(tilt) WHERE eligible) r""",
-    "cells", "edges", "audit_universe", own="0.35e0", future="0.20e0", home="book_id // 10",
+    "cells", "edges", "audit_universe", own=WIDE.underlying_gross, future=WIDE.vix_future_gross, home="book_id // 10",
 )
 VIEWS.add(
     "tilted_best",
-    """SELECT * FROM (SELECT s.book_id // 10 AS book_id, s.book_id % 10 AS tilt, s.gross,
+    f"""SELECT * FROM (SELECT s.book_id // 10 AS book_id, s.book_id % 10 AS tilt, s.gross,
               row_number() OVER (PARTITION BY s.book_id // 10
                 ORDER BY s.mean - s.cost - v.volatility * v.volatility DESC, s.book_id) AS rn
          FROM tilted_sums s JOIN tilted_under u ON u.book_id = s.book_id JOIN tilted_cvar c ON c.book_id = s.book_id
          JOIN tilted_vols v ON v.book_id = s.book_id
-         WHERE greatest(s.gross - 1.0e0, (SELECT max(abs(l.weight)) FROM tilted_legs l WHERE l.book_id = s.book_id) - 1.0e0,
-             abs(s.net) - 0.35e0, s.short - 0.25e0, u.underlying, abs(s.beta_spy_exposure) - 1.2e0, -0.010e0 - s.worst_stress,
-             s.margin - 0.098e0, s.long + s.margin - 0.5e0, s.assignment, c.cvar - 0.03e0,
-             v.volatility * sqrt(12.0e0) - 0.05e0) <= 1e-5) w WHERE rn = 1""",
+         JOIN (SELECT book_id, max(abs(weight)) AS largest FROM tilted_legs GROUP BY 1) x ON x.book_id = s.book_id
+         WHERE greatest(s.gross - {WIDE.gross_nav}::DOUBLE, x.largest - {WIDE.gross_nav}::DOUBLE,
+             abs(s.net) - {WIDE.net_nav_abs}::DOUBLE, s.short - {WIDE.short_nav_abs}::DOUBLE, u.underlying,
+             abs(s.beta_spy_exposure) - {WIDE.beta_spy_abs}::DOUBLE, -{min(STAGE2.stress_loss_nav, WIDE.stress_loss_abs)}::DOUBLE - s.worst_stress,
+             s.margin - {STAGE2.short_margin_nav}::DOUBLE, s.long + s.margin - {STAGE2.collateral_nav}::DOUBLE, s.assignment,
+             c.cvar - {STAGE2.cvar_loss_nav}::DOUBLE,
+             v.volatility * sqrt(12.0e0) - {STAGE2.annual_volatility_ceiling}::DOUBLE) <= 1e-5) w WHERE rn = 1""",
     "tilted_audited",
 )
 
@@ -305,16 +315,16 @@ VIEWS.add(
     "scale_to_target",
     oracle(
         "tilted_best",
-        """SELECT book_id, stage1_gross_nav, deployment_target, accepted AND (enough OR best IS NOT NULL) AS deployment_target_feasible,
+        f"""SELECT book_id, stage1_gross_nav, deployment_target, accepted AND (enough OR best IS NOT NULL) AS deployment_target_feasible,
                   applied AS deployment_target_applied,
                   CASE WHEN applied THEN gross ELSE stage1_gross_nav END >= deployment_target - 1e-6 AS deployment_target_met,
                   CASE WHEN NOT accepted THEN 0 WHEN enough THEN nonzero ELSE eligible END AS positive_edge_contracts,
                   CASE WHEN applied THEN best END AS tilt
-           FROM (SELECT e.*, e.book_id % 5 <> 0 AS accepted, e.stage1_gross_nav >= 0.44e0 - 1e-7 AS enough, 0.44e0 AS deployment_target,
+           FROM (SELECT e.*, e.book_id % 5 <> 0 AND e.missing = 0 AS accepted, e.stage1_gross_nav >= {STAGE2.deployment_target}::DOUBLE - 1e-7 AS enough, {STAGE2.deployment_target}::DOUBLE AS deployment_target,
                         b.tilt AS best, b.gross,
-                        e.book_id % 5 <> 0 AND NOT e.stage1_gross_nav >= 0.44e0 - 1e-7 AND b.tilt IS NOT NULL AS applied
+                        e.book_id % 5 <> 0 AND e.missing = 0 AND NOT e.stage1_gross_nav >= {STAGE2.deployment_target}::DOUBLE - 1e-7 AND b.tilt IS NOT NULL AS applied
                  FROM (SELECT book_id, sum(abs(weight)) AS stage1_gross_nav, count(*) FILTER (WHERE weight <> 0) AS nonzero,
-                              count(*) FILTER (WHERE eligible) AS eligible FROM edges GROUP BY 1) e
+                              count(*) FILTER (WHERE mark IS NULL) AS missing, count(*) FILTER (WHERE eligible) AS eligible FROM edges GROUP BY 1) e
                  LEFT JOIN tilted_best b ON b.book_id = e.book_id) q""",
         "book_id deployment_target_feasible deployment_target_applied deployment_target_met",
         "stage1_gross_nav deployment_target", "positive_edge_contracts tilt",
@@ -336,7 +346,7 @@ def scale_to_target(t):
 
 DECIDED = "2001-09-01"
 VIEWS.add("past_cells", f"SELECT * FROM cells WHERE scenario_id < DATE '{DECIDED}'", "cells")
-audit_views("past", "SELECT book_id, contract_id, weight FROM legs", "past_cells", "legs", "audit_universe")
+audit_views("past", "SELECT book_id, contract_id, weight FROM sound", "past_cells", "sound", "audit_universe")
 VIEWS.add(
     "past_winners",
     f"""SELECT * FROM (SELECT s.*, row_number() OVER (PARTITION BY s.decision_id, s.risk_aversion ORDER BY s.net_utility DESC, s.book_id) AS rn
@@ -350,8 +360,8 @@ VIEWS.add(
     "past_winners",
 )
 audit_views(
-    "held", ROUNDED.replace("FROM legs", "FROM legs WHERE book_id IN (SELECT book_id FROM past_picks)"), "past_cells",
-    "legs", "audit_universe", "past_picks",
+    "held", ROUNDED.replace("FROM sound", "FROM sound WHERE book_id IN (SELECT book_id FROM past_picks)"), "past_cells",
+    "sound", "audit_universe", "past_picks",
 )
 
 
@@ -377,9 +387,7 @@ def monthly_decisions(t):
     volatility_of = volatility_function(t, table)
     verdict = audit.portfolio_audit(legs(t), table, past, volatility_of, LIMITS, POLICY)
     terms = selection.book_utility_terms(audit.book_rows(legs(t), table)).select("book_id", "mean")
-    owners = t.supplier.select(
-        F.col("s_suppkey").alias("book_id"), F.col("s_nationkey").cast("bigint").alias("decision_id")
-    )
+    owners = load(t, "fx_owners")
     pool = verdict.select("book_id", "volatility", "feasible", "cost").join(terms, "book_id").join(owners, "book_id")
     picks = written(selection.select_candidate(pool, POLICY).where("status = 'optimal'"), "picks")
     chosen = legs(t).join(picks.select("book_id"), "book_id", "left_semi")
