@@ -39,7 +39,7 @@ def test_every_breach_is_measured(world):
     )
     rules = policy.Policy(annual_volatility_ceiling=0.02, cvar_loss_nav=0.0005, short_margin_nav=0.1, collateral_nav=0.4)
     row = audit.portfolio_audit(
-        books([(7, 1, 0.3), (7, 2, -0.25), (7, 99, 9.0)]), contracts, scenarios, flat, limits, rules
+        books([(7, 1, 0.3), (7, 2, -0.25)]), contracts, scenarios, flat, limits, rules
     ).first()
     cost = 0.3 * 0.001 + 0.25 * 0.002
     want = {
@@ -191,3 +191,38 @@ def test_candidates_are_sized_to_the_budget_before_they_compete(table):
     assert [(d, b, n) for d, b, _, n in picks] == [(1, 2, 3)]
     # Unscaled, only books at the budget to 1e-5 compete, and none is.
     assert selection.select_max_sharpe(df.where("book_id <> 4"), 1.0).count() == 0
+
+
+def test_a_leg_without_a_contract_is_a_problem_of_its_book(world):
+    contracts, scenarios, flat, books = world
+    given = books([(1, 1, 0.01), (1, 99, 0.01), (2, 1, 0.15), (3, 99, 0.0), (4, 98, float("nan"))])
+    rows = audit.book_rows(given, contracts)
+    assert rows.count() == 5 and rows.where("contract_missing").count() == 3
+    lost = ("contract_missing", False, None, None, None, None)
+    got = {
+        r["book_id"]: (r["problem"], r["feasible"], r["gross"], r["max_violation"], r["cvar"], r["volatility"])
+        for r in audit.portfolio_audit(given, contracts, scenarios, flat, LOOSE, policy.FIRST_POLICY).collect()
+    }
+    assert got[1] == got[3] == got[4] == lost
+    assert got[2][:4] == (None, True, 0.15, 0.0) and got[2][5] == 0.01
+
+    terms = {r["book_id"]: (r["mean"], r["cost"], r["gross"]) for r in selection.book_utility_terms(rows).collect()}
+    assert terms[1] == (None, None, None) and terms[2] == (0.15 * 0.02, 0.15 * 0.001, 0.15)
+    edges = {r["book_id"]: (r["legs"], r["missing_contracts"], r["positive_edge_contracts"]) for r in selection.edge_counts(rows).collect()}
+    assert edges == {1: (2, 1, 1), 2: (1, 0, 1), 3: (1, 1, 0), 4: (1, 1, 0)}
+
+    legs, verdict = audit.integer_or_cash(given, contracts, scenarios, flat, LOOSE, policy.FIRST_POLICY, nav=10_000.0)
+    reasons = {r["book_id"]: (r["abstained"], r["reason"]) for r in verdict.collect()}
+    assert reasons == {2: (False, "direct_truncation"), **{b: (True, "contract_missing") for b in (1, 3, 4)}}
+    held = {(r["book_id"], r["contract_id"]): r["contracts"] for r in legs.collect()}
+    assert held == {(1, 1): 0.0, (1, 99): 0.0, (2, 1): 1.0, (3, 99): 0.0, (4, 98): 0.0}
+
+
+def test_a_book_with_a_missing_contract_has_no_second_stage(world):
+    contracts, scenarios, flat, books = world
+    rules = policy.Policy(annual_volatility_ceiling=0.25, deployment_target=0.4)
+    given = books([(1, 1, 0.1), (2, 1, 0.1), (2, 99, 0.01)])
+    stage1 = given.select("book_id").distinct().select("book_id", F.lit(True).alias("accepted"), F.lit(1.0).alias("risk_aversion"))
+    verdict, _ = selection.scale_to_target(stage1, given, contracts, scenarios, flat, LOOSE, rules)
+    got = {r["book_id"]: (r["deployment_target_feasible"], r["deployment_target_applied"]) for r in verdict.collect()}
+    assert got == {1: (True, True), 2: (False, False)}

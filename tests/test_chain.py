@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from premia.functions.pricing import pricing_reject, with_black_scholes
 from premia.operators import chain
@@ -85,3 +86,30 @@ def test_contract_check_names_duplicates(table):
     )
     got = {r["contract_id"]: r["reason"] for r in chain.contract_check(df).collect()}
     assert got == {1: "duplicate_id", 2: "mark_not_positive", 3: "greeks_not_finite", 4: None}
+
+
+def test_eligibility_is_a_column_and_missing_values_pass_no_rule(table):
+    rows = table(
+        [(1, 1.0, 0.5), (2, 0.4, 0.5), (3, None, 0.5), (4, 1.0, 0.0)], "contract_id int, mark double, maturity double"
+    )
+    flags = rows.withColumn("eligible", chain.is_eligible(chain.Eligibility()))
+    assert {r["contract_id"]: r["eligible"] for r in flags.collect()} == {1: True, 2: False, 3: False, 4: False}
+    assert [r["contract_id"] for r in chain.eligible(rows, chain.Eligibility()).collect()] == [1]
+    anything = chain.Eligibility(min_mark=None, min_maturity=None)
+    assert rows.where(chain.is_eligible(anything)).count() == 4
+
+
+def test_a_contract_without_a_mark_has_no_mean_and_no_weight(table):
+    contracts = table(
+        [(1, 2.0, 10.0, 0.5, 0.1, 0.2, -0.3), (2, None, 10.0, 0.5, 0.1, 0.2, -0.3)],
+        "contract_id int, mark double, spot double, delta double, gamma double, vega double, theta double",
+    )
+    for name in ("lambda_spot", "lambda_var", "lambda_vol", "lambda_skew", "lambda_rv"):
+        contracts = contracts.withColumn(name, F.lit(0.01))
+    means = {r["contract_id"]: r["expected_return"] for r in chain.structural_mean(contracts).collect()}
+    assert means[1] is not None and means[2] is None
+    arms = chain.channel_ablation(contracts).where("contract_id = 2").collect()
+    assert len(arms) == len(chain.CHANNELS) and all(r["expected_return"] is None for r in arms)
+    positions = table([(1, 1, 3), (1, 2, 3), (1, 9, 3)], "book_id int, contract_id int, contracts int")
+    weights = {r["contract_id"]: r["weight"] for r in chain.premium_weights(positions, contracts, nav=1000.0).collect()}
+    assert weights == {1: 0.6, 2: None, 9: None}
