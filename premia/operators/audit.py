@@ -11,14 +11,18 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from premia.functions.numeric import INFINITY, breach, finite, negative, number, positive, total
 from premia.operators.policy import FEASIBLE, Limits, Policy, underlying_limit, whole_contracts
-from premia.operators.ranks import fractional_tail_mean
+from premia.operators.ranks import tail_mass
 
 STRESS = "stress_scenario_"
+#: Scenarios that are summed side by side; wider rows leave generated code.
+TILE = 64
+#: Scenarios that one task numbers on the axis.
+AXIS_BUCKET = 65_536
 
 
 def book_rows(books: DataFrame, contracts: DataFrame) -> DataFrame:
@@ -118,18 +122,65 @@ def underlying_breach(rows: DataFrame, limits: Limits) -> DataFrame:
     )
 
 
-def scenario_sums(rows: DataFrame, scenarios: DataFrame) -> DataFrame:
-    """Return of each book in each scenario it has cells for (absent cells are 0).
+def scenario_axis(scenarios: DataFrame, tile: int = TILE, bucket: int = AXIS_BUCKET) -> DataFrame:
+    """Place of every scenario on the packed axis: ``_scenario``, ``_tile`` and ``_slot`` (0 to ``tile`` - 1).
 
-    The join key is the contract; a contract held by very many books is split at run time
-    by the engine's skew join, since the sums are shuffled anew by (book, scenario).
+    Scenarios are numbered inside hash buckets of about ``bucket``, so that no task orders a long axis whole.
     """
 
+    known = scenarios.select(F.col("scenario_id").alias("_scenario")).distinct()
+    buckets = F.greatest(F.ceil(known.agg(F.count("*").alias("_n")).scalar() / F.lit(bucket)), F.lit(1))
+    number = F.row_number().over(Window.partitionBy("_bucket").orderBy("_scenario")) - 1
+    return (
+        known.withColumn("_bucket", F.pmod(F.xxhash64("_scenario"), buckets))
+        .withColumn("_number", number)
+        .select(
+            "_scenario",
+            F.struct("_bucket", F.floor(F.col("_number") / tile).alias("_part")).alias("_tile"),
+            (F.col("_number") % tile).alias("_slot"),
+        )
+    )
+
+
+def packed_scenarios(scenarios: DataFrame, axis: DataFrame, tile: int = TILE) -> DataFrame:
+    """One row per contract and tile of the axis: ``_cells``, the contract's values by slot (NULL: no cell).
+
+    Repeated cells of a contract and scenario add up.
+    """
+
+    placed = scenarios.select("contract_id", "scenario_id", "ret").join(
+        axis, F.col("scenario_id").eqNullSafe(F.col("_scenario"))
+    )
+    slots = [F.sum(F.when(F.col("_slot") == i, F.col("ret"))) for i in range(tile)]
+    return placed.groupBy("contract_id", "_tile").agg(F.array(*slots).alias("_cells"))
+
+
+def packed_sums(rows: DataFrame, packed: DataFrame, tile: int = TILE) -> DataFrame:
+    """One row per book and tile: ``_sums``, the book's returns by slot (NULL: none of its contracts has a cell).
+
+    A leg meets one row a tile, not one a scenario, and all slots are summed side by side with map-side combine.
+    The join key is the contract; a contract held by very many books is split at run time by the engine's skew join.
+    """
+
+    sums = [F.sum(F.col("_cells")[i] * F.col("weight")) for i in range(tile)]
     return (
         rows.select("book_id", "contract_id", "weight")
-        .join(scenarios, "contract_id")
-        .groupBy("book_id", "scenario_id")
-        .agg(F.sum(F.col("ret") * F.col("weight")).alias("scenario_return"))
+        .join(packed, "contract_id")
+        .groupBy("book_id", "_tile")
+        .agg(F.array(*sums).alias("_sums"))
+    )
+
+
+def scenario_sums(rows: DataFrame, scenarios: DataFrame, tile: int = TILE, bucket: int = AXIS_BUCKET) -> DataFrame:
+    """Return of each book in each scenario that it has usable cells for."""
+
+    axis = scenario_axis(scenarios, tile, bucket)
+    sums = packed_sums(rows, packed_scenarios(scenarios, axis, tile), tile)
+    return (
+        sums.select("book_id", "_tile", F.posexplode("_sums").alias("_slot", "scenario_return"))
+        .where("scenario_return IS NOT NULL")
+        .join(axis, ["_tile", "_slot"])
+        .select("book_id", F.col("_scenario").alias("scenario_id"), "scenario_return")
     )
 
 
@@ -167,30 +218,56 @@ def scenario_problems(prepared: DataFrame, contracts: DataFrame) -> DataFrame:
     )
 
 
-def scenario_losses(sums: DataFrame, scenarios: DataFrame, costs: DataFrame) -> DataFrame:
-    """Losses per book with multiplicity: the scenarios without cells all lose the cost.
+def scenario_cvar(
+    rows: DataFrame,
+    scenarios: DataFrame,
+    costs: DataFrame,
+    alpha: float,
+    tile: int = TILE,
+    bucket: int = AXIS_BUCKET,
+) -> DataFrame:
+    """Mean loss (cost less return) of each book of ``costs`` over the worst 1 - ``alpha`` of all scenarios.
 
-    They enter as one row with a count instead of a book x scenario cross.
+    Scenarios without cells of the book return 0. The worst returns of a book lie among the worst of each tile,
+    so a tile keeps only as many as the tail holds, and a book's tail is one array of at most eight bytes a
+    scenario, however many legs it has. A return or cost that is no finite number leaves the book without a tail loss.
     """
 
-    per_book = sums.groupBy("book_id").agg(F.count("*").alias("_have"))
-    touched = sums.join(costs, "book_id").select(
-        "book_id", (F.col("cost") - F.col("scenario_return")).alias("loss"), F.lit(1).alias("copies")
+    size = scenario_count(scenarios).scalar()
+    mass = tail_mass(size, alpha)
+    worst = F.greatest(F.ceil(mass), F.lit(1)).cast("int")
+    axis = scenario_axis(scenarios, tile, bucket)
+    sums = packed_sums(rows, packed_scenarios(scenarios, axis, tile), tile)
+    known = F.filter("_sums", lambda value: value.isNotNull())
+    tails = (
+        sums.withColumn("_known", known)
+        .select(
+            "book_id",
+            F.size("_known").alias("_n"),
+            F.exists("_known", lambda value: finite(value).isNull()).alias("_wild"),
+            F.slice(F.sort_array("_known"), F.lit(1), worst).alias("_low"),
+        )
+        .groupBy("book_id")
+        .agg(
+            F.sum("_n").alias("_have"),
+            F.max("_wild").alias("_wild"),
+            F.flatten(F.collect_list("_low")).alias("_low"),
+        )
     )
-    count = scenario_count(scenarios).scalar()
-    untouched = costs.join(per_book, "book_id", "left").select(
-        "book_id",
-        F.col("cost").alias("loss"),
-        (count - F.coalesce("_have", F.lit(0))).cast("int").alias("copies"),
+    # Scenarios without cells enter as zeros, as many as the tail could hold.
+    idle = F.least(size - F.coalesce("_have", F.lit(0)), worst).cast("int")
+    none = F.array().cast("array<double>")
+    low = F.concat(F.coalesce("_low", none), F.array_repeat(F.lit(0.0), idle))
+    tail = F.col("_tail")
+    whole = F.aggregate(tail, F.lit(0.0), lambda a, b: a + b)
+    mean = F.try_divide(whole - (worst - mass) * F.try_element_at(tail, F.lit(-1)), mass)
+    sound = ~F.coalesce("_wild", F.lit(False))
+    return (
+        costs.select("book_id", "cost")
+        .join(tails, "book_id", "left")
+        .withColumn("_tail", F.slice(F.sort_array(low), F.lit(1), worst))
+        .select("book_id", F.when(sound, finite(F.col("cost") - mean)).alias("cvar"))
     )
-    return touched.unionByName(untouched).where("copies > 0")
-
-
-def scenario_cvar(
-    rows: DataFrame, scenarios: DataFrame, costs: DataFrame, alpha: float
-) -> DataFrame:
-    losses = scenario_losses(scenario_sums(rows, scenarios), scenarios, costs)
-    return fractional_tail_mean(losses, ["book_id"], "loss", alpha, weight="copies").drop("size")
 
 
 def with_breaches(table: DataFrame, limits: Limits, policy: Policy) -> DataFrame:
@@ -255,7 +332,7 @@ def portfolio_audit(
         sums.join(underlying_breach(rows, limits), "book_id", "left")
         .join(
             scenario_cvar(
-                rows, scenarios, sums.where("leg_problem IS NULL").select("book_id", "cost"), policy.cvar_alpha
+                books, scenarios, sums.where("leg_problem IS NULL").select("book_id", "cost"), policy.cvar_alpha
             ),
             "book_id",
             "left",

@@ -160,6 +160,15 @@ def exact_quantiles(
     return looked.select(*keys, "size", *columns)
 
 
+def tail_mass(n: Column, alpha: float) -> Column:
+    """How many of ``n`` values the worst (1 - alpha) share holds, in part too."""
+
+    if not 0.0 < alpha < 1.0:
+        raise ValueError("alpha must lie between zero and one")
+    exact = n.cast("double") * F.lit(1.0 - alpha)
+    return F.when(F.abs(exact - F.rint(exact)) <= 1e-12, F.rint(exact)).otherwise(exact)
+
+
 def fractional_tail_mean(
     df: DataFrame,
     keys: Sequence[str],
@@ -170,18 +179,11 @@ def fractional_tail_mean(
 ) -> DataFrame:
     """Mean of the worst (1 - alpha) share of losses, the last one counted in part."""
 
-    if not 0.0 < alpha < 1.0:
-        raise ValueError("alpha must lie between zero and one")
-
-    def mass(n: Column) -> Column:
-        exact = n.cast("double") * F.lit(1.0 - alpha)
-        return F.when(F.abs(exact - F.rint(exact)) <= 1e-12, F.rint(exact)).otherwise(exact)
-
     def edge_rank(n: Column) -> Column:
-        return n - F.greatest(F.ceil(mass(n)), F.lit(1))
+        return n - F.greatest(F.ceil(tail_mass(n, alpha)), F.lit(1))
 
     looked = rank_lookup(df, keys, loss, {"_edge": edge_rank}, weight)
-    edge, m = F.col("_edge"), mass(F.col("size"))
+    edge, m = F.col("_edge"), tail_mass(F.col("size"), alpha)
     above = F.col("size") - edge["below"] - edge["at"]
     above_sum = F.col("sum") - edge["below_sum"] - edge["value"] * edge["at"]
     return looked.select(

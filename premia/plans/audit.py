@@ -394,7 +394,9 @@ VIEWS.add(
 
 
 def cells(t, table):
-    return audit.scenario_prepare(load(t, "fx_scenarios"), table)
+    """Prepared scenario cells, written once: several branches of a query read them."""
+
+    return written(audit.scenario_prepare(load(t, "fx_scenarios"), table), "cells")
 
 
 def spoiled_scenarios(t):
@@ -638,6 +640,6 @@ def portfolio_audit(t):
     def volatility_of(books):
         return known_volatility(books).withColumn("volatility", F.when(F.col("book_id") % 10 != 3, F.col("volatility")))
 
-    prepared = audit.scenario_prepare(known, faulty)
+    prepared = written(audit.scenario_prepare(known, faulty), "cells")
     out = audit.portfolio_audit(legs(t), faulty, prepared, volatility_of, LIMITS, POLICY)
     return out.select("book_id", *BREACHES.split(), "feasible", "problem")

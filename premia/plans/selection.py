@@ -382,7 +382,7 @@ def monthly_decisions(t):
     """Eligibility, means, audit, selection, rounding and realization of all decisions at once."""
 
     table = contracts(t)
-    known = written(cells(t, table), "cells")
+    known = cells(t, table)
     past = known.where(F.col("scenario_id") < F.lit(DECIDED).cast("date"))
     volatility_of = volatility_function(t, table)
     verdict = audit.portfolio_audit(legs(t), table, past, volatility_of, LIMITS, POLICY)

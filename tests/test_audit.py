@@ -226,3 +226,61 @@ def test_a_book_with_a_missing_contract_has_no_second_stage(world):
     verdict, _ = selection.scale_to_target(stage1, given, contracts, scenarios, flat, LOOSE, rules)
     got = {r["book_id"]: (r["deployment_target_feasible"], r["deployment_target_applied"]) for r in verdict.collect()}
     assert got == {1: (True, True), 2: (False, False)}
+
+
+@pytest.mark.parametrize("tile, bucket", [(64, 65_536), (4, 65_536), (3, 5), (1, 1)])
+def test_packed_scenarios_match_brute_force(table, tile, bucket):
+    import random
+
+    rng = random.Random(tile)
+    # Repeated cells, contracts without cells, a book of all contracts and one that shares no cell.
+    cells = [(k, c, rng.choice([-0.1, 0.0, rng.uniform(-0.3, 0.3)])) for k in range(41) for c in range(12) if rng.random() < 0.3]
+    cells += cells[::9] + [(None, 1, -0.4)]
+    legs = [(b, c, rng.uniform(-0.2, 0.3)) for b in range(6) for c in range(15) if b == 0 or rng.random() < 0.4] + [(77, 14, 0.2)]
+    cost = {b: rng.uniform(0.0, 0.01) for b, _, _ in legs}
+    scenarios = table(cells, "scenario_id int, contract_id int, ret double")
+    rows = table(legs, "book_id int, contract_id int, weight double")
+    costs = table(list(cost.items()), "book_id int, cost double")
+
+    want = {}
+    for b, c, w in legs:
+        for k, other, ret in cells:
+            if c == other:
+                want[b, k] = want.get((b, k), 0.0) + w * ret
+    got = audit.scenario_sums(rows, scenarios, tile, bucket).collect()
+    assert len(got) == len(want)
+    assert {(r["book_id"], r["scenario_id"]): r["scenario_return"] for r in got} == pytest.approx(want)
+
+    names = {k for k, _, _ in cells}
+    for alpha in (0.95, 0.5, 0.999):
+        plain = {}
+        for b in cost:
+            losses = sorted((cost[b] - want.get((b, k), 0.0) for k in names), reverse=True)
+            m = len(names) * (1.0 - alpha)
+            plain[b] = sum(min(1.0, max(0.0, m - i)) * loss for i, loss in enumerate(losses)) / m
+        tails = audit.scenario_cvar(rows, scenarios, costs, alpha, tile, bucket).collect()
+        assert {r["book_id"]: r["cvar"] for r in tails} == pytest.approx(plain)
+    with pytest.raises(ValueError):
+        audit.scenario_cvar(rows, scenarios, costs, 1.0)
+
+
+def test_a_leg_meets_a_row_a_tile_not_a_row_a_scenario(table):
+    scenarios = table([(k, c, 0.01 * c) for k in range(128) for c in range(5)], "scenario_id int, contract_id int, ret double")
+    axis = audit.scenario_axis(scenarios)
+    packed = audit.packed_scenarios(scenarios, axis)
+    assert axis.count() == 128 and packed.count() == 5 * 2
+    rows = table([(b, c, 0.1) for b in range(3) for c in range(5)], "book_id int, contract_id int, weight double")
+    sums = audit.packed_sums(rows, packed).collect()
+    assert len(sums) == 3 * 2 and all(v == pytest.approx(0.01) for r in sums for v in r["_sums"])
+
+
+def test_tail_losses_without_scenarios_or_with_wild_numbers(table):
+    shape = "scenario_id int, contract_id int, ret double"
+    rows = table([(1, 1, 0.5), (2, 1, float("nan")), (3, 2, 0.1), (4, 2, None)], "book_id int, contract_id int, weight double")
+    costs = table([(1, 0.01), (2, 0.01), (3, None), (4, 0.02)], "book_id int, cost double")
+    empty = audit.scenario_cvar(rows, table([], shape), costs, 0.5).collect()
+    assert {r["book_id"]: r["cvar"] for r in empty} == {1: None, 2: None, 3: None, 4: None}
+    cells = table([(1, 1, -0.2), (2, 2, 0.1), (3, 2, None)], shape)
+    got = {r["book_id"]: r["cvar"] for r in audit.scenario_cvar(rows, cells, costs, 0.5).collect()}
+    # One and a half of three losses: 0.11 and half of 0.01.
+    assert got == {1: pytest.approx((0.11 + 0.005) / 1.5), 2: None, 3: None, 4: pytest.approx(0.02)}
