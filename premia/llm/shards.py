@@ -5,7 +5,8 @@ metadata dimension at the weighted quantile that gives floor(k / 2) shards to th
 
 Quantiles are found by distributed histograms. A dimension is scaled to ``LEVELS`` codes over the whole table; one job per level sums the
 weight of every (node, dimension, code), which gives each node's extent along each dimension and the code
-in which the quantile falls. Ties at that code are ordered by a hash of the text and then of the row, and the quantile is refined by a few bits of it at a time.
+in which the quantile falls. Ties at that code are ordered by a hash of the text, then of the id, then of the row's place in the
+stored metadata (which tells repeated rows apart), and the quantile is refined by a few bits of it at a time.
 A bin lighter than ``tolerance`` of a shard goes to one side whole, so equal texts stay together unless a
 group outweighs that. What reaches the driver is bounded by shards x dimensions x codes, never by rows.
 """
@@ -22,7 +23,8 @@ from premia.llm.frames import pick, stored, width
 
 LEVELS = 1024
 BITS = 12  # of the tie order refined by a job
-TIE_BITS = 63
+TEXT_BITS, ID_BITS, ROW_BITS = 27, 16, 20
+TIE_BITS = TEXT_BITS + ID_BITS + ROW_BITS
 ROW_BYTES = 16
 
 
@@ -49,16 +51,19 @@ def _lexical(column: str) -> Column:
 
 
 def metadata(docs: DataFrame, dimensions: Sequence[str]) -> DataFrame:
-    """doc_id, size, text_crc32, tie and the dimensions as doubles: texts by their first bytes, numbers by their logarithm."""
+    """doc_id, size, text_crc32, tie and the dimensions as doubles: texts by their first bytes, numbers by their logarithm.
+
+    ``tie`` holds bits of the text's and of the id's hash; ``_told_apart`` adds those of the row.
+    """
 
     names = [name for name in dimensions if name != "size"]
     source = pick(docs, "doc_id", "text", *names, optional={name: "string" for name in names})
     kinds = dict(source.dtypes)
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + ROW_BYTES
     text = F.coalesce("text", F.lit(""))
-    high = F.shiftrightunsigned(F.xxhash64(text), 33)
-    low = F.shiftrightunsigned(F.xxhash64("doc_id", text), 32)
-    columns = [size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), (F.shiftleft(high, 32) + low).alias("tie")]
+    high = F.shiftrightunsigned(F.xxhash64(text), 64 - TEXT_BITS)
+    low = F.shiftrightunsigned(F.xxhash64("doc_id", text), 64 - ID_BITS)
+    columns = [size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), (F.shiftleft(high, ID_BITS) + low).alias("tie")]
     for k, name in enumerate(dimensions):
         if name == "size":
             value = F.log2(size.cast("double"))
@@ -71,6 +76,14 @@ def metadata(docs: DataFrame, dimensions: Sequence[str]) -> DataFrame:
     return source.select("doc_id", *columns)
 
 
+def _told_apart(meta: DataFrame) -> DataFrame:
+    """Stored metadata with the row's bits in ``tie``: its file's number and its place in that file, fixed once written."""
+
+    part = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1)
+    row = F.shiftrightunsigned(F.xxhash64(part, F.col("_metadata.row_index")), 64 - ROW_BITS)
+    return meta.withColumn("tie", F.shiftleft("tie", ROW_BITS) + row)
+
+
 def _coded(meta: DataFrame, dimensions: int) -> DataFrame:
     """The dimensions as one array of whole codes from 0 to LEVELS - 1."""
 
@@ -160,11 +173,11 @@ def kd_shards(
 
     Give the number of ``shards``, or ``target_bytes`` for a leaf. Size is the text's UTF-8 bytes plus 16 (NULL: 16, its
     checksum that of no bytes). A missing or NULL dimension counts as 0, the lowest text. Equal texts fall together unless a
-    cut goes through a group heavier than ``tolerance`` of a shard; repeated rows are placed one by one. An empty table gives no rows; a shard may be
+    cut goes through a group heavier than ``tolerance`` of a shard, which is then cut between ids or, where one id repeats, between rows. An empty table gives no rows; a shard may be
     empty if there are fewer documents than shards. Other columns are dropped.
     """
 
-    meta = stored(metadata(docs, dimensions), "metadata")
+    meta = _told_apart(stored(metadata(docs, dimensions), "metadata"))
     coded = _coded(meta, len(dimensions))
     total = float(meta.agg(F.sum("size")).first()[0] or 0)
     if shards is None:

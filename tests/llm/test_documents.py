@@ -1,6 +1,8 @@
 """The operators on whole texts against plain versions of their contracts."""
 
 import collections
+import math
+import random
 import re
 import zlib
 
@@ -256,6 +258,66 @@ def test_shards_of_many_equal_sizes_are_near_equal(spark):
     assert by_bytes == 10
 
 
+def test_repeated_rows_are_cut_between_rows(spark):
+    """Most rows are one and the same: the law holds for them as for any other."""
+
+    rows = [(7, "the same text", 13, "en")] * 4000 + [(100 + i, f"other text {i}", 12, "de") for i in range(998)]
+    got = shards.kd_shards(spark.createDataFrame(rows, "doc_id long, text string, n_chars long, lang string"), 40).collect()
+    size, slots = collections.Counter(), collections.defaultdict(list)
+    for row in got:
+        size[row.shard] += row.size
+        slots[row.shard].append(row.slot)
+    mean = sum(size.values()) / 40
+    assert len(got) == 4998 and set(size) == set(range(40))
+    assert max(size.values()) <= 1.1 * mean and min(size.values()) >= 0.9 * mean
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+
+
+def plain_tree(points, sizes, count, limit):
+    """Shard of every point: split along the widest dimension at the code nearest to the weighted quantile."""
+
+    shard = [0] * len(points)
+
+    def split(members, first, k):
+        if k == 1 or not members:
+            for i in members:
+                shard[i] = first
+            return
+        extents = [max(points[i][d] for i in members) - min(points[i][d] for i in members) for d in range(len(points[0]))]
+        widest = extents.index(max(extents))
+        weights = collections.Counter()
+        for i in members:
+            weights[points[i][widest]] += sizes[i]
+        target, below = sum(weights.values()) * (k // 2) / k, 0.0
+        for code in sorted(weights):
+            if below + weights[code] >= target:
+                break
+            below += weights[code]
+        assert weights[code] <= limit  # no cut inside a code here
+        edge = code + (target - below > weights[code] / 2)
+        split([i for i in members if points[i][widest] < edge], first, k // 2)
+        split([i for i in members if points[i][widest] >= edge], first + k // 2, k - k // 2)
+
+    split(list(range(len(points))), 0, count)
+    return shard
+
+
+@pytest.mark.parametrize("count", [2, 5, 8])
+def test_shards_match_a_plain_tree(spark, count):
+    rng = random.Random(count)
+    rows = [(i, "x" * rng.randrange(40), int(2 ** rng.uniform(0, 20)), int(2 ** rng.uniform(0, 12))) for i in range(600)]
+    sizes = [len(text) + 16 for _, text, *_ in rows]
+    columns = []
+    for d in (2, 3):
+        values = [math.log2(1 + row[d]) for row in rows]
+        low, high = min(values), max(values)
+        columns.append([math.floor((v - low) * ((shards.LEVELS - 1) / (high - low))) for v in values])
+    want = plain_tree(list(zip(*columns)), sizes, count, sum(sizes) / count)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, other long")
+    got = shards.kd_shards(docs, count, dimensions=("n_chars", "other"), tolerance=1.0)
+    assert {row.doc_id: row.shard for row in got.collect()} == dict(enumerate(want))
+
+
 # Empty tables
 
 
