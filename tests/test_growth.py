@@ -66,3 +66,19 @@ def test_ranks_read_their_values_once(spark):
     assert averaged == {i: i // 2 + 1 for i in range(40)}
     cuts = exact_quantiles(rows, ["k"], "v", {"low": 0.0, "mid": 0.52}).collect()
     assert len(cuts) == 2 and all(row.size == 20 and row.mid is not None for row in cuts)
+
+
+def test_legs_are_dealt_by_their_number(spark, monkeypatch):
+    """Large tables take more tasks than the session's own number, with the same legs and sums."""
+
+    from premia.plans import audit
+    from premia.plans.registry import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    order = ["book_id", "contract_id"]
+    plain = [(r.book_id, r.contract_id, r.weight) for r in audit.legs(t).orderBy(*order).collect()]
+    monkeypatch.setattr(audit, "LEGS_A_TASK", 1000)
+    books = audit.legs(t)
+    assert [(r.book_id, r.contract_id, r.weight) for r in books.orderBy(*order).collect()] == plain
+    dealt = audit.dealt(books)
+    assert dealt.count() == len(plain) and dealt.rdd.getNumPartitions() == -(-len(plain) // 1000) > 4
