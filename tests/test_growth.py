@@ -72,3 +72,45 @@ def test_legs_are_dealt_by_their_number(spark, monkeypatch):
     assert [(r.book_id, r.contract_id, r.weight) for r in books.orderBy(*order).collect()] == plain
     dealt = audit.dealt(books)
     assert dealt.count() == len(plain) and dealt.rdd.getNumPartitions() == -(-len(plain) // 1000) > 4
+
+
+def shuffled_bytes(spark, plan):
+    """Bytes that all stages of ``plan`` shuffle."""
+
+    store = spark.sparkContext._jsc.sc().statusStore()
+    none = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+
+    def stages():
+        found = store.stageList(None, False, False, none, None)
+        return {found.apply(i).stageId(): found.apply(i).shuffleWriteBytes() for i in range(found.size())}
+
+    before = stages()
+    plan().write.format("noop").mode("overwrite").save()
+    return sum(n for number, n in stages().items() if number not in before)
+
+
+@pytest.mark.parametrize("step", ["sums", "tails"])
+def test_what_legs_send_does_not_grow_with_the_tasks(spark, step):
+    """Sums of a book's legs in each task combine less and less as contracts are dealt over more tasks; cells sent once a leg stay as many."""
+
+    from premia.operators import audit
+
+    rng = np.random.default_rng(9)
+    cells = [(int(k), c, float(rng.normal())) for c in range(300) for k in rng.choice(84, 25, replace=False)]
+    legs = [(b, int(c), float(rng.normal())) for b in range(200) for c in rng.choice(300, 16, replace=False)]
+    scenarios = spark.createDataFrame(cells, "scenario_id int, contract_id int, ret double")
+    rows = spark.createDataFrame(legs, "book_id int, contract_id int, weight double")
+    costs = spark.createDataFrame([(b, 0.0) for b in range(200)], "book_id int, cost double")
+    plans = {"sums": lambda: audit.scenario_sums(rows, scenarios), "tails": lambda: audit.scenario_cvar(rows, scenarios, costs, 0.95)}
+    before = {name: spark.conf.get(name) for name in ("spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        sent = []
+        for tasks in (1, 8):
+            spark.conf.set("spark.sql.shuffle.partitions", str(tasks))
+            sent.append(shuffled_bytes(spark, plans[step]))
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert sent[1] < 1.4 * sent[0], sent
