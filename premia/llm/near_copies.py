@@ -1,12 +1,15 @@
-"""Near copies by exact Jaccard similarity of 5-word shingles, through a byte-position index with count filtering.
+"""Near copies: SimHash classes first, checked by the exact Jaccard similarity of 5-word shingles, then what SimHash cannot see.
 
-A text's signature has 128 bytes; each is drawn from the least of its shingles under a hash of its own, so that two texts agree at a
+Every text has op8's fingerprint; fingerprints are linked by op8's index of positional bytes (``simhash.links``), and each member of a
+class they form is compared exactly with the class's leader. Two bits of SimHash reach a part of the texts with a similarity of 0.8 only,
+and a class may hold texts that are less similar: members that its leader does not take, and texts in no class, are searched for further, by longer signatures
+in a byte-position index with count filtering. A text's signature has 128 bytes; each is drawn from the least of its shingles under a hash of its own, so that two texts agree at a
 place with the probability of their similarity (and by chance one time in 256). Texts are listed under each four bytes in a row of the first 64: of two with a
 similarity of 0.8, less than one pair in four thousand has none of 16 such pieces in common, and with 0.9 one in two million. Bytes
 that agree are tallied, pairs with fewer than ``SHARED`` go (a pair of 0.8 has 102 on average, with a deviation of 4.5), and the sets of
 the others are compared exactly.
 
-Texts with equal sets are one node, represented by one row. In a first round (or more) a list links the members outside its leader's component
+Texts with equal sets are one node, represented by one row. What SimHash joined is one component from the start. In a first round (or more) a list links the members outside its leader's component
 to that leader, another one each round; a member is compared with the leader most like it. Lists that then still hold several components are
 crowds, mostly of texts that share a passage. Their texts are indexed once more, by whole shingles: in one order of all shingles, rare ones
 first, two sets with a similarity of 0.8 share one among the first fifth of each, at places that leave room for enough others. This
@@ -26,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from premia.llm import simhash
 from premia.llm.components import components
 from premia.llm.frames import pick, stored, text_key
 from premia.llm.words import CHAIN, find_words, hash_spans, hash_windows, lowered, mixed, not_space, pieces, run_sums, window_starts
@@ -95,7 +99,9 @@ def _marker(carry: Sequence[str], schema: pa.Schema):
             for start, end, data, offsets in pieces(batch.column("text")):
                 found, _, first = _shingles(data, offsets)
                 rows = batch.slice(start, end - start)
-                columns = [rows.column(name) for name in carry] + [pa.array(_prints(found, first))]
+                raw = data.tobytes()
+                sims = [simhash.fingerprint(raw[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+                columns = [rows.column(name) for name in carry] + [pa.array(_prints(found, first)), pa.array(sims, pa.int64())]
                 columns += [pa.array(np.diff(first)), _signatures(found, first).cast(schema.field("signature").type)]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
@@ -222,7 +228,28 @@ def _fits(a: str, b: str) -> Column:
     return (9 * most >= 4 * (n_a + n_b)) & (5 * F.least(n_a, n_b) >= 4 * F.greatest(n_a, n_b))
 
 
-def links(keyed: DataFrame, nodes: DataFrame) -> DataFrame:
+def _measured(nodes: DataFrame, side: str) -> DataFrame:
+    """Each print, named ``side``, with its set's size and signature."""
+
+    return nodes.select(F.col("print").alias(side), F.col("n").alias(f"n_{side}"), F.col("signature").alias(f"s_{side}"))
+
+
+def simhash_links(keyed: DataFrame, nodes: DataFrame, sims: DataFrame) -> DataFrame:
+    """Links (a, b) between prints by op8's method: leaders of its classes of fingerprints with those members that are similar.
+
+    ``sims`` (print, sim): the fingerprints of each print's texts. A class's inside is not compared otherwise.
+    """
+
+    roots = components(simhash.links(sims.select(F.col("sim").alias("print")).distinct())).withColumnRenamed("node", "sim")
+    members = sims.join(roots, "sim", "left").select("print", F.coalesce("root", "sim").alias("class")).distinct()
+    members = stored(members, "members")
+    lead = members.groupBy("class").agg(F.min_by("print", F.xxhash64("print")).alias("a"), F.count("*").alias("many"))
+    pairs = members.join(lead.where("many > 1"), "class").where("print <> a").select("a", F.col("print").alias("b")).distinct()
+    pairs = pairs.join(_measured(nodes, "b"), "b").join(_measured(nodes, "a"), "a").where(_may("a", "b")).select("a", "b")
+    return stored(_near(stored(pairs, "pairs"), keyed, nodes), "near")
+
+
+def links(keyed: DataFrame, nodes: DataFrame, sims: DataFrame) -> DataFrame:
     """Links (a, b) between prints: their components are those of all pairs met with a similarity of 0.8 or more."""
 
     parts = [
@@ -233,8 +260,7 @@ def links(keyed: DataFrame, nodes: DataFrame) -> DataFrame:
     index = nodes.where("n > 0").select("print", F.inline(F.array(*parts)))
     lists = index.groupBy("band", "piece").agg(F.count("*").alias("many")).where("many > 1")
     met = stored(index.join(lists.drop("many"), ["band", "piece"]), "met")
-    a = nodes.select(F.col("print").alias("a"), F.col("n").alias("n_a"), F.col("signature").alias("s_a"))
-    b = nodes.select(F.col("print").alias("b"), F.col("n").alias("n_b"), F.col("signature").alias("s_b"))
+    a, b = _measured(nodes, "a"), _measured(nodes, "b")
 
     def best(pairs: DataFrame) -> DataFrame:
         """Each member's leader that is most like it."""
@@ -248,13 +274,15 @@ def links(keyed: DataFrame, nodes: DataFrame) -> DataFrame:
     def rooted(rows: DataFrame) -> DataFrame:
         return stored(rows.join(stars, "print", "left").withColumn("root", F.coalesce("root", "print")).select(*rows.columns, "root"), "rooted")
 
-    linked, listed = None, met.withColumn("root", F.col("print"))
+    linked = simhash_links(keyed, nodes, sims)
+    stars = components(linked).withColumnRenamed("node", "print")
+    listed = rooted(met)
     for number in range(ROUNDS):
         lead = F.min(F.struct(F.xxhash64("print", F.lit(number)), F.struct("print", "root").alias("member"))).alias("lead")
         lead = listed.groupBy("band", "piece").agg(lead, F.min("root").alias("low"), F.max("root").alias("high"))
         led = listed.join(lead.where("low <> high").select("band", "piece", "lead.member"), ["band", "piece"]).where("root <> member.root")
         found = near(best(led.select(F.col("member.print").alias("a"), F.col("print").alias("b"))))
-        linked = found if linked is None else linked.unionAll(found)
+        linked = linked.unionAll(found)
         stars = components(linked).withColumnRenamed("node", "print")
         listed = rooted(met)
 
@@ -286,12 +314,14 @@ def keep_one(docs: DataFrame, columns: Sequence[str]) -> DataFrame:
     keyed = pick(docs, *columns).withColumns(dict(zip(("key_a", "key_b"), text_key())))
     keyed = keyed.withColumn("row", F.xxhash64("doc_id", "key_a", "key_b"))
     carry = ("doc_id", "key_a", "key_b", "row")
-    shape = T.StructType([*[keyed.schema[name] for name in carry], T.StructField("print", T.LongType()), T.StructField("n", T.LongType()), T.StructField("signature", T.ArrayType(T.LongType()))])
+    shape = T.StructType([*[keyed.schema[name] for name in carry], T.StructField("print", T.LongType()), T.StructField("sim", T.LongType()), T.StructField("n", T.LongType()), T.StructField("signature", T.ArrayType(T.LongType()))])
     marked = keyed.select("text", *carry).mapInArrow(_marker(carry, to_arrow_schema(shape)), shape)
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), *carry)
-    nodes = marked.groupBy("print").agg(F.min(order).alias("first"), F.first(F.struct("n", "signature")).alias("same"))
+    marked = marked.groupBy("print", "sim").agg(F.min(order).alias("first"), F.first(F.struct("n", "signature")).alias("same"))
+    sims = stored(marked, "marked")
+    nodes = sims.groupBy("print").agg(F.min("first").alias("first"), F.first("same").alias("same"))
     nodes = stored(nodes.select("print", "first", "first.row", "same.*"), "nodes")
-    stars = components(links(keyed, nodes)).withColumnRenamed("node", "print")
+    stars = components(links(keyed, nodes, sims.select("print", "sim"))).withColumnRenamed("node", "print")
     kept = nodes.select("print", "first").join(stars, "print", "left").groupBy(F.coalesce("root", "print").alias("root")).agg(F.min("first").alias("first"))
     kept = kept.select("first.row", *[F.col(f"first.{name}").alias(f"keep_{name}") for name in carry[:3]])
     same = F.col("doc_id").eqNullSafe(F.col("keep_doc_id")) & (F.col("key_a") == F.col("keep_key_a")) & (F.col("key_b") == F.col("keep_key_b"))

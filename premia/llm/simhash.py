@@ -30,7 +30,7 @@ BYTES = 8
 SHARED = 6  # of 8 positional bytes: two differing bits touch at most two of them
 
 
-def _fingerprint(text: bytes) -> int:
+def fingerprint(text: bytes) -> int:
     words = text.lower().split()  # of bytes: A-Z only, and the six ASCII spaces
     if not words:
         return 0
@@ -55,7 +55,7 @@ def _marker(carry: Sequence[str], schema: pa.Schema):
         for batch in batches:
             for first, end, data, offsets in pieces(batch.column("text")):
                 raw = data.tobytes()
-                prints = [_fingerprint(raw[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+                prints = [fingerprint(raw[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
                 rows = batch.slice(first, end - first)
                 columns = [rows.column(name) for name in carry] + [pa.array(prints, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)

@@ -8,7 +8,7 @@ import duckdb
 import corpus_pipeline
 from conftest import prose
 from plain_versions import kept_by_pairs
-from premia.llm import near_copies
+from premia.llm import near_copies, simhash
 
 
 def kept_by_stage(spark, rows):
@@ -50,6 +50,26 @@ def test_stage_on_the_smallest_documents(spark):
     assert kept_by_stage(spark, rows) == kept_by_pairs(rows)
 
 
+def test_simhash_classes_come_first_and_are_checked(spark, monkeypatch):
+    """The stage's first links are op8's: texts within two bits that are similar. Texts with one fingerprint that are not similar stay apart."""
+
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    refrain = " ".join(["one two three"] * 80)
+    rows = [(1, " ".join(base)), (2, " ".join([*base, "w7"])), (3, refrain + " " + prose(rng, 40)), (4, refrain + " " + prose(rng, 40)), (5, prose(rng, 200))]
+    bits = {i: simhash.fingerprint(text.encode()) & (2**64 - 1) for i, text in rows}
+    assert (bits[1] ^ bits[2]).bit_count() <= 2 and (bits[3] ^ bits[4]).bit_count() <= 2 < (bits[1] ^ bits[5]).bit_count()
+    found, plain = [], near_copies.simhash_links
+
+    def seen(*given):
+        found.append(plain(*given))
+        return found[-1]
+
+    monkeypatch.setattr(near_copies, "simhash_links", seen)
+    assert kept_by_stage(spark, rows) == kept_by_pairs(rows) == [1, 3, 4, 5]
+    assert len(found) == 1 and found[0].count() == 1
+
+
 def test_keeps_the_smallest_id_and_the_columns(spark, docs, no_docs):
     assert near_copies.keep_one(no_docs, ["doc_id", "text"]).count() == 0
     got = near_copies.keep_one(docs, ["doc_id", "text"])
