@@ -284,3 +284,48 @@ def test_tail_losses_without_scenarios_or_with_wild_numbers(table):
     got = {r["book_id"]: r["cvar"] for r in audit.scenario_cvar(rows, cells, costs, 0.5).collect()}
     # One and a half of three losses: 0.11 and half of 0.01.
     assert got == {1: pytest.approx((0.11 + 0.005) / 1.5), 2: None, 3: None, 4: pytest.approx(0.02)}
+
+
+def test_a_contract_listed_twice_counts_twice_in_every_sum(world, table):
+    """Its legs are two and each has its cells twice, as rows that join: no sum of a book leaves a copy out."""
+
+    contracts, _, flat, books = world
+    twice = contracts.unionByName(contracts.where("contract_id = 1"))
+    cells = table([(0, 1, -0.1), (1, 1, 0.2), (0, 2, 0.1), (1, 2, -0.3)], "scenario_id int, contract_id int, ret double")
+    prepared = audit.scenario_prepare(cells, twice)
+    rules = policy.Policy(annual_volatility_ceiling=1.0, cvar_alpha=0.5, cvar_loss_nav=0.01)
+    row = audit.portfolio_audit(books([(1, 1, 0.1), (1, 2, 0.05)]), twice, prepared, flat, LOOSE, rules).first()
+    cost = 0.001 * (2 * 0.1 + 0.05)
+    assert row["gross"] == pytest.approx(0.25) and row["cost"] == pytest.approx(cost)
+    assert row["cvar"] == pytest.approx(cost - (4 * 0.1 * -0.1 + 0.05 * 0.1))
+    assert row["feasible"] is False
+
+
+def test_overlapping_part_keys_leave_no_difference_from_sql(spark, tmp_path):
+    """integer_or_cash on six copies of the tables, the last part of each numbered as the first of the next: five parts are listed twice."""
+
+    import duckdb
+
+    from premia.plans import catalog
+
+    given, keys = "/root/testdata/sf0.001", {
+        "region": {}, "nation": {}, "customer": {"c_custkey": "customer"}, "supplier": {"s_suppkey": "supplier"}, "part": {"p_partkey": "part"},
+        "orders": {"o_orderkey": "orders", "o_custkey": "customer"},
+        "lineitem": {"l_orderkey": "orders", "l_partkey": "part", "l_suppkey": "supplier"},
+    }
+    con = duckdb.connect()
+
+    def shift(owner):
+        return con.execute(f"SELECT count(*) FROM '{given}/{owner}.parquet'").fetchone()[0] - (owner == "part")
+
+    for file, columns in keys.items():
+        moved = ", ".join(f"{column} + i * {shift(owner)} AS {column}" for column, owner in columns.items())
+        rows = f"SELECT t.* REPLACE ({moved}) FROM '{given}/{file}.parquet' t, range(6) r(i)" if columns else f"FROM '{given}/{file}.parquet'"
+        con.execute(f"COPY ({rows}) TO '{tmp_path}/{file}.parquet' (FORMAT parquet)")
+        con.execute(f"CREATE VIEW {file} AS FROM '{tmp_path}/{file}.parquet'")
+    query = catalog()["integer_or_cash"]
+    result = con.execute(query.sql)
+    columns = [item[0] for item in result.description]
+    want = sorted(result.fetchall(), key=repr)
+    got = sorted((tuple(row) for row in query.run(spark, str(tmp_path)).select(*columns).collect()), key=repr)
+    assert got == want and want
