@@ -329,3 +329,16 @@ def test_overlapping_part_keys_leave_no_difference_from_sql(spark, tmp_path):
     want = sorted(result.fetchall(), key=repr)
     got = sorted((tuple(row) for row in query.run(spark, str(tmp_path)).select(*columns).collect()), key=repr)
     assert got == want and want
+
+
+def test_only_accepted_books_below_the_target_have_candidates(world):
+    contracts, scenarios, flat, books = world
+    rules = policy.Policy(annual_volatility_ceiling=0.25, deployment_target=0.4)
+    given = books([(1, 1, 0.1), (2, 1, 0.4), (3, 1, 0.1), (4, 1, 0.1), (4, 99, 0.1)])
+    stage1 = given.select("book_id").distinct().select(
+        "book_id", (F.col("book_id") != 3).alias("accepted"), F.lit(1.0).alias("risk_aversion")
+    )
+    verdict, legs = selection.scale_to_target(stage1, given, contracts, scenarios, flat, LOOSE, rules)
+    assert {r["b"] for r in legs.select(F.col("book_id.book_id").alias("b")).collect()} == {1}
+    applied = {r["book_id"]: r["deployment_target_applied"] for r in verdict.collect()}
+    assert applied == {1: True, 2: False, 3: False, 4: False}

@@ -114,3 +114,26 @@ def test_what_legs_send_does_not_grow_with_the_tasks(spark, step):
         for name, value in before.items():
             spark.conf.set(name, value)
     assert sent[1] < 1.4 * sent[0], sent
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    """What a step has shuffled is gone when its table is written; else a query's disk holds all of its steps together."""
+
+    import time
+
+    from premia.session import written
+
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        files = disk.getAllFiles()
+        return {name for name in (files.apply(i).getName() for i in range(files.size())) if name.startswith("shuffle_")}
+
+    before = shuffles()
+    table = written(spark.range(20_000).repartition(7, "id"), "dealt")
+    for _ in range(50):
+        left = shuffles() - before
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left and table.count() == 20_000
