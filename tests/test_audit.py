@@ -342,3 +342,43 @@ def test_only_accepted_books_below_the_target_have_candidates(world):
     assert {r["b"] for r in legs.select(F.col("book_id.book_id").alias("b")).collect()} == {1}
     applied = {r["book_id"]: r["deployment_target_applied"] for r in verdict.collect()}
     assert applied == {1: True, 2: False, 3: False, 4: False}
+
+
+def many_books(table, books):
+    """Forty books of two or three of twelve contracts: sound ones, some with a short that is not allowed, some with a missing contract."""
+
+    contracts = table(
+        [(c, "AAA" if c % 2 else "BBB", 10.0, 0.01 * c, 0.001, 0.002, 0.5, c % 3 != 0, 0.5, 0.1 * c, 0.0, 0.1 * c, -0.01 * c) for c in range(12)],
+        CONTRACT,
+    )
+    scenarios = table(
+        [(k, c, math.sin(k * 7 + c * 3) / 4) for k in range(25) for c in range(12) if (k + c) % 4],
+        "scenario_id int, contract_id int, ret double",
+    )
+    given = books(
+        [(b, (b * 5 + i * 7) % 12, 0.04 * (i + 1) * (-1 if (b + i) % 3 == 0 else 1)) for b in range(40) for i in range(2 + b % 2)]
+        + [(b, 99, 0.01) for b in range(0, 40, 7)]
+    )
+    return contracts, scenarios, given
+
+
+def test_rounds_change_no_audit(world, table, monkeypatch):
+    """Books audited a few at a time are those audited at once, and only legs of books without a problem meet their cells."""
+
+    _, _, flat, books = world
+    contracts, scenarios, given = many_books(table, books)
+    run = lambda: audit.portfolio_audit(given, contracts, scenarios, flat, LOOSE, policy.FIRST_POLICY)
+    met, tails = [], audit.tail_losses
+    monkeypatch.setattr(audit, "tail_losses", lambda rows, *rest: met.append(rows.collect()) or tails(rows, *rest))
+    names = ["book_id", "feasible", "problem", "gross", "breach_assignment", "cvar", "volatility", "max_violation"]
+    whole = sorted(tuple(row) for row in run().select(*names).collect())
+    assert len(whole) == 40 and len(met) == 1
+    monkeypatch.setattr(audit, "LEGS_A_ROUND", 30)
+    parts = sorted(tuple(row) for row in run().select(*names).collect())
+    assert len(met) > 2 and [row[:3] for row in parts] == [row[:3] for row in whole]
+    for one, other in zip(parts, whole):
+        assert list(one[3:]) == [pytest.approx(value, abs=1e-12) for value in other[3:]] or one[2] == "contract_missing"
+    lost = {row[0] for row in whole if row[2] == "contract_missing"}
+    assert lost == set(range(0, 40, 7))
+    held = [leg["book_id"] for legs in met[1:] for leg in legs]
+    assert set(held) == set(range(40)) - lost and len(held) == len(met[0]) == given.where("book_id % 7 <> 0").count()
