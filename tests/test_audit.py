@@ -382,3 +382,21 @@ def test_rounds_change_no_audit(world, table, monkeypatch):
     assert lost == set(range(0, 40, 7))
     held = [leg["book_id"] for legs in met[1:] for leg in legs]
     assert set(held) == set(range(40)) - lost and len(held) == len(met[0]) == given.where("book_id % 7 <> 0").count()
+
+
+def test_books_that_another_limit_rules_out_send_no_cells(world, table, monkeypatch):
+    _, _, flat, books = world
+    contracts, scenarios, given = many_books(table, books)
+    rules = policy.Policy(**{**policy.FIRST_POLICY.__dict__, "cvar_loss_nav": 0.02})
+    full = {row["book_id"]: row for row in audit.portfolio_audit(given, contracts, scenarios, flat, LOOSE, rules).collect()}
+    met, tails = [], audit.tail_losses
+    monkeypatch.setattr(audit, "tail_losses", lambda rows, *rest: met.extend(rows.collect()) or tails(rows, *rest))
+    got = {row["book_id"]: row for row in audit.feasible_books(given, contracts, scenarios, flat, LOOSE, rules).collect()}
+    assert {b: row["feasible"] for b, row in got.items()} == {b: row["feasible"] for b, row in full.items()}
+    assert {row["feasible"] for row in got.values()} == {True, False}
+    for b, row in got.items():
+        want = {name: full[b][name] if row["feasible"] else None for name in ("cost", "gross", "volatility")}
+        assert {name: row[name] for name in want} == {k: v if v is None else pytest.approx(v) for k, v in want.items()}
+    others = [name for name in next(iter(full.values())).asDict() if name.startswith("breach_") and name != "breach_cvar"]
+    passing = {b for b, row in full.items() if row["problem"] is None and all(row[name] <= policy.FEASIBLE for name in others)}
+    assert {leg["book_id"] for leg in met} == passing and any(full[b]["breach_cvar"] > 0 for b in passing)
