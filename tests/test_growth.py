@@ -137,3 +137,26 @@ def test_a_written_table_leaves_no_shuffle_files(spark):
             break
         time.sleep(0.1)
     assert not left and table.count() == 20_000
+
+
+def test_monthly_decisions_meet_cells_of_books_that_pass_the_rest(spark, monkeypatch):
+    """Books that a limit other than the tail loss rules out are no candidates; their legs meet no scenario cells."""
+
+    from premia.operators import audit
+    from premia.plans import catalog
+
+    met, tails, sound, rounds = [], audit.tail_losses, [], audit.book_rounds
+
+    def dealt(*args):
+        parts = rounds(*args)
+        sound.append(sum(part.select("book_id").distinct().count() for part in parts))
+        return parts
+
+    def lost(rows, *rest):
+        met.append(rows.select("book_id").distinct().count())
+        return tails(rows, *rest)
+
+    monkeypatch.setattr(audit, "book_rounds", dealt)
+    monkeypatch.setattr(audit, "tail_losses", lost)
+    catalog()["monthly_decisions"].run(spark, "/root/testdata/sf0.001")
+    assert sound[0] > 0 and met[0] < sound[0] / 2
