@@ -400,3 +400,11 @@ def test_books_that_another_limit_rules_out_send_no_cells(world, table, monkeypa
     others = [name for name in next(iter(full.values())).asDict() if name.startswith("breach_") and name != "breach_cvar"]
     passing = {b for b, row in full.items() if row["problem"] is None and all(row[name] <= policy.FEASIBLE for name in others)}
     assert {leg["book_id"] for leg in met} == passing and any(full[b]["breach_cvar"] > 0 for b in passing)
+
+
+def test_rounded_books_are_stored_before_the_audit_reads_them(world, monkeypatch):
+    contracts, scenarios, flat, books = world
+    stored, rounds = [], audit.audit_rounds
+    monkeypatch.setattr(audit, "audit_rounds", lambda legs, *rest, **more: stored.append(legs.inputFiles()) or rounds(legs, *rest, **more))
+    audit.integer_or_cash(books([(1, 1, 0.15)]), contracts, scenarios, flat, LOOSE, policy.FIRST_POLICY, nav=10_000.0)
+    assert stored and all(stored)
